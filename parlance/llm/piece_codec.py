@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE_WORDS = 200_000
-CACHE_CHARS = 64
+CACHE_WORDS = 300_000
 #: Rows encoded at a time, for bounded memory.
 STEP_ROWS = 256
+#: Symbols that are merged at a time; a longer word is taken alone.
+STEP_CHARS = 200_000
 NO_RANK = np.int64(1 << 40)
 
 
@@ -79,11 +80,17 @@ class PieceModel:
         self.bytes = [b"" if sp.is_control(i) else bytes([int(p[1:-1], 16)]) if self.is_byte[i] else " ⁇ ".encode() if i == self.unk else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.text = [str(i) for i in range(n)]
 
-    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that each pair forms, or -1."""
-        k = left * self.n + right
-        at = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
-        return np.where((self.key[at] == k) & (left >= 0) & (right >= 0), self.whole[at], -1)
+    def paired(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that the symbol at each place forms with the next one of its word, and its rank; -1 and NO_RANK for none."""
+        whole = np.full(len(at), -1, np.int64)
+        inner = np.flatnonzero(at < len(sym) - 1)
+        left = at[inner]
+        inner = inner[(word[left] == word[left + 1]) & (sym[left] >= 0) & (sym[left + 1] >= 0)]
+        left = at[inner]
+        k = sym[left] * self.n + sym[left + 1]
+        found = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
+        whole[inner] = np.where(self.key[found] == k, self.whole[found], -1)
+        return whole, np.where(whole >= 0, self.rank[whole], NO_RANK)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, its spaces already marks."""
@@ -92,19 +99,16 @@ class PieceModel:
         done: list[tuple[np.ndarray, np.ndarray]] = []
         # what can't merge with a neighbour keeps its place; a negative symbol is a character without a piece
         place = np.arange(len(sym))
+        whole, rank = self.paired(sym, word, np.arange(len(sym)))
         while len(sym):
-            whole = np.full(len(sym), -1, np.int64)
-            whole[:-1] = self.merged(sym[:-1], sym[1:])
-            whole[:-1][word[:-1] != word[1:]] = -1
-            rank = np.where(whole >= 0, self.rank[whole], NO_RANK)
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             size = np.diff(np.append(first, len(sym)))
             best = np.minimum.reduceat(rank, first)
-            live = np.repeat(best < NO_RANK, size)
-            if not live.all():  # compaction: words without a pair are done
+            keep = best < NO_RANK
+            if not keep.all():  # compaction: words without a pair are done
+                live = np.repeat(keep, size)
                 done.append((place[~live], sym[~live]))
                 sym, word, place, rank, whole = sym[live], word[live], place[live], rank[live], whole[live]
-                keep = best < NO_RANK
                 best, size = best[keep], size[keep]
                 first = np.cumsum(size) - size
             if not len(sym):
@@ -120,7 +124,11 @@ class PieceModel:
             sym[hit] = whole[hit]
             stays = np.ones(len(sym), bool)
             stays[hit + 1] = False
-            sym, word, place = sym[stays], word[stays], place[stays]
+            sym, word, place, rank, whole = sym[stays], word[stays], place[stays], rank[stays], whole[stays]
+            # only the pairs beside a merged symbol are new
+            at = hit - np.arange(len(hit))
+            near = np.concatenate([at, at[at > 0] - 1])
+            whole[near], rank[near] = self.paired(sym, word, near)
         if not done:
             return [[] for _ in words]
         place, sym = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -147,46 +155,52 @@ class PieceCodec:
 
     def __init__(self, model: str):
         self.model = PieceModel(model)
-        self.known: dict[str, list[int]] = {}
-
-    def encode_batch(self, texts: list[str | None], eos: bool = True) -> list[list[int]]:
+        #: of each known word: its ids, these in decimal, and its pieces' bytes
+        self.ids: dict[str, list[int]] = {}
+        self.decimal: dict[str, str] = {}
+        self.data: dict[str, bytes] = {}
+
+    def words(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text; all of them are known until the next call."""
+        if len(self.ids) > CACHE_WORDS:
+            for d in (self.ids, self.decimal, self.data):
+                d.clear()
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        step, at = 200_000, 0
+        new = [w for w in {w for ws in split for w in ws} if w not in self.ids]
+        text, table = self.model.text, self.model.bytes
+        at = 0
         while at < len(new):  # bounded symbols at a time
             to, chars = at, 0
-            while to < len(new) and (to == at or chars + len(new[to]) <= step):
+            while to < len(new) and (to == at or chars + len(new[to]) <= STEP_CHARS):
                 chars += len(new[to])
                 to += 1
-            known.update(zip(new[at:to], self.model.encode_words(new[at:to]), strict=True))
+            for w, ids in zip(new[at:to], self.model.encode_words(new[at:to]), strict=True):
+                self.ids[w] = ids
+                self.decimal[w] = " ".join([text[i] for i in ids])
+                self.data[w] = b"".join([table[i] for i in ids])
             at = to
-        out = []
-        for ws in split:
-            ids = [i for w in ws for i in known[w]]
-            if eos:
-                ids.append(self.model.eos)
-            out.append(ids)
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                known.pop(w, None)
-        return out
+        return split
+
+    def encode_batch(self, texts: list[str | None], eos: bool = True) -> list[list[int]]:
+        return [[i for w in ws for i in self.ids[w]] + [self.model.eos] * eos for ws in self.words(texts)]
+
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """(number of ids with the end id, their decimals joined by one space, the decoded text) of each text."""
+        for ws in self.words(texts):
+            decimal = " ".join([*map(self.decimal.__getitem__, ws), self.model.text[self.model.eos]])
+            data = b"".join(map(self.data.__getitem__, ws))
+            yield decimal.count(" ") + 1, decimal, self.stripped(data, self.ids[ws[0]][0] if ws else None)
+
+    def stripped(self, data: bytes, lead: int | None) -> str:
+        """Decoded bytes without the space that encoding put before the text; `lead` is the first id."""
+        if lead is not None and not self.model.is_byte[lead] and data[:1] == b" ":
+            data = data[1:]
+        return data.decode(errors="replace")
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, marks as spaces, the first space that encoding put before the text left out."""
         m = self.model
-        table = m.bytes
-        data = b"".join([table[i] for i in ids])
-        lead = next((i for i in ids if i not in (m.bos, m.eos)), None)
-        if lead is not None and not m.is_byte[lead] and data[:1] == b" ":
-            data = data[1:]
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            return data.decode(errors="replace")
+        return self.stripped(b"".join([m.bytes[i] for i in ids]), next((i for i in ids if i not in (m.bos, m.eos)), None))
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -203,14 +217,13 @@ def digest(df: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        text = c.model.text
         for batch in batches:
             sizes, ids_sha, decoded_sha = [], [], []
             for i in range(0, len(batch), STEP_ROWS):
-                for ids in c.encode_batch(batch["text"][i : i + STEP_ROWS].to_pylist()):
-                    sizes.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join([text[j] for j in ids]).encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                for n, decimal, decoded in c.digests(batch["text"][i : i + STEP_ROWS].to_pylist()):
+                    sizes.append(n)
+                    ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
+                    decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return df.select("doc_id", "text").mapInArrow(run, SCHEMA)
