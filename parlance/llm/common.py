@@ -7,8 +7,11 @@ object for each word.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate tables: spark.checkpoint.dir, else one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares."""
+    """Write `df` as a table of the shared folder and read it again: later jobs need no executor that made it."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
-    return df.checkpoint()
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _LEFT[path] = spark
+    again = spark.read.schema(df.schema).parquet(path)
+    again._scratch_path = path
+    return again
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that `cut` wrote, once nothing reads them any more."""
+    for path in (t._scratch_path for t in tables):
+        spark = _LEFT.pop(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_LEFT: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clean() -> None:
+    """Remove what lazily read results still needed; a session that has ended leaves it to the folder's own cleaning."""
+    for path, spark in list(_LEFT.items()):
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES):

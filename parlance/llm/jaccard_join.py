@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import common
-from parlance.llm.common import cut
+from parlance.llm.common import cut, drop
 from parlance.llm.components import components
 
 WORDS = 5
@@ -57,8 +57,11 @@ def shingle_sets(texts: pa.Array, k: int = WORDS) -> Iterator[tuple[int, np.ndar
             p = common.powers(k + 1)
             one = [common.mix((h[first[r] : first[r + 1]] * p[: size[r]]).sum(keepdims=True) ^ np.uint64(size[r] + 1))[0] for r in short]
             w, row = np.concatenate([w, np.array(one, np.uint64)]), np.concatenate([row, short])
-        by = np.lexsort((w, row))
-        w, row = w[by], row[by]
+            by = np.argsort(row, kind="stable")
+            w, row = w[by], row[by]
+        cuts = np.searchsorted(row, np.arange(len(off)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            w[a:b].sort()
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (row[1:] != row[:-1])
         w, row = w[new], row[new]
@@ -116,6 +119,7 @@ def common_shingles(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np
             level = r.level + 1
             break
     top = counts.where(step >= level).toPandas()
+    drop(counts)
     by = np.argsort(token := top.token.to_numpy(np.int64).view(np.uint64))
     return token[by], top.n.to_numpy(np.int64)[by]
 
@@ -145,7 +149,10 @@ def prefixes(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame
                     c = np.where(token[at] == w, count[at], 0)
                 else:
                     c = np.zeros(len(w), np.int64)
-                by = np.lexsort((w, c, row))
+                by = np.arange(len(w))
+                for r in np.unique(row[c > 0]).tolist():  # shingles are in order already where none is common
+                    at = slice(cuts[r], cuts[r + 1])
+                    by[at] = by[at][np.argsort(c[at], kind="stable")]
                 place = np.arange(len(w)) - np.repeat(cuts[:-1], n)
                 length = n - (4 * n + 4) // 5 + need(n)
                 keep = place < np.repeat(np.minimum(length, n), n)
@@ -201,34 +208,40 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = cut(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long"))
     classes = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
 
-    kept = prefixes(docs, common_shingles(docs)).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    posting = kept.select("doc_id", "n", "central", F.posexplode("tokens").alias("place", "token")).withColumn("rest", F.col("n") - F.col("place")).drop("place")
-    # the order in which documents lead: most central first, then the smaller id
-    posting = posting.withColumn("lead", F.struct((-F.round("central", 3)).alias("c"), "doc_id", "n", "rest"))
-    posting = cut(posting.drop("central"))
-    leaders = posting.groupBy("token").agg(F.min("lead").alias("first"), F.count("*").alias("df")).where("df > 1").drop("df")
-    posting = cut(posting.join(leaders, "token").select("token", "doc_id", "n", "rest", "first"))
+    prefix = cut(prefixes(docs, common_shingles(docs)).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    posting = prefix.select("doc_id", F.col("n").cast("int").alias("n"), F.round(-F.col("central"), 3).cast("float").alias("lead"), F.posexplode("tokens").alias("place", "token"))
+    posting = posting.withColumn("rest", F.col("n") - F.col("place")).drop("place")
+    shared = posting.select("token").groupBy("token").count().where("count > 1").select("token")
+    posting = cut(posting.join(shared, "token"))
+    drop(prefix)
     texts = cut(docs.join(posting.select("doc_id").distinct(), "doc_id", "left_semi"))
 
-    star = posting.where("doc_id <> first.doc_id").where(f"5 * least(n, first.n) >= 4 * greatest(n, first.n) AND least(rest, first.rest) >= {OVERLAP.format(a='n', b='first.n')}")
+    # the most central document leads, then the smaller id
+    leaders = posting.groupBy("token").agg(F.min(F.struct("lead", "doc_id", "n", "rest")).alias("first"))
+    star = posting.join(leaders, "token").where("doc_id <> first.doc_id")
+    star = star.where(f"5 * least(n, first.n) >= 4 * greatest(n, first.n) AND least(rest, first.rest) >= {OVERLAP.format(a='n', b='first.n')}")
     star = star.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = cut(verified(star, texts))
     label = components(links)
 
     # the matrix: of each group, shingles with the largest rest, and the smallest and largest set that has them
-    posting = posting.drop("first").join(label, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "rest", F.coalesce("label", "doc_id").alias("group"))
-    several = posting.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
-    posting = cut(posting.join(several, "token"))
-    matrix = posting.groupBy("token", "group").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"))
+    grouped = posting.join(label, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "rest", F.coalesce("label", "doc_id").alias("group"))
+    several = grouped.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
+    grouped = cut(grouped.join(several, "token"))
+    drop(posting, label)
+    matrix = grouped.groupBy("token", "group").agg(F.max("rest").alias("g_rest"), F.min("n").alias("g_min"), F.max("n").alias("g_max"))
     # a pair of groups is opened from the one with the smaller number, so that no pair is met twice
     # (of the `need` shingles that a pair shares in any case, the last has 2 fewer behind it than the first)
-    query = posting.join(matrix.withColumnRenamed("group", "g"), "token").where(f"group < g AND 5 * n >= 4 * g_min AND 5 * g_max >= 4 * n AND least(rest, g_rest) >= {OVERLAP.format(a='n', b='greatest(g_min, ceil(4 * n / 5D))')} - 2")
+    query = grouped.join(matrix.withColumnRenamed("group", "g"), "token").where(f"group < g AND 5 * n >= 4 * g_min AND 5 * g_max >= 4 * n AND least(rest, g_rest) >= {OVERLAP.format(a='n', b='greatest(g_min, ceil(4 * n / 5D))')} - 2")
     opened = query.select("token", "doc_id", "n", "rest", "g")
-    member = posting.select("token", F.col("group").alias("g"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("b_rest"))
+    member = grouped.select("token", F.col("group").alias("g"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("b_rest"))
     met = opened.join(member, ["token", "g"]).where("5 * least(n, m) >= 4 * greatest(n, m)")
     met = met.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("shared"), F.max(F.expr(f"least(rest, b_rest) - {OVERLAP.format(a='n', b='m')}")).alias("spare"), F.min(F.least("n", "m")).alias("least"))
     met = met.where(f"spare >= 0 AND shared >= {NEED.format(n='least')}")
-    label = components(links.union(verified(met, texts)))
+    more = cut(links.union(verified(met, texts)))
+    drop(grouped, texts, links)
+    label = components(more)
+    drop(more)
 
     classes = classes.join(label, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id"))
     return sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -9,7 +9,7 @@ left get the exact integer product. Queries start with the k-th best score among
 the `SEED` longest vectors, so that even the first block is pruned.
 
 Queries are held by the executors in chunks of about `CHUNK`; the chunks' results
-are checkpointed one after another, so that no more than a chunk is ever
+are written one after another, so that no more than a chunk is ever
 broadcast.
 
 Edge cases: vectors that are null, or hold null or non-finite components, or
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import cut
+from parlance.llm.common import cut, drop
 
 K, EVERY, SCALE = 5, 50, 256.0
 #: Longest vectors that the first bounds come from, and queries held at a time.
@@ -125,6 +125,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     d = (ints.agg(F.max(F.length("v"))).first()[0] or 0) // 4
     empty = "query_id long, score long, vec_id long"
     if not d:
+        drop(ints)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # the id's hash deals vectors of one length to several tasks
     by_length = ints.repartitionByRange(F.col("square").desc(), F.xxhash64("vec_id")).sortWithinPartitions(F.col("square").desc(), "vec_id")
@@ -154,6 +155,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
         parts.append(cut(by_length.select("vec_id", "v").mapInArrow(run, empty)))
         held.unpersist()
+    drop(ints, by_length)
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
