@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import jaccard_join, pii, piece_codec, quality_classifier, quality_rules, topk, url_filter
+from parlance.llm import html_extract, jaccard_join, line_dedup, packing, pii, piece_codec, quality_classifier, quality_rules, topk, url_filter
 from parlance.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -19,6 +23,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
@@ -40,7 +52,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_sentencepiece, op6_ngram_jaccard_join, op7_quality_rules, op8_quality_classifier, op9_pii, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_sentencepiece, op4_line_dedup, op5_packing, op6_ngram_jaccard_join, op7_quality_rules, op8_quality_classifier, op9_pii, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
