@@ -165,19 +165,33 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     return fit(np.repeat(np.arange(len(f)), [len(a) for a in f]), np.concatenate(f).astype(np.int64), x, (got.quality.to_numpy() == 1).astype(float))
 
 
+def _scores(model: Machine, batch: pa.RecordBatch) -> np.ndarray:
+    score = []
+    for i in range(0, len(batch), 500):
+        part = batch.slice(i, 500)
+        score.append(model.score(*entries(*features(part["text"], part["n_chars"].cast(pa.float64()).to_numpy(zero_copy_only=False))), len(part)))
+    return np.concatenate(score) if score else np.zeros(0)
+
+
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """`doc_id, held_out, score, predicted` of every document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = []
-            for i in range(0, len(b), 500):
-                part = b.slice(i, 500)
-                e = entries(*features(part["text"], part["n_chars"].cast(pa.float64()).to_numpy(zero_copy_only=False)))
-                score.append(model.value.score(*e, len(part)))
-            s = np.concatenate(score) if score else np.zeros(0)
+            s = _scores(model.value, b)
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = docs.select("doc_id", "text", "n_chars").mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The documents, all columns as they are, whose score is at least `least`."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(model.value, b) >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
