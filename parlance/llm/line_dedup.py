@@ -140,7 +140,8 @@ def duplicates(docs: DataFrame, rare: int = RARE, long: int = LONG, block: int =
     """`doc_id, doomed`: the line numbers to delete, for documents with any."""
     lines = cut(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, h long, words int, at array<int>"))
     held = lines.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = lines.join(held, "h").where("doc_id <> first.doc_id").select("doc_id", F.col("first.doc_id").alias("holder"), "n", "words", "at", F.col("first.at").alias("there"))
+    # joins are shuffled at every size: neither side has a bound that would let it be broadcast
+    shared = lines.join(held.hint("merge"), "h").where("doc_id <> first.doc_id").select("doc_id", F.col("first.doc_id").alias("holder"), "n", "words", "at", F.col("first.at").alias("there"))
 
     def align(table: pa.Table) -> pa.Table:
         cols = [table[c].to_pylist() for c in ("holder", "n", "words", "at", "there")]
@@ -169,7 +170,7 @@ def dedup(docs: DataFrame, rare: int = RARE, long: int = LONG, block: int = BLOC
         return pd.Series([t if t is None or g is None else _without(t, sorted(g)) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
     kept = docs.drop(*(c for c in ("n_lines", "doomed") if c in docs.columns))
-    joined = kept.join(duplicates(docs, rare, long, block), "doc_id", "left")
+    joined = kept.join(duplicates(docs, rare, long, block).hint("merge"), "doc_id", "left")
     joined = joined.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
     return joined.withColumn("text", reduced("text", "doomed"))
 
