@@ -34,11 +34,12 @@ from parlance.llm.common import cut
 
 SIZE, UNIT, END = 4096, 16, 2
 CAPACITY = SIZE // UNIT
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Words of plain Latin letters that are tokenised as one text.
 JOINED = 200
 #: A word of plain Latin letters, and sentence marks behind it: two tokens for the pre-tokeniser in any case.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.+))$", re.M)
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 class _Numbers(dict):
@@ -79,18 +80,9 @@ class WordTokens:
         self.number, self.data, self.core = _Numbers(), [], {}
 
     def _learn(self, words: list[bytes]) -> None:
-        core, split, plain = self.core, [], set()
-        for w in words:
-            word = w.decode(errors="replace")
-            if m := _PLAIN.fullmatch(word):
-                a, b = m.groups()
-                a = a.lower()
-                if a not in core:
-                    plain.add(a)
-                split.append((a, b))
-            else:
-                split.append((word, ""))
-        plain = list(plain)
+        core = self.core
+        split = [(a.lower(), b) if a else (c, "") for a, b, c in _PLAIN.findall(b"\n".join(words).decode(errors="replace"))]
+        plain = [a for a in {a for a, _ in split} if a not in core and a.isalpha() and a.isascii() | bool(_LATIN.fullmatch(a))]
         for e, i in zip(self.merges.encode_batch_fast([" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)], add_special_tokens=False), range(0, len(plain), JOINED), strict=True):
             ids = np.array(e.ids, "<u4")
             data = ids.tobytes()
