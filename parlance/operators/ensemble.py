@@ -21,7 +21,8 @@ def heuristics(hypothesis: Column, reference: Column) -> list[Column]:
 
 def predict(hypothesis: Column, reference: Column, score: Column, confidence: Column, most: int = rubric.MAX_SCORE) -> tuple[Column, Column]:
     """(score, confidence): the rule's where it is sure, else a weighted mean, ties to even."""
-    parts = [(score, RULE * confidence)] + [(sets.scaled(v, most), F.lit(HEURISTIC)) for v in heuristics(hypothesis, reference)]
+    # the order of the sum decides ties that floating point only just makes or misses
+    parts = [(sets.scaled(v, most), F.lit(HEURISTIC)) for v in heuristics(hypothesis, reference)] + [(score, RULE * confidence)]
     mean = sum((v * w for v, w in parts), F.lit(0.0)) / sum((w for _, w in parts), F.lit(0.0))
     sure = confidence >= SURE
     return F.when(sure, score).otherwise(F.bround(mean).cast("int")), F.when(sure, confidence).otherwise(0.5 * confidence + 0.5)

@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
     "q_ensemble_score": f"""WITH {_LCS.format(tables=_ERR, h='lh', r='lr')},
       mixed AS (SELECT o.*, o.confidence AS rule_confidence, o.score AS rule_score, 0.4::DOUBLE * o.confidence AS w,
         jaccard * 6 * 0.2::DOUBLE + d.distance::DOUBLE / greatest(len(lh), len(lr), 1) * 6 * 0.2::DOUBLE + semantic * 6 * 0.2::DOUBLE AS v FROM scored o JOIN dist d USING (pair_id)),
-      done AS (SELECT *, CASE WHEN rule_confidence >= 0.85 THEN rule_score ELSE round_even((rule_score * w + v) / (w + 0.6::DOUBLE), 0)::INT END AS final FROM mixed)
+      done AS (SELECT *, CASE WHEN rule_confidence >= 0.85 THEN rule_score ELSE round_even((v + rule_score * w) / (0.2::DOUBLE + 0.2::DOUBLE + 0.2::DOUBLE + w), 0)::INT END AS final FROM mixed)
       SELECT conv_id, turn, rule_score, round(rule_confidence, 6) AS rule_confidence, final AS score, round(CASE WHEN rule_confidence >= 0.85 THEN rule_confidence ELSE 0.5 * rule_confidence + 0.5 END, 6) AS confidence,
       {_category('rule_score')} AS category, {_category('final')} AS final_category FROM done""",
     "q_pair_wer": f"{_PAIR_WER} SELECT conv_id, turn, round(wer, 6) AS wer, exact_match FROM m",
