@@ -34,7 +34,8 @@ from parlance.llm.common import cut
 
 SIZE, UNIT, END = 4096, 16, 2
 CAPACITY = SIZE // UNIT
-CACHE_WORDS = 1_000_000
+#: Words that are known at most, and that stay known after a task, as a worker lives on.
+CACHE_WORDS, LASTING_WORDS = 600_000, 100_000
 #: Words of plain Latin letters that are tokenised as one text.
 JOINED = 200
 #: A word of plain Latin letters, and sentence marks behind it: two tokens for the pre-tokeniser in any case.
@@ -128,6 +129,8 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                         counts[kind] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "place"])
+        if len(t.data) > LASTING_WORDS:
+            t.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind long, part long, place long")
 
