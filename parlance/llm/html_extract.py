@@ -368,6 +368,11 @@ def training_pages(count: int = 500, seed: int = 20) -> list[list[Block]]:
         for b in found:
             b.main = b.main and not (rest & set(b.path)) and not (b.marks & _REST_MARKS)
         pages.append(found)
+        if r.random() < 0.1:  # a page of text alone, or of bare paragraphs
+            bare = blocks(r.choice((text(), f"<body>{text()}</body>", some("p", 1, 6, text), f"<body>{some('p', 1, 6, text)}</body>")))
+            for b in bare:
+                b.main = True
+            pages.append(bare)
     return pages
 
 

@@ -22,7 +22,8 @@ document is counted, and the table is held at `COMMON` entries.
 
 Edge cases: a null, empty or wordless text has no shingles and stands alone;
 fewer than five words are one shingle; equal sets are one class, of any size; an
-empty table gives an empty table; other columns are neither read nor returned.
+empty table gives an empty table; a document without id has no component; other
+columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -206,7 +207,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """`doc_id, n_shingles, component_id` of every row of `doc_id, text`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long"))
-    classes = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    docs = docs.where("doc_id IS NOT NULL")
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
 
     prefix = cut(prefixes(docs, common_shingles(docs)).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     posting = prefix.select("doc_id", F.col("n").cast("int").alias("n"), F.round(-F.col("central"), 3).cast("float").alias("lead"), F.posexplode("tokens").alias("place", "token"))
@@ -244,4 +246,4 @@ def groups(docs: DataFrame) -> DataFrame:
     drop(more)
 
     classes = classes.join(label, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id"))
-    return sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END").alias("component_id"))

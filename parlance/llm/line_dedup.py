@@ -16,7 +16,7 @@ the lines, however many documents share them.
 Edge cases: null text stays null, and empty text empty; lines without a word are
 kept unless they lie inside a deleted block; a line repeated within a document is
 no duplicate by itself; of documents with one id, each is treated by the lines of
-all of them; a document that earlier ones hold in full becomes empty; an empty
+all of them, and one without id is left as it is; a document that earlier ones hold in full becomes empty; an empty
 table gives an empty table; other columns stay as they are.
 """
 
@@ -138,7 +138,7 @@ def doomed(shared: list[tuple[int, int, int, list[int], list[int]]], rare: int =
 
 def duplicates(docs: DataFrame, rare: int = RARE, long: int = LONG, block: int = BLOCK) -> DataFrame:
     """`doc_id, doomed`: the line numbers to delete, for documents with any."""
-    lines = cut(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, h long, words int, at array<int>"))
+    lines = cut(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_lines, "doc_id long, h long, words int, at array<int>"))
     held = lines.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # joins are shuffled at every size: neither side has a bound that would let it be broadcast
     shared = lines.join(held.hint("merge"), "h").where("doc_id <> first.doc_id").select("doc_id", F.col("first.doc_id").alias("holder"), "n", "words", "at", F.col("first.at").alias("there"))

@@ -34,7 +34,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def held_out(doc_id) -> "F.Column":
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def features(texts: pa.Array, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
