@@ -63,7 +63,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _increasing(values: list[int]) -> list[int]:
-    """Places of a longest strictly increasing subsequence (patience sorting)."""
+    """Places of a longest strictly increasing subsequence, by patience sorting: of equally long ones, the one with the latest places from its end."""
     tops: list[int] = []
     tails: list[int] = []
     back = [-1] * len(values)
