@@ -38,9 +38,8 @@ CAPACITY = SIZE // UNIT
 CACHE_WORDS, LASTING_WORDS = 600_000, 100_000
 #: Words of plain Latin letters that are tokenised as one text.
 JOINED = 200
-#: A word of plain Latin letters, and sentence marks behind it: two tokens for the pre-tokeniser in any case.
-_PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.+))$", re.M)
-_LATIN = re.compile("[a-zß-öø-ÿ]+")
+#: A lower-cased word of plain Latin letters, and sentence marks behind it: two tokens for the pre-tokeniser in any case.
+_PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([.,;:!?]*)|(.+))$", re.M)
 
 
 class _Numbers(dict):
@@ -78,20 +77,26 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.data, self.core = _Numbers(), [], {}
+        self.number, self.data = _Numbers(), []
 
     def _learn(self, words: list[bytes]) -> None:
-        core = self.core
-        split = [(a.lower(), b) if a else (c, "") for a, b, c in _PLAIN.findall(b"\n".join(words).decode(errors="replace"))]
-        plain = [a for a in {a for a, _ in split} if a not in core and a.isalpha() and a.isascii() | bool(_LATIN.fullmatch(a))]
-        for e, i in zip(self.merges.encode_batch_fast([" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)], add_special_tokens=False), range(0, len(plain), JOINED), strict=True):
+        whole = [w.decode(errors="replace") for w in words]
+        found = _PLAIN.findall("\n".join(whole).lower())
+        base = len(self.data)
+        self.data += [b""] * len(words)
+        plain = [i for i, (a, _, _) in enumerate(found) if a]
+        chunks = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        texts = [" ".join([f"{a} {b}" if b else a for a, b, _ in map(found.__getitem__, chunk)]) for chunk in chunks]
+        for chunk, e in zip(chunks, self.merges.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             data = ids.tobytes()
-            to = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            core.update(zip(plain[i : i + JOINED], [data[x:y] for x, y in zip([0, *to], to, strict=False)], strict=True))
-        other = list({x for p in split for x in p if x not in core})
-        core.update(zip(other, [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)], strict=True))
-        self.data += [core[a] + core[b] for a, b in split]
+            last = np.cumsum([2 if found[i][1] else 1 for i in chunk]) - 1
+            to = ((np.flatnonzero(self.ends[ids])[last] + 1) * 4).tolist()
+            for i, x, y in zip(chunk, [0, *to], to, strict=False):
+                self.data[base + i] = data[x:y]
+        other = [i for i, (a, _, _) in enumerate(found) if not a]
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([whole[i] for i in other], add_special_tokens=False), strict=True):
+            self.data[base + i] = np.array(e.ids, "<u4").tobytes()
 
     def encode_batch(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (UTF-8) as little-endian unsigned 32-bit numbers."""
