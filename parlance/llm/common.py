@@ -29,6 +29,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     # freed Arrow and numpy buffers go back to the system: workers outlive their tasks
     spark.sparkContext.environment.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "33554432"})
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from parlance.llm import common
 
@@ -151,10 +152,10 @@ def ordered(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[t
     return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-9))
 
 
-def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 256) -> DataFrame:
-    """Judge `doc_id, text`. sample_rows bounds the rows that the cascade's order is estimated on."""
+def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 256, sample_chars: int = 100_000) -> DataFrame:
+    """Judge `doc_id, text`. The cascade's order is estimated on at most sample_rows whole texts of at most sample_chars each; every text is judged."""
     df = df.select("doc_id", "text")
-    sample = [r.text for r in df.select("text").limit(sample_rows).collect()]
+    sample = [r.text for r in df.select("text").where(F.coalesce(F.length("text"), F.lit(0)) <= sample_chars).limit(sample_rows).collect()]
     cascade = tuple(r for r, _, _ in ordered(sample, rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
