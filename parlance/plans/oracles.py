@@ -163,4 +163,8 @@ ORACLES: dict[str, str] = {
       g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)) AS l FROM v),
       n AS (SELECT vec_id, list_transform(e, lambda x: greatest(-1, least(1, x * CASE WHEN l > 1e-8 THEN 0.1 / l ELSE 1 END))) AS e FROM g)
       SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)), 5) AS rms, round(list_max(e), 5) AS peak FROM n""",
+    "q_mean_log_prob": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 6) AS confidence FROM embeddings",
+    "q_mono": "SELECT vec_id, len(embedding)::BIGINT AS samples, round(list_max([(embedding[i] + embedding[len(embedding) + 1 - i])::DOUBLE / 2 FOR i IN range(1, len(embedding) + 1)]), 5) AS peak FROM embeddings",
+    "q_manifest": f"SELECT url AS audio, '{lexicon.MANIFEST_TEXT}' AS reference FROM pages",
 }
+ORACLES["q_usable_segments"] = f"SELECT user_id, start_frame AS start_time, end_frame - start_frame AS duration FROM ({ORACLES['q_event_segments']}) WHERE end_frame - start_frame BETWEEN 2 AND 30"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parlance.functions import align, lexicon, sets, text
 from parlance.operators import agreement, audio, ensemble, evaluation, position, rubric, transcripts
 from parlance.plans.derive import pairs, ratings
+from parlance.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,6 +268,32 @@ def _waves(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("waveform"))
 
 
+@query
+def usable_segments(spark, sf_dir):
+    """Event segments of 2 to 30 events."""
+    s = event_segments(spark, sf_dir).withColumnsRenamed({"start_frame": "start_time", "end_frame": "end_time"})
+    return audio.usable(s, audio.Audio(shortest=2, longest=30)).select("user_id", "start_time", audio.duration().alias("duration"))
+
+
+@query
+def mean_log_prob(spark, sf_dir):
+    """Each vector's mean, as that of token log-probabilities."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.round(transcripts.mean_log_prob("embedding"), 6).alias("confidence"))
+
+
+@query
+def mono(spark, sf_dir):
+    """The mean of each vector and its reverse as two channels."""
+    m = audio.mono(F.col("waveform"), F.reverse("waveform"))
+    return _waves(spark, sf_dir).withColumn("m", m).select("vec_id", F.size("m").cast("bigint").alias("samples"), F.round(F.array_max("m").cast("double"), 5).alias("peak"))
+
+
+@query
+def manifest(spark, sf_dir):
+    """A manifest row for every page."""
+    return files.manifest(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("file")))
+
+
 @query
 def rms_normalize(spark, sf_dir):
     w = _waves(spark, sf_dir).withColumn("waveform", audio.normalized(F.col("waveform")))
