@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import math
 import os
 import uuid
@@ -61,6 +62,12 @@ def drop(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go now: Spark removes them once their plans are collected as garbage, which the driver does rarely."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _LEFT: dict[str, SparkSession] = {}
 
 

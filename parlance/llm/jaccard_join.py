@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import common
-from parlance.llm.common import cut, drop
+from parlance.llm.common import cut, drop, release
 from parlance.llm.components import components
 
 WORDS = 5
@@ -210,13 +210,16 @@ def groups(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL")
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
 
+    spark = docs.sparkSession
     prefix = cut(prefixes(docs, common_shingles(docs)).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     posting = prefix.select("doc_id", F.col("n").cast("int").alias("n"), F.round(-F.col("central"), 3).cast("float").alias("lead"), F.posexplode("tokens").alias("place", "token"))
     posting = posting.withColumn("rest", F.col("n") - F.col("place")).drop("place")
     shared = posting.select("token").groupBy("token").count().where("count > 1").select("token")
     posting = cut(posting.join(shared, "token"))
     drop(prefix)
+    release(spark)
     texts = cut(docs.join(posting.select("doc_id").distinct(), "doc_id", "left_semi"))
+    release(spark)
 
     # the most central document leads, then the smaller id
     leaders = posting.groupBy("token").agg(F.min(F.struct("lead", "doc_id", "n", "rest")).alias("first"))
@@ -224,6 +227,7 @@ def groups(docs: DataFrame) -> DataFrame:
     star = star.where(f"5 * least(n, first.n) >= 4 * greatest(n, first.n) AND least(rest, first.rest) >= {OVERLAP.format(a='n', b='first.n')}")
     star = star.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = cut(verified(star, texts))
+    release(spark)
     label = components(links)
 
     # the matrix: of each group, shingles with the largest rest, and the smallest and largest set that has them
@@ -242,6 +246,7 @@ def groups(docs: DataFrame) -> DataFrame:
     met = met.where(f"spare >= 0 AND shared >= {NEED.format(n='least')}")
     more = cut(links.union(verified(met, texts)))
     drop(grouped, texts, links)
+    release(spark)
     label = components(more)
     drop(more)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import common
-from parlance.llm.common import cut, drop
+from parlance.llm.common import cut, drop, release
 
 RARE, LONG, BLOCK = 64, 8, 8
 Line = tuple[int, int]  # number in the document, hash
@@ -150,6 +150,7 @@ def duplicates(docs: DataFrame, rare: int = RARE, long: int = LONG, block: int =
 
     out = cut(shared.groupBy("doc_id").applyInArrow(align, "doc_id long, doomed array<int>"))
     drop(lines)
+    release(docs.sparkSession)
     return out
 
 
