@@ -1,13 +1,12 @@
 """Line deduplication by pairwise alignment.
 
 Every line with a word is a hash; the document with the smallest id that has a
-line is its holder. A document overlaps a holder if they share an anchor: a rare
-line (at most `RARE` documents have it) or one of at least `LONG` words, which no
-chance repeats however many documents have it. The lines that a document shares
-with such a holder are aligned by patience diff: lines that are unique on both
-sides, in their longest increasing order, then the gaps between them in the same
-way. Runs of aligned lines that follow each other in both documents are common
-blocks; blocks of at least `BLOCK` words are deleted from the later document.
+line is its holder. The lines that a document shares with a holder are aligned by
+patience diff: lines that are unique on both sides, in their longest increasing
+order, then the gaps between them in the same way. Runs of aligned lines that
+follow each other in both documents are common blocks; blocks of at least `BLOCK`
+words are deleted from the later document. How many documents have a line plays no
+part: a block of short lines goes from the third document as from the thousandth.
 
 A line is only ever deleted against its holder, which keeps it, so that of each
 passage one copy stays; and a line meets one holder, so that the work is linear in
@@ -35,7 +34,9 @@ from pyspark.sql import functions as F
 from parlance.llm import common
 from parlance.llm.common import cut, drop, release
 
-RARE, LONG, BLOCK = 64, 8, 8
+BLOCK = 8
+#: A rare line and a long one, by which the tests' plain rule picks pairs of documents; nothing here does.
+RARE, LONG = 64, 8
 Line = tuple[int, int]  # number in the document, hash
 
 
@@ -110,21 +111,19 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def doomed(shared: list[tuple[int, int, int, list[int], list[int]]], rare: int = RARE, long: int = LONG, block: int = BLOCK) -> list[int]:
+def doomed(shared: list[tuple[int, int, list[int], list[int]]], block: int = BLOCK) -> list[int]:
     """Line numbers to delete from a document.
 
-    shared: (holder, documents that have the line, its words, numbers here, numbers there) of each line.
+    shared: (holder, words, numbers here, numbers there) of each line.
     """
     by: dict[int, list] = defaultdict(list)
     for x in shared:
         by[x[0]].append(x)
     out: list[int] = []
     for lines in by.values():
-        if not any(n <= rare or words >= long for _, n, words, _, _ in lines):
-            continue
-        here = sorted((i, k) for k, x in enumerate(lines) for i in x[3])
-        there = sorted((j, k) for k, x in enumerate(lines) for j in x[4])
-        words = {i: x[2] for x in lines for i in x[3]}
+        here = sorted((i, k) for k, x in enumerate(lines) for i in x[2])
+        there = sorted((j, k) for k, x in enumerate(lines) for j in x[3])
+        words = {i: x[1] for x in lines for i in x[2]}
         run: list[tuple[int, int]] = []
         for pair in [*patience(here, there), None]:
             if run and (pair is None or pair[0] - run[-1][0] != pair[1] - run[-1][1] or pair[0] - run[-1][0] > 2):
@@ -136,16 +135,16 @@ def doomed(shared: list[tuple[int, int, int, list[int], list[int]]], rare: int =
     return sorted(out)
 
 
-def duplicates(docs: DataFrame, rare: int = RARE, long: int = LONG, block: int = BLOCK) -> DataFrame:
+def duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """`doc_id, doomed`: the line numbers to delete, for documents with any."""
     lines = cut(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_lines, "doc_id long, h long, words int, at array<int>"))
     held = lines.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # joins are shuffled at every size: neither side has a bound that would let it be broadcast
-    shared = lines.join(held.hint("merge"), "h").where("doc_id <> first.doc_id").select("doc_id", F.col("first.doc_id").alias("holder"), "n", "words", "at", F.col("first.at").alias("there"))
+    shared = lines.join(held.hint("merge"), "h").where("doc_id <> first.doc_id").select("doc_id", F.col("first.doc_id").alias("holder"), "words", "at", F.col("first.at").alias("there"))
 
     def align(table: pa.Table) -> pa.Table:
-        cols = [table[c].to_pylist() for c in ("holder", "n", "words", "at", "there")]
-        gone = doomed(list(zip(*cols, strict=True)), rare, long, block)
+        cols = [table[c].to_pylist() for c in ("holder", "words", "at", "there")]
+        gone = doomed(list(zip(*cols, strict=True)), block)
         return pa.table({"doc_id": pa.array([table["doc_id"][0].as_py()] * bool(gone), pa.int64()), "doomed": pa.array([gone] * bool(gone), pa.list_(pa.int32()))})
 
     out = cut(shared.groupBy("doc_id").applyInArrow(align, "doc_id long, doomed array<int>"))
@@ -163,7 +162,7 @@ def _without(text: str, gone: list[int]) -> str:
     return "\n".join(x for i, x in enumerate(lines) if i not in drop_)
 
 
-def dedup(docs: DataFrame, rare: int = RARE, long: int = LONG, block: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """`docs` with `text` reduced, and the columns `n_lines` and `doomed` (numbers of the deleted lines with a word, or null)."""
 
     @F.pandas_udf("string")
@@ -171,7 +170,7 @@ def dedup(docs: DataFrame, rare: int = RARE, long: int = LONG, block: int = BLOC
         return pd.Series([t if t is None or g is None else _without(t, sorted(g)) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
     kept = docs.drop(*(c for c in ("n_lines", "doomed") if c in docs.columns))
-    joined = kept.join(duplicates(docs, rare, long, block).hint("merge"), "doc_id", "left")
+    joined = kept.join(duplicates(docs, block).hint("merge"), "doc_id", "left")
     joined = joined.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
     return joined.withColumn("text", reduced("text", "doomed"))
 

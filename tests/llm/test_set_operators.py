@@ -218,6 +218,15 @@ def test_line_dedup_made(spark):
                 assert kept[docs[row.doc_id].split("\n")[int(i)]] < row.doc_id
 
 
+def test_line_dedup_short_lines_of_many(spark):
+    """A passage of short lines goes from every later document, whether 64 or 65 have it; a short line alone stays."""
+    verse = "\n".join(f"verse {i} of six short words" for i in range(12))
+    for n in (64, 65, 90):
+        docs = [(d, f"{verse}\nown line {d}\nown too {d}\nRead more") for d in range(n)]
+        got = {r.doc_id: r.text for r in line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+        assert got == {d: t if d == 0 else f"own line {d}\nown too {d}\nRead more" for d, t in docs}
+
+
 def test_line_dedup_odd_rows(odd):
     got = line_dedup.dedup(odd).collect()
     assert len(got) == 68 and all(r.text is None for r in got if r.doc_id == 10**12)
