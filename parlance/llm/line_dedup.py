@@ -8,9 +8,16 @@ follow each other in both documents are common blocks; blocks of at least `BLOCK
 words are deleted from the later document. How many documents have a line plays no
 part: a block of short lines goes from the third document as from the thousandth.
 
-A line is only ever deleted against its holder, which keeps it, so that of each
-passage one copy stays; and a line meets one holder, so that the work is linear in
-the lines, however many documents share them.
+Documents that overlap without one being the holder of the lines share runs: the
+lines from one on, or back from one, that follow each other until they have `BLOCK`
+words. Every run is a hash with a holder of its own, and goes from every later
+document, whichever documents have its single lines and in whatever order. Every
+line of an unbroken block of `BLOCK` words lies in such a run of it.
+
+A line is deleted only where an earlier document has it, so that the first one with
+it keeps it and of each passage one copy stays; and a line or run meets one holder,
+so that the work is linear in the lines, however many documents share them. What is
+tied over a changed line in the middle of a block is tied against holders of lines.
 
 Edge cases: null text stays null, and empty text empty; lines without a word are
 kept unless they lie inside a deleted block; a line repeated within a document is
@@ -24,6 +31,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -40,8 +48,30 @@ RARE, LONG = 64, 8
 Line = tuple[int, int]  # number in the document, hash
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document and different line of it: hash, words, and the numbers of the lines."""
+def _runs(row: np.ndarray, number: np.ndarray, h: np.ndarray, words: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, last line and hash of the shortest runs of `block` words that begin or end with a line of fewer words.
+
+    A run stays within a row, and no more than one line without a word lies between two of its lines.
+    """
+    step = np.diff(number, prepend=0)
+    part = np.cumsum(np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] > 2)])) if len(row) else row
+    z = np.cumsum(words)
+    a = z - words
+    short = np.flatnonzero(words < block)
+    last = np.searchsorted(z, a[short] + block)
+    first = np.searchsorted(a, z[short] - block, "right") - 1
+    pairs = np.concatenate([np.stack([short, last])[:, last < len(row)], np.stack([first, short])[:, first >= 0]], 1)
+    i, j = np.unique(pairs[:, part[pairs[0]] == part[pairs[1]]], axis=1)
+    run = common.mix(h[i] + common.powers(2)[1])
+    for k in range(1, int((j - i).max(initial=0)) + 1):
+        more = i + k <= j
+        at = i[more] + k
+        run[more] = common.mix(run[more] * common.powers(2)[1] + h[at] + step[at].astype(np.uint64))
+    return i, j, run
+
+
+def _lines(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """A row for each document and different line of it: hash, words, and the numbers of the lines; and for each run, with 0 words."""
     for b in batches:
         doc = b["doc_id"].cast(pa.int64()).to_numpy()
         for i, buf, off in common.slices(b["text"]):
@@ -54,8 +84,16 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, z = np.searchsorted(ws, start), np.searchsorted(ws, end)
             full = z > a
             # a line without the white space around it
-            h = common.span_hashes(buf, ws[a[full]], we[z[full] - 1]).view(np.int64)
+            h = common.span_hashes(buf, ws[a[full]], we[z[full] - 1])
             row, number, words = row[full], number[full], (z - a)[full]
+            first, last, run = _runs(row, number, h, words, block)
+            if len(first):
+                size = last - first + 1
+                off = np.append(0, np.cumsum(size))
+                every = number[np.arange(off[-1]) - np.repeat(off[:-1] - first, size)]
+                at = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(every.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i + row[first]]), pa.array(run.view(np.int64)), pa.array(np.zeros(len(run), np.int32)), at], names=["doc_id", "h", "words", "at"])
+            h = h.view(np.int64)
             by = np.lexsort((number, h, row))
             h, row, number, words = h[by], row[by], number[by], words[by]
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
@@ -114,12 +152,16 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
 def doomed(shared: list[tuple[int, int, list[int], list[int]]], block: int = BLOCK) -> list[int]:
     """Line numbers to delete from a document.
 
-    shared: (holder, words, numbers here, numbers there) of each line.
+    shared: (holder, words, numbers here, numbers there) of each line, and of each run, with 0 words.
     """
     by: dict[int, list] = defaultdict(list)
+    out: set[int] = set()
     for x in shared:
-        by[x[0]].append(x)
-    out: list[int] = []
+        if x[1]:
+            by[x[0]].append(x)
+        # a run, or a line that is a block by itself
+        if not x[1] or x[1] >= block:
+            out.update(x[2])
     for lines in by.values():
         here = sorted((i, k) for k, x in enumerate(lines) for i in x[2])
         there = sorted((j, k) for k, x in enumerate(lines) for j in x[3])
@@ -128,7 +170,7 @@ def doomed(shared: list[tuple[int, int, list[int], list[int]]], block: int = BLO
         for pair in [*patience(here, there), None]:
             if run and (pair is None or pair[0] - run[-1][0] != pair[1] - run[-1][1] or pair[0] - run[-1][0] > 2):
                 if sum(words[i] for i, _ in run) >= block:
-                    out += [i for i, _ in run]
+                    out.update(i for i, _ in run)
                 run = []
             if pair:
                 run.append(pair)
@@ -137,7 +179,7 @@ def doomed(shared: list[tuple[int, int, list[int], list[int]]], block: int = BLO
 
 def duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """`doc_id, doomed`: the line numbers to delete, for documents with any."""
-    lines = cut(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_lines, "doc_id long, h long, words int, at array<int>"))
+    lines = cut(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(partial(_lines, block=block), "doc_id long, h long, words int, at array<int>"))
     held = lines.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # joins are shuffled at every size: neither side has a bound that would let it be broadcast
     shared = lines.join(held.hint("merge"), "h").where("doc_id <> first.doc_id").select("doc_id", F.col("first.doc_id").alias("holder"), "words", "at", F.col("first.at").alias("there"))

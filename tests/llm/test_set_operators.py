@@ -227,6 +227,28 @@ def test_line_dedup_short_lines_of_many(spark):
         assert got == {d: t if d == 0 else f"own line {d}\nown too {d}\nRead more" for d, t in docs}
 
 
+def test_line_dedup_overlaps_without_the_holder(spark):
+    """Blocks that two documents share go from the later one, whichever earlier documents have their single lines."""
+    words = [f"sorted line number {i}" for i in range(12)]
+    long = [f"a line that is long enough to be a block number {i}" for i in range(6)]
+    docs = {
+        # 1 has the lines in reverse order; 2 and 3 in one order, with wordless lines in other places
+        1: [x for w in (words, long) for x in reversed(w)],
+        2: ["own 2", *words, "own too 2", *long],
+        3: ["own 3", "and 3", *words, "own too 3", "and 3", *long],
+        # the block of 13 occurred line by line before
+        10: ["first short one", "x 10", "y 10"],
+        11: ["second short one", "x 11", "y 11"],
+        12: ["x 12", "y 12", "first short one", "second short one", "", "third short one"],
+        13: ["first short one", "second short one", "", "third short one", "x 13", "y 13", "third short one"],
+    }
+    made = spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.report(made).collect()}
+    assert {d: got[d] for d in (1, 10, 11, 12)} == {d: docs[d] for d in (1, 10, 11, 12)}
+    assert got[3] == ["own 3", "and 3", "own too 3", "and 3"]
+    assert got[13] == ["x 13", "y 13", "third short one"]
+
+
 def test_line_dedup_odd_rows(odd):
     got = line_dedup.dedup(odd).collect()
     assert len(got) == 68 and all(r.text is None for r in got if r.doc_id == 10**12)
