@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop|data-main|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(=?[^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Attributes whose words describe an element.
+MARKS = frozenset("class id role aria-label itemprop".split())
 _PART = re.compile("[a-z]+")
 #: Elements whose content is no markup; all of it is left out.
 RAW = frozenset("script style noscript template iframe textarea title svg math object select head canvas audio video button".split())
@@ -142,9 +144,11 @@ def blocks(html: str | None) -> list[Block]:
                     main = value == "1"
                 elif name == "hidden":
                     hidden = True
+                elif name == "aria-hidden":
+                    hidden = hidden or value == "true"
                 elif name == "style":
                     hidden = hidden or "display:none" in value.replace(" ", "")
-                elif tag not in ("html", "body"):
+                elif name in MARKS and tag not in ("html", "body"):
                     marks.update(_PART.findall(value))
         if not m[3].endswith("/"):
             stack.append((tag, frozenset(marks), main, hidden))

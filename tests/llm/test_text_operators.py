@@ -190,6 +190,17 @@ def test_html(spark, sf_dir):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_hides_by_whole_attributes():
+    shown = ['aria-hidden="false"', 'title="Hidden gems of Rome"', 'data-state="not-hidden"', "data-hidden", "data-x=hidden", "data-style='display:none'", "alt = 'so hidden'", "=hidden"]
+    for a in shown:
+        for tag in ("div", "article", "body"):
+            assert [b.text for b in html_extract.blocks(f"<{tag} {a}><p>here</p></{tag}>")] == ["here"], a
+    for a in ("hidden", 'class="x" hidden', "HIDDEN=''", 'hidden="until-found"', "aria-hidden=true", "title='a' style='color:red; display: none'"):
+        assert html_extract.blocks(f"<div {a}><p>secret</p></div>") == [], a
+    marked = html_extract.blocks("<div data-id=nav title='class=\"ad\"' CLASS='main-text' id = top>here</div>")
+    assert marked[0].marks == {"main", "text", "top"}
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(5)
     names = {f"f{i}": i for i in range(4)}
