@@ -7,7 +7,8 @@ text features are scored, neighbours are tied by transition weights, and Viterbi
 decoding picks the best label sequence. The weights are trained on labelled pages
 (by default `training_pages`, made by a seeded generator of page layouts).
 
-Scripts, styles, forms' controls and comments in the markup never become blocks.
+Scripts, styles, forms' controls and comments in the markup never become blocks. A
+control or another excluded element without an end tag ends at the next tag of a block.
 The main blocks are joined in page order by an empty line.
 
 Edge cases: a null or empty html, or one without text, gives the empty text; text
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,10 +36,18 @@ _ATTR = re.compile(r"""(=?[^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))
 #: Attributes whose words describe an element.
 MARKS = frozenset("class id role aria-label itemprop".split())
 _PART = re.compile("[a-z]+")
-#: Elements whose content is no markup; all of it is left out.
-RAW = frozenset("script style noscript template iframe textarea title svg math object select head canvas audio video button".split())
+#: Elements whose content is no markup; all of it is left out, to the end of the page without an end tag, as HTML has it.
+RAW = frozenset("script style iframe textarea title".split())
+_RAW_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I | re.A) for t in RAW}
+#: Elements whose content is markup that isn't text of the page.
+EXCLUDED = frozenset("noscript template svg object select canvas audio video button annotation annotation-xml".split())
+_EXCLUDED_START = re.compile(f"<(?:{'|'.join(sorted(EXCLUDED))})[\\s/>]", re.I | re.A)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()) | frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+#: Tags of blocks, at which an excluded element without an end tag ends.
+BLOCKS = frozenset("html body p div article section main aside nav header footer h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre address figure figcaption form fieldset details summary center hr".split())
 #: An opening tag closes an open one of its set, within the given bounds.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("ul ol dl table article section div main aside nav header footer body td form blockquote".split())
@@ -53,6 +63,36 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
+def _excluded_ends(html: str) -> dict[int, int]:
+    """Where each excluded element that has an end tag begins and ends; one that an enclosing element's end tag closes has none."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        tag = m[2] and m[2].lower()
+        if not tag or tag in VOID or (tag in INLINE and tag not in EXCLUDED):
+            continue
+        if m[1]:
+            while held[tag]:
+                name, start = stack.pop()
+                held[name] -= 1
+                if name == tag:
+                    if tag in EXCLUDED:
+                        ends[start] = at
+                    break
+        elif m[3].endswith("/"):
+            continue
+        elif tag in RAW:
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
+        else:
+            stack.append((tag, m.start()))
+            held[tag] += 1
+    return ends
+
+
 def blocks(html: str | None) -> list[Block]:
     """Leaf blocks in page order, their white space normalised; blocks without text are left out."""
     out: list[Block] = []
@@ -73,12 +113,15 @@ def blocks(html: str | None) -> list[Block]:
             links[0] = 0
 
     def say(raw: str) -> None:
+        if mute:
+            return
         text = entities.unescape(raw)
         parts.append(text)
         if any(t == "a" for t, _, _, _ in stack):
             links[0] += len(text.strip())
 
-    at, low = 0, None
+    ends = _excluded_ends(html) if _EXCLUDED_START.search(html) else {}
+    at, mute = 0, False
     while True:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -92,7 +135,14 @@ def blocks(html: str | None) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if mute and tag not in RAW and tag not in EXCLUDED:
+            # inside an excluded element without an end tag
+            if tag not in BLOCKS:
+                continue
+            mute = False
         if m[1]:
+            if tag in EXCLUDED:
+                continue
             if tag in INLINE:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
@@ -111,16 +161,20 @@ def blocks(html: str | None) -> list[Block]:
             parts.append(" ")
             continue
         if tag in RAW:
-            if tag not in ("button", "svg", "math"):
+            flush()
+            if not m[3].endswith("/"):
+                end = _RAW_END[tag].search(html, at)
+                at = end.end() if end else len(html)
+            continue
+        if tag in EXCLUDED:
+            if tag not in ("button", "svg", "annotation", "annotation-xml"):
                 flush()
             if not m[3].endswith("/"):
-                low = low or html.lower()
-                end = re.compile(rf"</{tag}\s*>").search(low if len(low) == len(html) else html, at)
-                if tag == "head" and end is None:
-                    end = re.compile("<body", re.I).search(html, at)
-                    at = end.start() if end else len(html)
-                else:
-                    at = end.end() if end else len(html)
+                at = ends.get(m.start(), at)
+                mute = m.start() not in ends
+            continue
+        if tag == "head":
+            flush()
             continue
         if tag in VOID:
             if tag == "hr":

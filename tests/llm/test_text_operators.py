@@ -201,6 +201,24 @@ def test_html_hides_by_whole_attributes():
     assert marked[0].marks == {"main", "text", "top"}
 
 
+@pytest.mark.parametrize("tag", ["button", "svg", "object", "select", "canvas", "audio", "video", "noscript", "template"])
+def test_html_unclosed_elements_end(tag):
+    texts = lambda html: [b.text for b in html_extract.blocks(html)]
+    assert texts(f"<body><{tag} class=x>OK<article><p>one</p><p>two</p></article></body>") == ["one", "two"]
+    assert texts(f"<article><p>one</p><div><{tag}>OK</div><p>two</p></article><{tag}>no</{tag}><p>three") == ["one", "two", "three"]
+    assert texts(f"<p>one</p><{tag}>no<p>two</p><{tag}><p>no</p><b>no</b></{tag}><p>three</p>") == ["one", "two", "three"]
+    assert texts(f"<div><{tag}><p>no</p><div>no</div><script></{tag}></script>no</{tag.upper()} ></div>two") == ["two"]
+    assert texts(f"<p>one</p><{tag}>OK<{tag}>OK<p>two") == ["one", "two"]
+
+
+def test_html_math_and_head():
+    texts = lambda html: [b.text for b in html_extract.blocks(html)]
+    assert texts("<p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>no</annotation></semantics></math> then</p>") == ["If x=2 then"]
+    assert texts("<p>a <button>no</button>b <svg><g><text>no</text></g></svg>c</p>") == ["a b c"]
+    assert texts("<head><title>no</title><meta charset=x><p>one</p><p>two") == ["one", "two"]
+    assert texts("<header>top</header><script>no</p>") == ["top"]
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(5)
     names = {f"f{i}": i for i in range(4)}
