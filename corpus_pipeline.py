@@ -35,10 +35,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one with the smallest id stays."""
+    """Of each group of similar documents, the one with the smallest id stays.
+
+    Rows are numbered first, so that those without an id or with a repeated one
+    take part as others do: a row without id stays unless a row with one, or an
+    earlier numbered row without, is similar to it; of similar rows with one id
+    one stays, as of wordless ones.
+    """
     prepare(spark)
-    first = jaccard_join.groups(docs).where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    groups = jaccard_join.groups(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    groups = groups.join(rows.select("row", "doc_id"), "row").withColumn("wordless", F.expr("n_shingles = 0 AND doc_id IS NOT NULL"))
+    groups = groups.groupBy("wordless", F.expr("CASE WHEN wordless THEN doc_id ELSE component_id END"))
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

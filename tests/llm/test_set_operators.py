@@ -412,5 +412,16 @@ def test_pipeline(spark, sf_dir, tmp_path, rows):
     assert not any(pii.find(t)[k] for t in kept.values() for k in pii.BASE)
 
 
+def test_near_duplicates_without_ids(spark, sf_dir):
+    """Rows without an id stay unless a copy does, and one of equal rows of one id."""
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, "clean and without an id of its own"), (None, "another clean row without an id"), (None, f"{long} more"), (None, "twice the same row without id"), (None, "twice the same row without id")]
+    rows += [(7, long), (9, long + " end"), (5, "the same row of one id twice"), (5, "the same row of one id twice"), (6, "two texts of one id, this"), (6, "and this, quite another one"), (8, ""), (8, ""), (4, ""), (None, ""), (-3, "negative id of a row")]
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in rows], DOCS).repartition(4)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    expected = {r for r in rows if r not in {(None, f"{long} more"), (9, long + " end")}}
+    assert collections.Counter(got) == collections.Counter(expected)
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
