@@ -51,11 +51,19 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return F.coalesce(*(F.when(rule == r, v) for v, r in rules)) if rules else F.lit(None).cast("string")
 
 
+def _without_dots(path: Column) -> Column:
+    """The path with its segments `.` and `..` resolved; one `..` too many stays at the root."""
+    parts = F.split(F.regexp_replace(path, r"/\.\.?\z", "$0/"), "/")
+    up = lambda out: F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda out, s: F.when(s == "..", up(out)).when(s == ".", out).otherwise(F.concat(out, F.array(s))))
+    return F.when(path.rlike(r"/\.\.?(?:/|\z)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The URL without fragment, its scheme and host in lower case; null where there is no host."""
+    """The URL without fragment and dot segments, its scheme and host in lower case; null where there is no host."""
     scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?)://", 1), UPPER, LOWER)
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), rest))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*([^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), _without_dots(path_of(url)), query))
 
 
 def _let(value: Column, use) -> Column:
@@ -68,7 +76,8 @@ def _absolute(url: Column, to: Column) -> Column:
     site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*/)?", 1)
     return (
-        F.when(to.rlike(r"^(?:$|[#?])"), None)
+        F.when(to.rlike(r"^(?:$|#)"), None)
+        .when(to.startswith("?"), F.concat(site, path_of(url), to))
         .when(to.contains("://"), to)
         .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), to))
         .when(to.startswith("/"), F.concat(site, to))

@@ -390,6 +390,18 @@ def test_url_aliases(spark):
     assert "Python" not in url_filter.judge(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_url_relative_links(spark):
+    link = '<link rel="canonical" href="{}">'
+    to = {"?id=7": "https://h.org/a/b?id=7", "?u=x://y": "https://h.org/a/b?u=x://y", "./c": "https://h.org/a/c", "../c?q=/../": "https://h.org/c?q=/../", "../../../c": "https://h.org/c", "/x/./y/../z": "https://h.org/x/z", "..": "https://h.org/", ".": "https://h.org/a/", "/x/..y/.z": "https://h.org/x/..y/.z", "https://I.org/p/../q#f": "https://i.org/q"}
+    pages = [(k, "https://h.org/a/b?old=1#top", link.format(t)) for k, t in enumerate(to)]
+    for page, there in zip(pages, to.values(), strict=True):
+        found = url_filter.links(spark.createDataFrame([page], "page_id long, url string, html string")).collect()
+        assert [tuple(r) for r in found] == [("https://h.org/a/b?old=1", there)], page
+    made = [(1, "https://h.org/a/b", link.format("?id=7")), (2, "https://h.org/a/b?id=7", link.format("https://b.net/")), (3, "https://h.org/x/y", link.format("../a/b"))]
+    got = url_filter.judge(spark.createDataFrame(made, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_pipeline(spark, sf_dir, tmp_path, rows):
     labels = f"{tmp_path}/labels.parquet"
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(labels)
