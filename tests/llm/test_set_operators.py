@@ -1,9 +1,11 @@
 """Operators on many rows against brute force, with odd rows."""
 
 import collections
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -330,6 +332,21 @@ def test_top_k(spark, sf_dir):
     assert sorted(map(tuple, queries.op10_exact_topk(spark, sf_dir).collect())) == sorted(con.sql(topk.ORACLE).fetchall())
 
 
+def brute_top(rows, k=5):
+    """(id, vector) rows: the documented result, in Python's integers."""
+    good = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    asked = {}
+    for i, v in good:
+        if i % 50 == 0:
+            asked[i] = min(v, asked.get(i, v))
+    out = []
+    for q, x in asked.items():
+        score = lambda y: max(-(2**63), min(2**63 - 1, sum(map(int.__mul__, x, y))))  # noqa: E731, B023
+        best = sorted((-score(y), i) for i, y in good if i != q)[:k]
+        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    return out
+
+
 @pytest.mark.parametrize("chunk", [1 << 14, 3])
 def test_top_k_odd_rows(spark, chunk, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", chunk)
@@ -337,16 +354,28 @@ def test_top_k_odd_rows(spark, chunk, monkeypatch):
     r = np.random.default_rng(3)
     rows = [(i, (r.normal(size=r.integers(1, 6)) * r.choice([0.01, 1, 30])).tolist()) for i in range(400)]
     rows += [(1000 + i, [1.0, 2.0]) for i in range(60)] + [(2000, None), (2050, [1.0, None]), (2100, [float("nan")]), (2150, [float("inf")]), (None, [1.0]), (2200, []), (2250, [0.0])]
+    # repeated rows, and one id with two vectors
+    rows += [rows[50], rows[50], rows[7], (100, [3.0, -1.0]), (8, [2.0])]
     df = spark.createDataFrame([(*x, 1.0) for x in rows], "vec_id long, embedding array<double>, score double")
-    good = {i: np.pad(np.floor(256 * np.array(v)), (0, 5 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    expected = []
-    for q, x in good.items():
-        if q % 50 == 0:
-            best = sorted((-int(x @ y), i) for i, y in good.items() if i != q)[:5]
-            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(expected)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(brute_top(rows))
     assert topk.top_k(df.limit(0)).count() == 0
-    assert sorted(map(tuple, topk.top_k(df.where("vec_id IN (100, 150, 7)")).select("query_id", "rank").collect())) == [(100, 1), (100, 2), (150, 1), (150, 2)]
+    assert sorted(map(tuple, topk.top_k(df.where("vec_id IN (150, 200, 7)")).select("query_id", "rank").collect())) == [(150, 1), (150, 2), (150, 3), (200, 1), (200, 2), (200, 3)]
+
+
+def test_top_k_large_components(spark, monkeypatch):
+    """No magnitude leaves a vector out, and no sum loses a digit."""
+    monkeypatch.setattr(topk, "SEED", 4)
+    r = np.random.default_rng(5)
+    rows = [(50, [1.0, 0.0]), (1, [70000.0, 0.0]), (2, [2.0, 0.0])]
+    for i in range(200):
+        scale = float(r.choice([1, 1e4, 1e6, 1e7, 1e9, 1e15, 1e300]))
+        rows.append((100 + i, (r.normal(size=40) * scale).round(3).tolist()))
+    rows += [(350 + i, [1e308, -1e308, float(i), 5e-324]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.top_k(df).collect()))
+    assert got == sorted(brute_top(rows))
+    little = [x for x in rows if x[0] in (50, 1, 2)]
+    assert [tuple(x) for x in topk.top_k(spark.createDataFrame(little, "vec_id long, embedding array<float>")).collect()] == [(50, 1, 1, 256 * 70000 * 256), (50, 2, 2, 256 * 512)]
 
 
 def test_url_filter(spark, sf_dir):
