@@ -5,11 +5,15 @@ signs, digits, plus signs, URL schemes and identifier cues. At each anchor a
 deterministic local parser expands to the left and right, finds the boundaries
 of the address or account and validates it (part ranges, digit counts, Luhn and
 mod-97 sums). Matches of one kind don't overlap and the leftmost wins; a match
-that fails validation is dropped and its characters aren't tried again.
+that fails validation is dropped and its characters aren't tried again. No
+character is read more than a few times: a run of digits is parsed from its first
+digit only, and where no parser can begin inside what another try has read, the
+walk goes on behind it.
 
 Edge cases: a null or empty text has no spans; a repeated row gets the spans of
-its copy; a text of any length is walked in linear time; an empty table gives an
-empty table; other columns are neither read nor returned by `find`.
+its copy; a text of any length, of one character even, is walked in linear time;
+an empty table gives an empty table; other columns are neither read nor returned
+by `scan`, and stay as they are in `redact`, which changes one column.
 """
 
 from __future__ import annotations
@@ -28,17 +32,20 @@ BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base, in the order of their spans.
 ADDED = ("login_url", "iban", "secret")
 KINDS = BASE + ADDED
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_RUN = re.compile("[0-9]+")
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOGIN = re.compile(r"://[^\s/@:?#<>\"']+:[^\s/@?#<>\"']+@[A-Za-z0-9.-]+")
+_LOGIN = re.compile(r"://[^\s/@:?#<>\"']++:[^\s/@?#<>\"']++@[A-Za-z0-9.-]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}")
 _SECRET = re.compile(r"""[\x20_-]?(?:key)?["']?[\x20]?[:=][\x20]?["']?([A-Za-z0-9_+/=-]{16,})""")
+#: Characters between a cue and its value, at most.
+SEPARATOR = 9
 #: Words that announce a secret value.
 CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access")
 
@@ -82,10 +89,14 @@ def find(text: str | None) -> dict[str, list[Span]]:
         return out
     if not _AC:
         _AC.append(_automaton())
-    email_to = ip_to = card_to = phone_to = login_to = secret_to = iban_to = 0
+    email_to = run_to = ip_to = card_to = phone_to = login_to = secret_to = tried_to = iban_to = 0
     for last, (kind, size) in _AC[0].iter(text):
         at = last + 1 - size
         if kind == "0":
+            # every parser of digits begins at the first one of a run: what it reads ends at the end of a run
+            if at < run_to:
+                continue
+            run_to = _RUN.match(text, at).end()
             if at >= ip_to and (m := _IP.match(text, at)):
                 ip_to = m.end()
                 if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
@@ -117,17 +128,19 @@ def find(text: str | None) -> dict[str, list[Span]]:
                     start -= 1
                 out["login_url"].append((start, m.end()))
                 login_to = m.end()
-        elif last >= secret_to and (m := _SECRET.match(text, last + 1)) and re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
-            out["secret"].append(m.span(1))
-            secret_to = m.end()
+        elif last >= secret_to and last + SEPARATOR >= tried_to and (m := _SECRET.match(text, last + 1)):
+            if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
+                out["secret"].append(m.span(1))
+                secret_to = m.end()
+            # a value without a digit or a letter holds none that has both: only one behind it is tried
+            tried_to = m.end()
     return out
 
 
 def _iban_end(text: str, start: int, end: int) -> int | None:
     """The longest end at which the sum is right."""
     while end - start >= 15:
-        code = text[start:end].replace(" ", "")
-        if 15 <= len(code) <= 34 and text[end - 1] != " " and not text[end : end + 1].isalnum() and mod97(code):
+        if text[end - 1] != " " and not text[end : end + 1].isalnum() and 15 <= len(code := text[start:end].replace(" ", "")) <= 34 and mod97(code):
             return end
         end -= 1
     return None
@@ -150,6 +163,7 @@ def scan(df: DataFrame) -> DataFrame:
                     pa.array([hashlib.sha256(joined(r, BASE).encode()).hexdigest() for r in rows], pa.string()),
                     pa.array([joined(r, KINDS) for r in rows], pa.string()),
                     pa.array([sum(len(r[k]) for k in ADDED) for r in rows], pa.int64()),
+                    pa.array([sum(map(len, r.values())) for r in rows], pa.int64()),
                 ],
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )

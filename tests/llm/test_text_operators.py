@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -104,6 +105,21 @@ def test_pii(spark, sf_dir, texts, odd):
     assert pii.mask("a@b.de, 1.2.3.4") == "[EMAIL], [IP]" and pii.mask(None) is None and pii.mask("") == ""
 
 
+def test_pii_made_and_long():
+    r = random.Random(12)
+    for _ in range(4000):
+        t = "".join(r.choices("0123456789..  -+()@ab1", k=r.randint(0, 60)))
+        assert {k: v for k, v in pii.find(t).items() if k in pii.BASE} == plain_spans(t), t
+    long = 200_000
+    for unit in ("7", "7.", "1 ", "+1", "a@", "token=", "secret", "://a:", "AA11", "@a.", "+1(", "1-", "a1."):
+        began = time.process_time()
+        pii.find(unit * (long // len(unit)))
+        assert time.process_time() - began < 5, unit
+    secret = "a1" * 10
+    found = pii.find(f"token={'a' * 20}token: {secret} token={'a' * 20}_token_key='{secret}")
+    assert len(found["secret"]) == 2
+
+
 def test_sentencepiece(spark, sf_dir, texts, odd):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.codec(path)
