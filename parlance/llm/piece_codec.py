@@ -7,7 +7,9 @@ looks up the rank of every adjacent pair, takes each word's smallest rank by a
 segmented minimum, merges the leftmost occurrence of that pair in all words at
 once, and compacts the array; a word without a pair leaves it. Where no later
 piece can outrank the merged one (known from the vocabulary), all of its
-occurrences that don't overlap merge in the same round, from the left.
+occurrences that don't overlap merge in the same round, from the left. A long
+word of pieces that later ones can outrank (`SLOW_ROUNDS` rounds with hardly a
+merge) is ended by a queue of its pairs, in the same order of merges.
 Characters without a piece become their bytes' pieces.
 
 Word results are kept in a dictionary of bounded size (`CACHE_WORDS`), which is
@@ -22,6 +24,7 @@ read nor returned.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -37,6 +40,8 @@ STEP_ROWS = 256
 #: Symbols that are merged at a time; a longer word is taken alone.
 STEP_CHARS = 200_000
 NO_RANK = np.int64(1 << 40)
+#: Rounds after which long words that still have many pairs left are ended one by one, and what is long.
+SLOW_ROUNDS, LONG_WORD = 400, 1000
 
 
 class PieceModel:
@@ -77,6 +82,8 @@ class PieceModel:
         self.overtaken = np.zeros(n, bool)
         for a in (left, right):
             self.overtaken[a[self.rank[whole] < self.rank[a]]] = True
+        #: for the queue: of a pair, the rank and the piece
+        self.merges: dict[int, tuple[int, int]] = {}
         self.bytes = [b"" if sp.is_control(i) else bytes([int(p[1:-1], 16)]) if self.is_byte[i] else " ⁇ ".encode() if i == self.unk else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.text = [str(i) for i in range(n)]
 
@@ -92,6 +99,36 @@ class PieceModel:
         whole[inner] = np.where(self.key[found] == k, self.whole[found], -1)
         return whole, np.where(whole >= 0, self.rank[whole], NO_RANK)
 
+    def by_queue(self, sym: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """What the merges leave of one word's symbols, with their first places: the smallest rank first, the leftmost of equal ones."""
+        if not self.merges:
+            self.merges.update(zip(self.key.tolist(), zip(self.rank[self.whole].tolist(), self.whole.tolist(), strict=True), strict=True))
+        merges, n, size = self.merges, self.n, len(sym)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < size and sym[i] >= 0 and sym[j] >= 0 and (m := merges.get(sym[i] * n + sym[j])):
+                heapq.heappush(queue, (m[0], i, sym[i], sym[j]))
+
+        for i in range(size - 1):
+            offer(i, i + 1)
+        gone = np.zeros(size, bool)
+        while queue:
+            _, i, left, right = heapq.heappop(queue)
+            j = after[i]
+            if gone[i] or j >= size or sym[i] != left or sym[j] != right:
+                continue
+            sym[i] = merges[left * n + right][1]
+            gone[j] = True
+            after[i] = after[j]
+            if after[j] < size:
+                before[after[j]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        at = np.flatnonzero(~gone)
+        return at, np.array(sym, np.int64)[at]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, its spaces already marks."""
         sym = self.char_id[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -100,7 +137,9 @@ class PieceModel:
         # what can't merge with a neighbour keeps its place; a negative symbol is a character without a piece
         place = np.arange(len(sym))
         whole, rank = self.paired(sym, word, np.arange(len(sym)))
+        rounds = 0
         while len(sym):
+            rounds += 1
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             size = np.diff(np.append(first, len(sym)))
             best = np.minimum.reduceat(rank, first)
@@ -113,6 +152,13 @@ class PieceModel:
                 first = np.cumsum(size) - size
             if not len(sym):
                 break
+            if rounds % SLOW_ROUNDS == 0 and (size >= LONG_WORD).any():
+                for a, n in zip(first[size >= LONG_WORD].tolist(), size[size >= LONG_WORD].tolist(), strict=True):
+                    at, left = self.by_queue(sym[a : a + n].tolist())
+                    done.append((place[a : a + n][at], left))
+                live = np.repeat(size < LONG_WORD, size)
+                sym, word, place, rank, whole = sym[live], word[live], place[live], rank[live], whole[live]
+                continue
             hit = np.flatnonzero(rank == np.repeat(best, size))
             segment = np.searchsorted(first, hit, "right") - 1
             leftmost = np.concatenate([[True], segment[1:] != segment[:-1]])

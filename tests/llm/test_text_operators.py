@@ -142,6 +142,23 @@ def test_sentencepiece(spark, sf_dir, texts, odd):
     assert piece_codec.digest(odd.limit(0), path).count() == 0
 
 
+def test_long_words_merge_as_short_ones(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.PieceCodec(path)
+    r = random.Random(9)
+    for alphabet in ("ha", "aeinrst", "中文字很多的人在"):
+        text = "".join(r.choices(alphabet, k=60_000))
+        began = time.process_time()
+        assert own.encode_batch([text])[0] == lib.encode(text, add_eos=True)
+        assert time.process_time() - began < 20
+    monkeypatch.setattr(piece_codec, "SLOW_ROUNDS", 2)
+    monkeypatch.setattr(piece_codec, "LONG_WORD", 3)
+    for _ in range(500):
+        text = "".join(r.choices("haoie nrst中é\x00lm", k=r.randint(0, 120)))
+        own.ids.clear()
+        assert own.encode_batch([text])[0] == lib.encode(text, add_eos=True)
+
+
 def test_small_cache_changes_nothing(texts, monkeypatch):
     own = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
     expected = own.encode_batch(texts)
