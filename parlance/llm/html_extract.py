@@ -8,13 +8,15 @@ decoding picks the best label sequence. The weights are trained on labelled page
 (by default `training_pages`, made by a seeded generator of page layouts).
 
 Scripts, styles, forms' controls and comments in the markup never become blocks. A
-control or another excluded element without an end tag ends at the next tag of a block.
-The main blocks are joined in page order by an empty line.
+script, a control or another excluded element without an end tag ends at the next tag
+of a block. The main blocks are joined in page order by an empty line.
 
 Edge cases: a null or empty html, or one without text, gives the empty text; text
-without any tag is one block; unclosed and stray tags are tolerated; pages of any
-length are read whole; a repeated row gets its copy's text; an empty table gives
-an empty table; other columns are neither read nor returned.
+without any tag is one block; unclosed and stray tags are tolerated; attributes are
+read as HTML has them, so that a quote inside an unquoted value closes nothing; a tag
+that the page's end cuts off is text. Pages of any length and depth are read whole, in
+linear time; a repeated row gets its copy's text; an empty table gives an empty table;
+other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,13 +32,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parlance.llm.common import prepare
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+#: An attribute's name, and its value in quotes or up to white space. A quote that nothing closes is part of a name.
+_ONE = r"""(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'>])[^\s>]++)?+)?+"""
+_TAG = re.compile(rf"{_COMMENT}|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ONE})*+)>", re.S)
+_LOOSE = re.compile(rf"{_COMMENT}|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_OPENS = re.compile("</?[a-zA-Z]")
 _ATTR = re.compile(r"""(=?[^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Attributes whose words describe an element.
 MARKS = frozenset("class id role aria-label itemprop".split())
 _PART = re.compile("[a-z]+")
-#: Elements whose content is no markup; all of it is left out, to the end of the page without an end tag, as HTML has it.
+#: Elements whose content is no markup; all of it is left out.
 RAW = frozenset("script style iframe textarea title".split())
 _RAW_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I | re.A) for t in RAW}
 #: Elements whose content is markup that isn't text of the page.
@@ -55,12 +64,52 @@ BOUNDS = frozenset("ul ol dl table article section div main aside nav header foo
 
 @dataclass
 class Block:
+    """A leaf block: `context` names the features of its ancestors' tags and marks, `own` the rest."""
+
     text: str
-    path: tuple[str, ...]
-    marks: frozenset[str]
-    linked: float
+    path: int = 0
+    context: frozenset[str] = frozenset()
+    linked: float = 0.0
     main: bool = False
-    features: list[str] = field(default_factory=list)
+    leaf: str = "-"
+    own: list[str] = field(default_factory=list)
+
+    @property
+    def features(self) -> list[str]:
+        return [*sorted(self.context), *self.own]
+
+    @property
+    def marks(self) -> set[str]:
+        return {f.removeprefix("mark=") for f in self.context if f.startswith("mark=")}
+
+
+class _Page:
+    """Finds a page's tags, one after another from any place, in linear time."""
+
+    def __init__(self, html: str):
+        self.html, self.pattern, self.last = html, _TAG, html.rfind(">")
+        self.endless: set[str] = set()
+
+    def after(self, at: int) -> re.Match | None:
+        """The next tag or comment. From a tag on that quotes would keep open to the page's end, tags end at the next `>`."""
+        while (start := self.html.find("<", at)) >= 0:
+            at = start + 1
+            if start > self.last and self.html[at : at + 1] not in ("!", "?"):
+                continue
+            m = self.pattern.match(self.html, start)
+            if m is None and self.pattern is _TAG and _OPENS.match(self.html, start):
+                self.pattern = _LOOSE
+                m = _LOOSE.match(self.html, start)
+            if m:
+                return m
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int | None:
+        """Where the end tag of a raw element ends."""
+        end = None if tag in self.endless else _RAW_END[tag].search(self.html, at)
+        if end is None:
+            self.endless.add(tag)
+        return end and end.end()
 
 
 def _excluded_ends(html: str) -> dict[int, int]:
@@ -68,8 +117,8 @@ def _excluded_ends(html: str) -> dict[int, int]:
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     held: Counter[str] = Counter()
-    at = 0
-    while m := _TOKEN.search(html, at):
+    page, at = _Page(html), 0
+    while m := page.after(at):
         at = m.end()
         tag = m[2] and m[2].lower()
         if not tag or tag in VOID or (tag in INLINE and tag not in EXCLUDED):
@@ -85,45 +134,119 @@ def _excluded_ends(html: str) -> dict[int, int]:
         elif m[3].endswith("/"):
             continue
         elif tag in RAW:
-            end = _RAW_END[tag].search(html, at)
-            at = end.end() if end else len(html)
+            at = page.raw_end(tag, at) or at
         else:
             stack.append((tag, m.start()))
             held[tag] += 1
     return ends
 
 
-def blocks(html: str | None) -> list[Block]:
-    """Leaf blocks in page order, their white space normalised; blocks without text are left out."""
+class _Open:
+    """An open element, with what follows from it and from all elements around it."""
+
+    __slots__ = ("context", "hidden", "inline", "leaf", "live", "main", "path", "tag")
+
+    def __init__(self, tag: str, outer: "_Open | None", inline: bool, names: list[str], main: bool | None, hidden: bool):
+        self.tag, self.inline, self.live = tag, inline, True
+        have = outer.context if outer else frozenset()
+        self.context = have if have.issuperset(names) else have.union(names)
+        self.main = main if main is not None else bool(outer and outer.main)
+        self.hidden = hidden or bool(outer and outer.hidden)
+        self.leaf = (outer.leaf if outer else "-") if inline else tag
+        self.path = hash((outer.path if outer else 0, tag))
+
+
+class _Stack:
+    """The open elements; every question about them is answered without a walk through them."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        #: places of the open elements of each tag, of those that aren't inline, and of bounds (with cells and without)
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.outer: list[int] = []
+        self.bounds: list[int] = []
+        self.wide_bounds: list[int] = []
+
+    @property
+    def top(self) -> _Open | None:
+        return self.open[-1] if self.open else None
+
+    def push(self, x: _Open) -> None:
+        k = len(self.open)
+        self.open.append(x)
+        self.at[x.tag].append(k)
+        if not x.inline:
+            self.outer.append(k)
+            if x.tag in BOUNDS:
+                self.bounds.append(k)
+                if x.tag != "td":
+                    self.wide_bounds.append(k)
+
+    def cut(self, k: int) -> None:
+        """Close all elements from place k on."""
+        while len(self.open) > k:
+            x = self.open.pop()
+            if x.live:
+                self.at[x.tag].pop()
+            for places in (self.outer, self.bounds, self.wide_bounds):
+                if places and places[-1] == len(self.open):
+                    places.pop()
+
+    def end_block(self, tag: str) -> None:
+        if self.at[tag]:
+            self.cut(self.at[tag][-1])
+
+    def end_inline(self, tag: str) -> None:
+        """Close the innermost one inside the innermost block; what it holds stays open."""
+        if self.at[tag] and (not self.outer or self.at[tag][-1] > self.outer[-1]):
+            self.open[self.at[tag].pop()].live = False
+            k = len(self.open)
+            while k and not self.open[k - 1].live:
+                k -= 1
+            self.cut(k)
+
+    def close_for(self, tag: str) -> None:
+        """Close what an opening tag ends."""
+        closes = CLOSES.get(tag) or ({"p"} if tag not in ("html", "body") else ())
+        k = max((self.at[t][-1] for t in closes if self.at[t]), default=-1)
+        bounds = self.wide_bounds if tag == "tr" else self.bounds
+        if k >= 0 and (not bounds or k >= bounds[-1]):
+            self.cut(k)
+
+
+def blocks(html: str | None, known: frozenset[str] | dict | None = None) -> list[Block]:
+    """Leaf blocks in page order, their white space normalised; blocks without text are left out. Contexts hold `known` features only, where given."""
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, frozenset[str], bool, bool]] = []
+    stack, page = _Stack(), _Page(html)
     parts: list[str] = []
-    links = [0]
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
-                marks = frozenset().union(*(m for _, m, _, _ in stack)) if stack else frozenset()
-                if not any(h for _, _, _, h in stack):
-                    out.append(Block(text, tuple(t for t, _, _, _ in stack), marks, links[0] / len(text), any(m for _, _, m, _ in stack)))
+            top = stack.top
+            if text and top is None:
+                out.append(Block(text))
+            elif text and not top.hidden:
+                out.append(Block(text, top.path, top.context, linked / len(text), top.main, top.leaf))
             parts.clear()
-            links[0] = 0
+            linked = 0
 
     def say(raw: str) -> None:
-        if mute:
-            return
-        text = entities.unescape(raw)
-        parts.append(text)
-        if any(t == "a" for t, _, _, _ in stack):
-            links[0] += len(text.strip())
+        nonlocal linked
+        if not mute:
+            text = entities.unescape(raw)
+            parts.append(text)
+            if stack.at["a"]:
+                linked += len(text.strip())
 
     ends = _excluded_ends(html) if _EXCLUDED_START.search(html) else {}
     at, mute = 0, False
     while True:
-        m = _TOKEN.search(html, at)
+        m = page.after(at)
         if m is None:
             if at < len(html):
                 say(html[at:])
@@ -136,40 +259,31 @@ def blocks(html: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if mute and tag not in RAW and tag not in EXCLUDED:
-            # inside an excluded element without an end tag
+            # inside an element without an end tag
             if tag not in BLOCKS:
                 continue
             mute = False
         if m[1]:
-            if tag in EXCLUDED:
-                continue
-            if tag in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-                continue
-            flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if tag in INLINE and tag not in EXCLUDED:
+                stack.end_inline(tag)
+            elif tag not in EXCLUDED:
+                flush()
+                stack.end_block(tag)
             continue
+        closed = m[3].endswith("/")
         if tag == "br":
             parts.append(" ")
             continue
         if tag in RAW:
             flush()
-            if not m[3].endswith("/"):
-                end = _RAW_END[tag].search(html, at)
-                at = end.end() if end else len(html)
+            if not closed:
+                end = page.raw_end(tag, at)
+                at, mute = end or at, end is None
             continue
         if tag in EXCLUDED:
             if tag not in ("button", "svg", "annotation", "annotation-xml"):
                 flush()
-            if not m[3].endswith("/"):
+            if not closed:
                 at = ends.get(m.start(), at)
                 mute = m.start() not in ends
             continue
@@ -180,17 +294,11 @@ def blocks(html: str | None) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline:
             flush()
-            closes = CLOSES.get(tag) or ({"p"} if tag not in ("html", "body") else None)
-            if closes:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in closes:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BOUNDS and not (tag == "tr" and stack[k][0] == "td"):
-                        break
-        marks, main, hidden = set(), False, False
+            stack.close_for(tag)
+        names, main, hidden = [] if inline else [f"in={tag}"], None, False
         if m[3]:
             for a in _ATTR.finditer(m[3]):
                 name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
@@ -203,22 +311,18 @@ def blocks(html: str | None) -> list[Block]:
                 elif name == "style":
                     hidden = hidden or "display:none" in value.replace(" ", "")
                 elif name in MARKS and tag not in ("html", "body"):
-                    marks.update(_PART.findall(value))
-        if not m[3].endswith("/"):
-            stack.append((tag, frozenset(marks), main, hidden))
+                    names += [f"mark={w}" for w in _PART.findall(value)]
+        if not closed:
+            stack.push(_Open(tag, stack.top, inline, names if known is None else [x for x in names if x in known], main, hidden))
     flush()
     return out
 
 
 def featured(found: list[Block]) -> list[Block]:
-    """Fill in the feature names of each block."""
+    """Fill in the names of each block's own features."""
     n = len(found)
     for i, b in enumerate(found):
-        f = ["bias"]
-        f += [f"in={t}" for t in set(b.path) if t not in INLINE]
-        f += [f"mark={m}" for m in b.marks]
-        outer = [t for t in b.path if t not in INLINE]
-        f.append(f"leaf={outer[-1] if outer else '-'}")
+        f = ["bias", f"leaf={b.leaf}"]
         f.append("linked=" + ("no" if b.linked < 0.05 else "some" if b.linked < 0.6 else "all"))
         words = b.text.count(" ") + 1
         f.append(f"words={min(6, words.bit_length())}")
@@ -233,7 +337,7 @@ def featured(found: list[Block]) -> list[Block]:
             f.append("last")
         if i and found[i - 1].path == b.path:
             f.append("as_before")
-        b.features = f
+        b.own = f
     return found
 
 
@@ -243,6 +347,17 @@ class Chain:
     def __init__(self, names: dict[str, int], weights: np.ndarray, steps: np.ndarray):
         self.names, self.weights, self.steps = names, weights, steps
         self.table = {k: tuple(weights[i].tolist()) for k, i in names.items()}
+        self.sums: dict[frozenset[str], tuple[float, float]] = {}
+
+    def context(self, names: frozenset[str]) -> tuple[float, float]:
+        """The summed weights of a context, which many blocks share."""
+        got = self.sums.get(names)
+        if got is None:
+            if len(self.sums) > 20_000:
+                self.sums.clear()
+            found = [self.table[f] for f in sorted(names) if f in self.table]
+            got = self.sums[names] = (sum(w[0] for w in found), sum(w[1] for w in found))
+        return got
 
     def decode(self, found: list[Block]) -> list[int]:
         """The best label sequence, by Viterbi."""
@@ -250,8 +365,8 @@ class Chain:
         a = b = 0.0
         back = []
         for i, block in enumerate(found):
-            u = v = 0.0
-            for f in block.features:
+            u, v = self.context(block.context)
+            for f in block.own:
                 w = self.table.get(f)
                 if w:
                     u += w[0]
@@ -316,7 +431,7 @@ def train(pages: list[list[Block]], rounds: int = 160, rate: float = 0.08, decay
 
 
 def training_pages(count: int = 500, seed: int = 20) -> list[list[Block]]:
-    """Labelled pages of many layouts; what belongs to the article carries data-main="1"."""
+    """Labelled pages of many layouts: the generator marks what belongs to the article with data-main="1", and what doesn't with "0"; the innermost mark counts."""
     r = random.Random(seed)
     syllables = "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve que ción ich ung eau ée ß ñ".split()
 
@@ -344,39 +459,52 @@ def training_pages(count: int = 500, seed: int = 20) -> list[list[Block]]:
         name, tag = r.choice(names.split()), r.choice(tags.split())
         return f'<{tag} {r.choice(("class", "id"))}="{name}">{inner}</{tag}>'
 
+    def rest(make):
+        """The same element, marked as no part of the article."""
+        return lambda: re.sub("^<[a-z0-9]+", r'\g<0> data-main="0"', make())
+
+    @rest
     def menu() -> str:
         inner = r.choice((f"<ul>{some('li', 2, 8, link)}</ul>", "".join(link() for _ in range(r.randint(2, 6))), some("p", 1, 4, link)))
         return r.choice((f"<nav>{inner}</nav>", div("nav menu navbar main-menu breadcrumb breadcrumbs navigation site-nav tabs pagination", inner, "div ul nav")))
 
+    @rest
     def header() -> str:
         inner = r.choice((link(), f"<h1>{words(1, 4)}</h1>", f"<p>{words(1, 9)}</p>", words(1, 8))) + (menu() if r.random() < 0.5 else "")
         return r.choice((f"<header>{inner}</header>", div("header site-header masthead top banner branding page-header logo", inner, "div header")))
 
+    @rest
     def footer() -> str:
         inner = r.choice((f"&copy; {words(1, 3)} &middot; {text()}", some("p", 1, 3, text), f"<ul>{some('li', 1, 5, link)}</ul>", words(2, 30)))
         return r.choice((f"<footer>{inner}</footer>", div("footer site-footer bottom copyright legal imprint colophon", inner, "div footer")))
 
+    @rest
     def side() -> str:
         inner = r.choice((f"<h3>{words(1, 4)}</h3><ul>{some('li', 2, 6, link)}</ul>", some("p", 1, 4, text), f"<h2>{words(1, 3)}</h2><p>{text()}</p>", words(2, 30)))
         return r.choice((f"<aside>{inner}</aside>", div("sidebar side widget related related-posts teaser recommended more-stories popular trending rail", inner, "div aside section")))
 
+    @rest
     def advert() -> str:
         inner = r.choice((text(), f"<p>{text()}</p>", link(), some("p", 1, 3, text)))
         return div("ad ads advert advertisement ad-box sponsored sponsor promo banner-ad promotion adsense", inner, "div div section aside")
 
+    @rest
     def notice() -> str:
         inner = r.choice((text(), f"<p>{text()}</p>", f"<p>{text()}</p><button>OK</button>"))
         return r.choice((div("cookie cookie-notice cookies consent notice alert gdpr cookie-banner popup modal subscribe newsletter paywall disclaimer warning message", inner, "div div section"), f'<div role="{r.choice(("alert", "dialog", "banner"))}">{inner}</div>'))
 
+    @rest
     def form() -> str:
         inner = f"<label>{words(1, 3)}</label><input type=text>" + r.choice(("", f"<p>{text()}</p>", words(1, 6)))
         return r.choice((f"<form>{inner}</form>", div("search login signup contact-form subscribe newsletter search-form", f"<form>{inner}</form>")))
 
+    @rest
     def comments() -> str:
         one = lambda: div("comment comment-body reply comment-text", r.choice((f"<p>{text()}</p>", some("p", 1, 3, text), f"<b>{words(1, 2)}</b> <p>{text()}</p>", text())), "div li article section")
         inner = r.choice(("", f"<h2>{words(1, 3)}</h2>")) + r.choice(("".join(one() for _ in range(r.randint(1, 5))), some("p", 1, 5, text), f"<ol>{some('li', 1, 4, text)}</ol>"))
         return div("comments comment-list commentlist discussion responses reader-comments disqus respond", inner, "section div div ol")
 
+    @rest
     def share() -> str:
         return div("share social share-buttons tags meta post-meta byline author toolbar", r.choice((words(1, 6), "".join(link() for _ in range(3)))))
 
@@ -421,11 +549,7 @@ def training_pages(count: int = 500, seed: int = 20) -> list[list[Block]]:
         html = "".join(before) + article() + "".join(after)
         if r.random() < 0.06:
             html = f'<div data-main="1">{some("p", 1, 6, text)}</div>'
-        found = blocks(f"<html><head><title>{words(1, 5)}</title></head><body>{html}" + r.choice(("</body></html>", "")))
-        rest = frozenset("nav header footer aside form".split())
-        for b in found:
-            b.main = b.main and not (rest & set(b.path)) and not (b.marks & _REST_MARKS)
-        pages.append(found)
+        pages.append(blocks(f"<html><head><title>{words(1, 5)}</title></head><body>{html}" + r.choice(("</body></html>", ""))))
         if r.random() < 0.1:  # a page of text alone, or of bare paragraphs
             bare = blocks(r.choice((text(), f"<body>{text()}</body>", some("p", 1, 6, text), f"<body>{some('p', 1, 6, text)}</body>")))
             for b in bare:
@@ -434,10 +558,6 @@ def training_pages(count: int = 500, seed: int = 20) -> list[list[Block]]:
     return pages
 
 
-#: Class words that the generator gives to what isn't the article.
-_REST_MARKS = frozenset(
-    "nav menu navbar breadcrumb breadcrumbs navigation tabs pagination header masthead banner branding logo footer bottom copyright legal imprint colophon sidebar side widget related teaser recommended popular trending rail ad ads advert advertisement sponsored sponsor promo promotion adsense cookie cookies consent notice alert gdpr popup modal subscribe newsletter paywall disclaimer warning message dialog search login signup contact comment comments reply commentlist discussion responses reader disqus respond share social tags meta byline author toolbar".split()
-)
 _CHAIN: list[Chain] = []
 
 
@@ -449,13 +569,13 @@ def chain() -> Chain:
 
 
 def main_text(html: str | None, model: Chain) -> str:
-    found = featured(blocks(html))
+    found = featured(blocks(html, model.table))
     return "\n\n".join(b.text for b, y in zip(found, model.decode(found), strict=True) if y)
 
 
 def extract(pages: DataFrame, model: Chain | None = None) -> DataFrame:
     """`page_id, url, text, n_chars` of each page."""
-    held = pages.sparkSession.sparkContext.broadcast(model or chain())
+    held = prepare(pages.sparkSession).sparkContext.broadcast(model or chain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -211,8 +211,9 @@ def test_html(spark, sf_dir):
     assert wrong <= 0.02 * total
     import html
 
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    for r in queries.op1_html_extraction(spark, sf_dir).collect():
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{big}/pages.parquet").collect()}
+    for r in queries.op1_html_extraction(spark, big).collect():
         inner = re.search("<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", " " if "<br>" in x else "", x)).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
@@ -252,11 +253,34 @@ def test_html_math_and_head():
     assert texts("<header>top</header><script>no</p>") == ["top"]
 
 
+def test_html_attributes_lose_no_text():
+    model = html_extract.chain()
+    main = lambda html: html_extract.main_text(html, model)
+    page = "<article><p>It is <a title=it's href=x>a link</a> in a long paragraph of the story.</p><p>And don't stop here, there is more of it.</p></article>"
+    assert main(page) == "It is a link in a long paragraph of the story.\n\nAnd don't stop here, there is more of it."
+    texts = lambda html: [b.text for b in html_extract.blocks(html)]
+    assert texts("<p a=\"x>y\" b='>' c=d>one</p><p x=y\"z>two<p a = '>'>three") == ["one", "two", "three"]
+    assert texts("<p a='>one</p><p>two") == ["one", "two"]  # nothing closes the quote
+    assert texts("<p a='b>c'<p d='>x</p>'>one <i") == ["one <i"]
+    assert texts("<p>1 < 2 <3 and a<b") == ["1 < 2 <3 and a<b"]
+    assert texts("<article><title>no<p>one</p><script>no<div>two</div></article><style>no") == ["one", "two"]
+
+
+def test_html_is_linear():
+    model = html_extract.chain()
+    size = 300_000
+    for unit, end in (("<div>w", ""), ("<a x='", ""), ("<a x='", ">"), ("<a x='>", "'"), ("<a x='><b y=\">", ""), ("<center>w", ""), ("<b>", "</i>" * 50_000), ("<i><p>" + "<b>" * 50_000, "</i>" * 50_000), ("<title>", ""), ("<svg>", ""), ("<button><p>", ""), ("<div class=c{}>w", ""), ("<x{}>w", ""), ("<", ""), ("<a ", ""), ("</x>", ""), ("<p>w<table><tr><td>", ""), ("<a><b></a>w", "")):
+        html = "".join(unit.format(i) for i in range(max(1, size // len(unit)))) + end
+        began = time.process_time()
+        html_extract.main_text(html, model)
+        assert time.process_time() - began < 12, unit[:20]
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(5)
     names = {f"f{i}": i for i in range(4)}
     model = html_extract.Chain(names, r.normal(size=(4, 2)), r.normal(size=(2, 2)))
-    page = [html_extract.Block("x", (), frozenset(), 0.0, features=[f"f{r.integers(4)}", "unknown"]) for _ in range(7)]
+    page = [html_extract.Block("x", own=[f"f{r.integers(4)}", "unknown"]) for _ in range(7)]
     score = lambda ys: sum(model.weights[names[b.features[0]], y] for b, y in zip(page, ys, strict=True)) + sum(model.steps[a, b] for a, b in zip(ys, ys[1:], strict=False))
     best = max(([n >> k & 1 for k in range(7)] for n in range(128)), key=score)
     assert score(model.decode(page)) == pytest.approx(score(best)) and model.decode([]) == []
