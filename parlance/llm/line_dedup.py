@@ -1,29 +1,29 @@
 """Line deduplication by pairwise alignment.
 
-Every line with a word is a hash; the document with the smallest id that has a
-line is its holder. The lines that a document shares with a holder are aligned by
-patience diff: lines that are unique on both sides, in their longest increasing
-order, then the gaps between them in the same way. Runs of aligned lines that
-follow each other in both documents are common blocks; blocks of at least `BLOCK`
-words are deleted from the later document. How many documents have a line plays no
-part: a block of short lines goes from the third document as from the thousandth.
-
-Documents that overlap without one being the holder of the lines share runs: the
-lines from one on, or back from one, that follow each other until they have `BLOCK`
-words. Every run is a hash with a holder of its own, and goes from every later
-document, whichever documents have its single lines and in whatever order. Every
-line of an unbroken block of `BLOCK` words lies in such a run of it.
-
-A line is deleted only where an earlier document has it, so that the first one with
-it keeps it and of each passage one copy stays; and a line or run meets one holder,
-so that the work is linear in the lines, however many documents share them. What is
-tied over a changed line in the middle of a block is tied against holders of lines.
-
-Edge cases: null text stays null, and empty text empty; lines without a word are
-kept unless they lie inside a deleted block; a line repeated within a document is
-no duplicate by itself; of documents with one id, each is treated by the lines of
-all of them, and one without id is left as it is; a document that earlier ones hold in full becomes empty; an empty
-table gives an empty table; other columns stay as they are.
+Lines are hashed. A line alone is often too common to tell anything ("Read
+more"), but lines that follow each other until they have `BLOCK` words are rare:
+from every line on, and back from every line, such a run of lines is a hash (a
+line of `BLOCK` words is a run by itself). A document overlaps with the first
+document, the one with the smallest id, that has one of its runs, and is aligned
+with it: patience diff over the runs that both share, that is, those that are
+unique on both sides in their longest increasing order, then the gaps between them
+in the same way. Moved and repeated runs, which no order holds, are aligned with
+their first occurrence. Aligned runs that follow each other on both sides are
+common blocks, and go from the later document.
+
+Every block of consecutive lines with `BLOCK` words together that a document shares
+with any earlier one consists of such runs, and each run has a first document. So
+nothing that an alignment with every earlier document finds is lost, however many
+documents share it and in whatever order; each run meets one document only, so that
+the work is linear in the lines. Wordless lines don't count, and go with the lines
+around them. A block keeps its copy in the document that it was first in.
+
+Edge cases: null text stays null, and empty text empty; a line repeated within a
+document is no duplicate by itself; rows with one id are no duplicates of each
+other, whatever their texts, and rows without id are left as they are; a document
+that earlier ones hold in full becomes empty; a text of any length is read whole; an
+empty table gives an empty table; other columns stay as they are, but for `n_lines`,
+`doomed` and `blocks`, which `dedup` adds or replaces.
 """
 
 from __future__ import annotations
@@ -40,41 +40,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import common
-from parlance.llm.common import cut, drop, release
+from parlance.llm.common import cut, drop, prepare
 
 BLOCK = 8
-#: A rare line and a long one, by which the tests' plain rule picks pairs of documents; nothing here does.
-RARE, LONG = 64, 8
-Line = tuple[int, int]  # number in the document, hash
+#: Places of a run in an earlier document that an alignment gets; one that occurs more often is aligned with its first place.
+PLACES = 16
+Line = tuple[int, int]  # place, run
 
 
-def _runs(row: np.ndarray, number: np.ndarray, h: np.ndarray, words: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First line, last line and hash of the shortest runs of `block` words that begin or end with a line of fewer words.
-
-    A run stays within a row, and no more than one line without a word lies between two of its lines.
-    """
-    step = np.diff(number, prepend=0)
-    part = np.cumsum(np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] > 2)])) if len(row) else row
+def _runs(row: np.ndarray, h: np.ndarray, words: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, last line and hash of the shortest runs of `block` words from each line on and back from it, within a row."""
     z = np.cumsum(words)
     a = z - words
-    short = np.flatnonzero(words < block)
-    last = np.searchsorted(z, a[short] + block)
-    first = np.searchsorted(a, z[short] - block, "right") - 1
-    pairs = np.concatenate([np.stack([short, last])[:, last < len(row)], np.stack([first, short])[:, first >= 0]], 1)
-    i, j = np.unique(pairs[:, part[pairs[0]] == part[pairs[1]]], axis=1)
+    n = np.arange(len(row))
+    last = np.searchsorted(z, a + block)
+    first = np.searchsorted(a, z - block, "right") - 1
+    # a run has at most `block` lines, as each has a word
+    key = np.unique(np.concatenate([(n * (block + 1) + last - n)[last < len(row)], (first * (block + 1) + n - first)[first >= 0]]))
+    i, j = key // (block + 1), key // (block + 1) + key % (block + 1)
+    same = row[i] == row[j]
+    i, j = i[same], j[same]
     run = common.mix(h[i] + common.powers(2)[1])
     for k in range(1, int((j - i).max(initial=0)) + 1):
-        more = i + k <= j
-        at = i[more] + k
-        run[more] = common.mix(run[more] * common.powers(2)[1] + h[at] + step[at].astype(np.uint64))
+        more = np.flatnonzero(i + k <= j)
+        run[more] = common.mix(run[more] * common.powers(2)[1] + h[i[more] + k])
     return i, j, run
 
 
 def _lines(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """A row for each document and different line of it: hash, words, and the numbers of the lines; and for each run, with 0 words."""
+    """A row for each document and different run: its hash, and its places, each the number of the first line times 2^32 and that of the last."""
     for b in batches:
-        doc = b["doc_id"].cast(pa.int64()).to_numpy()
-        for i, buf, off in common.slices(b["text"]):
+        doc, key = b["doc_id"].cast(pa.int64()).to_numpy(), b["key"].to_numpy()
+        for at, buf, off in common.slices(b["text"]):
             nl = np.flatnonzero(buf == 10)
             start = np.sort(np.concatenate([off[:-1], nl + 1]))
             row = np.sort(np.concatenate([np.arange(len(off) - 1), np.searchsorted(off, nl, "right") - 1]))
@@ -86,19 +83,15 @@ def _lines(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa
             # a line without the white space around it
             h = common.span_hashes(buf, ws[a[full]], we[z[full] - 1])
             row, number, words = row[full], number[full], (z - a)[full]
-            first, last, run = _runs(row, number, h, words, block)
-            if len(first):
-                size = last - first + 1
-                off = np.append(0, np.cumsum(size))
-                every = number[np.arange(off[-1]) - np.repeat(off[:-1] - first, size)]
-                at = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(every.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i + row[first]]), pa.array(run.view(np.int64)), pa.array(np.zeros(len(run), np.int32)), at], names=["doc_id", "h", "words", "at"])
-            h = h.view(np.int64)
-            by = np.lexsort((number, h, row))
-            h, row, number, words = h[by], row[by], number[by], words[by]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
-            at = pa.ListArray.from_arrays(pa.array(np.append(new, len(h)).astype(np.int32)), pa.array(number.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i + row[new]]), pa.array(h[new]), pa.array(words[new].astype(np.int32)), at], names=["doc_id", "h", "words", "at"])
+            i, j, run = _runs(row, h, words, block)
+            if not len(i):
+                continue
+            run, row, place = run.view(np.int64), row[i], number[i] << 32 | number[j]
+            by = np.lexsort((place, run, row))
+            run, row, place = run[by], row[by], place[by]
+            new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (row[1:] != row[:-1])]))
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(run)).astype(np.int32)), pa.array(place))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at + row[new]]), pa.array(key[at + row[new]]), pa.array(run[new]), places], names=["doc_id", "key", "h", "at"])
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -122,7 +115,7 @@ def _increasing(values: list[int]) -> list[int]:
 
 
 def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
-    """Aligned line numbers of two documents' common lines, both ascending."""
+    """Aligned places of two documents' common runs, both ascending."""
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -149,74 +142,81 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def doomed(shared: list[tuple[int, int, list[int], list[int]]], block: int = BLOCK) -> list[int]:
-    """Line numbers to delete from a document.
-
-    shared: (holder, words, numbers here, numbers there) of each line, and of each run, with 0 words.
-    """
-    by: dict[int, list] = defaultdict(list)
-    out: set[int] = set()
-    for x in shared:
-        if x[1]:
-            by[x[0]].append(x)
-        # a run, or a line that is a block by itself
-        if not x[1] or x[1] >= block:
-            out.update(x[2])
-    for lines in by.values():
-        here = sorted((i, k) for k, x in enumerate(lines) for i in x[2])
-        there = sorted((j, k) for k, x in enumerate(lines) for j in x[3])
-        words = {i: x[1] for x in lines for i in x[2]}
-        run: list[tuple[int, int]] = []
-        for pair in [*patience(here, there), None]:
-            if run and (pair is None or pair[0] - run[-1][0] != pair[1] - run[-1][1] or pair[0] - run[-1][0] > 2):
-                if sum(words[i] for i, _ in run) >= block:
-                    out.update(i for i, _ in run)
-                run = []
-            if pair:
-                run.append(pair)
-    return sorted(out)
+def aligned(shared: list[tuple[list[int], list[int]]]) -> list[tuple[int, int, int]]:
+    """Common blocks (first line, last line, first line there) with one earlier document, from the places of each shared run here and there."""
+    here = sorted((i, k) for k, (at, _) in enumerate(shared) for i in at)
+    there = sorted((j, k) for k, (_, at) in enumerate(shared) for j in at)
+    with_ = dict(patience(here, there))
+    out: list[tuple[int, int, int]] = []
+    for i, k in here:
+        first, last, j = i >> 32, i & 0xFFFFFFFF, with_.get(i, shared[k][1][0]) >> 32
+        if out and first - out[-1][0] == j - out[-1][2] and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]), out[-1][2])
+        else:
+            out.append((first, last, j))
+    return out
 
 
 def duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """`doc_id, doomed`: the line numbers to delete, for documents with any."""
-    lines = cut(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(partial(_lines, block=block), "doc_id long, h long, words int, at array<int>"))
-    held = lines.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    """`doc_id, key, blocks` of documents with any: the blocks to delete, with the earlier document that has each; `key` is the text's hash."""
+    keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    lines = cut(keyed.mapInArrow(partial(_lines, block=block), "doc_id long, key long, h long, at array<long>"))
+    # a run's first document comes from partial minima, and is written: so both sides of the join are plain, and a hot run can be split
+    held = lines.groupBy("h").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    held = cut(held.select("h", F.col("first.doc_id").alias("holder"), F.slice("first.at", 1, PLACES).alias("there")))
     # joins are shuffled at every size: neither side has a bound that would let it be broadcast
-    shared = lines.join(held.hint("merge"), "h").where("doc_id <> first.doc_id").select("doc_id", F.col("first.doc_id").alias("holder"), "words", "at", F.col("first.at").alias("there"))
+    shared = lines.join(held.hint("merge"), "h").where("doc_id > holder").select("doc_id", "key", "holder", "at", "there")
 
     def align(table: pa.Table) -> pa.Table:
-        cols = [table[c].to_pylist() for c in ("holder", "words", "at", "there")]
-        gone = doomed(list(zip(*cols, strict=True)), block)
-        return pa.table({"doc_id": pa.array([table["doc_id"][0].as_py()] * bool(gone), pa.int64()), "doomed": pa.array([gone] * bool(gone), pa.list_(pa.int32()))})
-
-    out = cut(shared.groupBy("doc_id").applyInArrow(align, "doc_id long, doomed array<int>"))
-    drop(lines)
-    release(docs.sparkSession)
+        by = defaultdict(list)
+        for holder, at, there in zip(*(table[c].to_pylist() for c in ("holder", "at", "there")), strict=True):
+            by[holder].append((at, there))
+        blocks = sorted((first, last, holder, j) for holder, runs in by.items() for first, last, j in aligned(runs))
+        blocks = [{"first": a, "last": z, "holder": e, "there": j} for a, z, e, j in blocks]
+        return pa.table({"doc_id": table["doc_id"][:1], "key": table["key"][:1], "blocks": pa.array([blocks], pa.list_(pa.struct(_BLOCK)))})
+
+    # rows that repeat an id and a text meet before the shuffle
+    out = cut(shared.distinct().groupBy("doc_id", "key").applyInArrow(align, f"doc_id long, key long, blocks {BLOCKS}"))
+    drop(lines, held)
     return out
 
 
-def _without(text: str, gone: list[int]) -> str:
-    """The text without these lines, and without the wordless lines between two of them."""
-    lines, drop_ = text.split("\n"), set(gone)
-    for i, j in zip(gone, gone[1:], strict=False):
-        if j == i + 2 and not lines[i + 1].strip():
-            drop_.add(i + 1)
-    return "\n".join(x for i, x in enumerate(lines) if i not in drop_)
+_BLOCK = [("first", pa.int32()), ("last", pa.int32()), ("holder", pa.int64()), ("there", pa.int32())]
+BLOCKS = "array<struct<first:int,last:int,holder:bigint,there:int>>"
+
+
+def without(text: str, ranges: list[int]) -> tuple[str, list[int]]:
+    """The text without the lines from each even entry to the next one, and without the wordless lines between deleted ones; and their numbers."""
+    lines = text.split("\n")
+    gone = np.zeros(len(lines), bool)
+    for a, z in zip(ranges[::2], ranges[1::2], strict=True):
+        gone[a : z + 1] = True
+    at = np.flatnonzero(gone).tolist()
+    for a, z in zip(at, at[1:], strict=False):
+        if z > a + 1 and not "".join(lines[a + 1 : z]).strip(" \t\n\r\x0b\x0c"):
+            gone[a:z] = True
+    return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), np.flatnonzero(gone).tolist()
 
 
 def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """`docs` with `text` reduced, and the columns `n_lines` and `doomed` (numbers of the deleted lines with a word, or null)."""
+    """`docs` with `text` reduced, and the columns `n_lines`, `doomed` (numbers of the deleted lines, or null) and `blocks` (where each block was found, or null)."""
+    prepare(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def reduced(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or g is None else _without(t, sorted(g)) for t, g in zip(texts, gone, strict=True)], dtype=object)
+    @F.pandas_udf("text string, doomed array<int>")
+    def reduced(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        rows = [(t, None) if t is None or r is None else without(t, list(r)) for t, r in zip(texts, ranges, strict=True)]
+        return pd.DataFrame({"text": pd.Series([t for t, _ in rows], dtype=object), "doomed": pd.Series([d for _, d in rows], dtype=object)})
 
-    kept = docs.drop(*(c for c in ("n_lines", "doomed") if c in docs.columns))
-    joined = kept.join(duplicates(docs, block).hint("merge"), "doc_id", "left")
-    joined = joined.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
-    return joined.withColumn("text", reduced("text", "doomed"))
+    names = [c for c in docs.columns if c not in ("n_lines", "doomed", "blocks")]
+    found = duplicates(docs, block).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "blocks")
+    joined = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
+    joined = joined.join(found.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    joined = joined.withColumn("_new", reduced("text", F.flatten(F.transform("blocks", lambda b: F.array(b["first"], b["last"])))))
+    return joined.select(*(F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names), "n_lines", F.col("_new.doomed").alias("doomed"), "blocks")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The query's row: `doc_id, n_lines, n_deleted, deleted, text` of each document."""
-    return dedup(docs.select("doc_id", "text")).select("doc_id", F.col("n_lines").cast("long"), F.coalesce(F.size("doomed"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(F.array_join("doomed", ","), F.lit("")).alias("deleted"), "text")
+    """The query's row: `doc_id, n_lines, n_deleted, deleted, text, found` of each document; `found` says where each block was first."""
+    found = F.transform("blocks", lambda b: F.concat(b["first"].cast("string"), F.lit("-"), b["last"].cast("string"), F.lit("="), b["holder"].cast("string"), F.lit(":"), b["there"].cast("string")))
+    reduced = dedup(docs.select("doc_id", "text"))
+    return reduced.select("doc_id", F.col("n_lines").cast("long"), F.coalesce(F.size("doomed"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(F.array_join("doomed", ","), F.lit("")).alias("deleted"), "text", F.coalesce(F.array_join(found, ","), F.lit("")).alias("found"))

@@ -133,68 +133,55 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-def brute_doomed(docs):
-    """The documented rule, document by document."""
-
-    def align(a, b):
-        if not a or not b:
-            return []
-        if a[0][1] == b[0][1]:
-            return [(a[0][0], b[0][0]), *align(a[1:], b[1:])]
-        if a[-1][1] == b[-1][1]:
-            return [*align(a[:-1], b[:-1]), (a[-1][0], b[-1][0])]
-        ca, cb = collections.Counter(x for _, x in a), collections.Counter(x for _, x in b)
-        both = [(i, next(j for j, y in enumerate(b) if y[1] == x)) for i, (_, x) in enumerate(a) if ca[x] == 1 == cb[x]]
-        # of equally long orders: the last place at the greatest length, and before each place the last one at a length less
-        size, before = [], []
-        for k, (_, j) in enumerate(both):
-            size.append(1 + max((size[m] for m in range(k) if both[m][1] < j), default=0))
-            before.append(max((m for m in range(k) if size[m] == size[k] - 1), default=None))
-        k = max((m for m in range(len(both)) if size[m] == max(size)), default=None)
-        chain, out, i0, j0 = [], [], 0, 0
-        while k is not None:
-            chain.insert(0, both[k])
-            k = before[k]
-        if not chain:
-            return []
-        for i, j in [*chain, (len(a), len(b))]:
-            out += align(a[i0:i], b[j0:j]) + ([(a[i][0], b[j][0])] if i < len(a) else [])
-            i0, j0 = i + 1, j + 1
-        return out
-
-    lines = {d: [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for d, t in docs.items()}
-    holder, count = {}, collections.Counter()
-    for d in sorted(docs):
-        for x in {x for _, x in lines[d]}:
-            holder.setdefault(x, d)
-            count[x] += 1
+def brute_doomed(docs, block=line_dedup.BLOCK):
+    """Every document against every earlier one: lines of consecutive common lines with `block` words, and wordless lines between deleted ones."""
+    lines = {d: [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)] for d, t in docs.items()}
+    places = {d: collections.defaultdict(list) for d in docs}
+    for d, own in lines.items():
+        for j, (_, x) in enumerate(own):
+            places[d][x].append(j)
     out = {}
-    for d in docs:
-        gone = []
-        for e in {holder[x] for _, x in lines[d]} - {d}:
-            common = {x for _, x in lines[d] if holder[x] == e}
-            if not any(count[x] <= line_dedup.RARE or len(WORD.findall(x)) >= line_dedup.LONG for x in common):
+    for d, own in lines.items():
+        gone = set()
+        for e, other in lines.items():
+            if e >= d:
                 continue
-            a, b = ([p for p in lines[y] if p[1] in common] for y in (d, e))
-            runs = []
-            for i, j in sorted(align(a, b)):
-                if runs and i - runs[-1][-1][0] == j - runs[-1][-1][1] <= 2:
-                    runs[-1].append((i, j))
-                else:
-                    runs.append([(i, j)])
-            text = dict(lines[d])
-            gone += [i for run in runs if sum(len(WORD.findall(text[i])) for i, _ in run) >= line_dedup.BLOCK for i, _ in run]
+            for i, (_, x) in enumerate(own):
+                for j in places[e].get(x, ()):
+                    if i and j and own[i - 1][1] == other[j - 1][1]:
+                        continue
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n][1] == other[j + n][1]:
+                        n += 1
+                    if sum(len(WORD.findall(y)) for _, y in own[i : i + n]) >= block:
+                        gone.update(k for k, _ in own[i : i + n])
+        worded = [k for k, _ in own]
+        for a, z in zip(worded, worded[1:], strict=False):
+            if a in gone and z in gone:
+                gone.update(range(a, z))
         out[d] = sorted(gone)
     return out
 
 
-def test_line_dedup(spark, sf_dir, rows):
-    docs = {r[0]: r[1] for r in rows}
-    got = {r.doc_id: r for r in queries.op4_line_dedup(spark, sf_dir).collect()}
+def check_dedup(docs, got):
+    """Deleted lines as the pairwise comparison has them, and every reported block stands where it was found."""
     expected = brute_doomed(docs)
-    assert {d: [int(x) for x in r.deleted.split(",") if x] for d, r in got.items()} == expected
-    for d, r in got.items():
-        assert r.text == line_dedup._without(docs[d], expected[d]) and r.n_lines == docs[d].count("\n") + 1
+    assert {r.doc_id: [int(x) for x in r.deleted.split(",") if x] for r in got} == expected
+    worded = {d: [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for d, t in docs.items()}
+    for r in got:
+        lines = docs[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for i, x in enumerate(lines) if i not in set(expected[r.doc_id])) and r.n_lines == len(lines)
+        covered = set()
+        for block in filter(None, r.found.split(",")):
+            first, last, holder, there = map(int, re.fullmatch(r"(\d+)-(\d+)=(-?\d+):(\d+)", block).groups())
+            mine = [x for i, x in worded[r.doc_id] if first <= i <= last]
+            assert holder < r.doc_id and mine == [x for i, x in worded[holder] if i >= there][: len(mine)]
+            covered.update(i for i, _ in worded[r.doc_id] if first <= i <= last)
+        assert covered == {i for i, _ in worded[r.doc_id]} & set(expected[r.doc_id])
+
+
+def test_line_dedup(spark, sf_dir, rows):
+    check_dedup({r[0]: r[1] for r in rows}, queries.op4_line_dedup(spark, sf_dir).collect())
 
 
 def test_line_dedup_made(spark):
@@ -206,20 +193,32 @@ def test_line_dedup_made(spark):
         for _ in range(r.randint(0, 5)):
             a = r.randrange(40)
             lines += passage[a : a + r.randint(1, 7)] + [f"own {d} {r.random()}"] * r.randint(0, 2)
-        docs[d] = "\n".join([*lines, "Read more"] if r.random() < 0.7 else lines)
+            if r.random() < 0.4:
+                lines.insert(r.randrange(len(lines) + 1), r.choice(("", " ", "x")))
+        docs[d] = "\n".join([*lines, "Read more"] if r.random() < 0.7 else lines * r.choice((1, 1, 1, 20)))
     got = line_dedup.report(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
-    assert {r.doc_id: [int(x) for x in r.deleted.split(",") if x] for r in got} == brute_doomed(docs)
-    # every deleted line stays in an earlier document
+    check_dedup(docs, got)
+    # every deleted line with a word stays in an earlier document
     kept = collections.defaultdict(lambda: 10**9)
     for row in got:
         for x in row.text.split("\n"):
             kept[x] = min(kept[x], row.doc_id)
     for row in got:
         for i in row.deleted.split(","):
-            if i:
+            if i and docs[row.doc_id].split("\n")[int(i)].strip():
                 assert kept[docs[row.doc_id].split("\n")[int(i)]] < row.doc_id
 
 
+def test_line_dedup_three_documents(spark):
+    """A block of short lines that 2 and 3 share goes from 3, though 1 has three of its lines apart; rows of one id keep their own lines."""
+    block = [f"short line {i}" for i in range(12)]
+    docs = [(1, "\n".join(["one", block[3], "two", block[6], "three", block[9]])), (2, "\n".join(["own", *block])), (3, "\n".join([*block, "last of three"]))]
+    docs += [(4, "\n".join([*block, "first text of four"])), (4, "a quite different text of the id four with many words\nand a second line of it"), (4, "\n".join([*block, "first text of four"]))]
+    got = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, docs[0][1]), (2, docs[1][1]), (3, "last of three"), (4, docs[4][1]), (4, "first text of four"), (4, "first text of four")]
+    assert {r.found for r in got if r.doc_id == 3} == {"0-11=2:1"}
+
+
 def test_line_dedup_short_lines_of_many(spark):
     """A passage of short lines goes from every later document, whether 64 or 65 have it; a short line alone stays."""
     verse = "\n".join(f"verse {i} of six short words" for i in range(12))
