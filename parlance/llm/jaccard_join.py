@@ -1,7 +1,8 @@
 """N-gram Jaccard join through a token-group matrix.
 
 Documents are sets of 5-word shingles (64-bit hashes). Equal sets are collapsed
-first. Of each other set, a prefix is kept: in one global order of shingles, the
+to classes first, which have numbers of their own: what is linked are sets, not
+ids. Of each set, a prefix is kept: in one global order of shingles, the
 common ones last, two sets of Jaccard similarity 0.8 share `need` shingles of
 their prefixes of length n - ceil(0.8 n) + need, and the first shingle that they
 share leaves enough shingles behind it in both. So the prefixes lose no link.
@@ -21,9 +22,11 @@ Shingles count as common by how often chunks of the corpus repeat them; every
 document is counted, and the table is held at `COMMON` entries.
 
 Edge cases: a null, empty or wordless text has no shingles and stands alone;
-fewer than five words are one shingle; equal sets are one class, of any size; an
-empty table gives an empty table; a document without id has no component; other
-columns are neither read nor returned.
+fewer than five words are one shingle; equal sets are one class, of any size; a
+text of any length is read whole. Every row is returned: of rows that share an id,
+each has the links of its own text, and the component of its own set. A document
+without id has no component. An empty table gives an empty table; other columns are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import common
-from parlance.llm.common import cut, drop, release
+from parlance.llm.common import cut, drop, prepare, release
 from parlance.llm.components import components
 
 WORDS = 5
@@ -74,44 +77,42 @@ def _sums(w: np.ndarray, cuts: np.ndarray, salt: int) -> np.ndarray:
     return total[cuts[1:]] - total[cuts[:-1]]
 
 
+SKETCH = "doc_id long, n long, k1 long, k2 long, token long, times long"
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document: its set's size and 128-bit key."""
+    """A row for each document: its set's size and 128-bit key. And rows without size: shingles that different sets of a chunk share, and how many have each."""
+    names = [x.split()[0] for x in SKETCH.split(", ")]
+    parts: list[np.ndarray] = []
+    size, seen = 0, set()
+
+    def counted() -> pa.RecordBatch:
+        w, n = np.unique(np.concatenate(parts), return_counts=True)
+        w, n = w[n > 1], n[n > 1]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(w), pa.int64())] * 4, pa.array(w.view(np.int64)), pa.array(n)], names=names)
+
     for b in batches:
         n, k1, k2 = (np.zeros(len(b), np.int64) for _ in range(3))
         for i, w, cuts in shingle_sets(b["text"]):
             to = slice(i, i + len(cuts) - 1)
             n[to] = np.diff(cuts)
             k1[to], k2[to] = _sums(w, cuts, 0x51).view(np.int64), _sums(w, cuts, 0xA7F3).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that different sets of a chunk share, and how many of the chunk's sets have each."""
-
-    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        w, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(w[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
-
-    parts: list[np.ndarray] = []
-    size, seen = 0, set()
-    for b in batches:
-        for _, w, cuts in shingle_sets(b["text"]):
-            key = _sums(w, cuts, 0x51).tolist()
-            for r, x in enumerate(key):
+            for r, x in enumerate(k1[to].tolist()):
                 if x not in seen:
                     seen.add(x)
                     parts.append(w[cuts[r] : cuts[r + 1]])
                     size += len(parts[-1])
             if size >= CHUNK:
-                yield counted(parts)
+                yield counted()
                 parts, size, seen = [], 0, set()
+        yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), *[pa.nulls(len(b), pa.int64())] * 2], names=names)
     if parts:
-        yield counted(parts)
+        yield counted()
 
 
-def common_shingles(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(sketch: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """The shingles with the highest counts, sorted, and their counts: at most `most`, from all documents."""
-    counts = cut(docs.select("text").mapInArrow(_repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2"))
+    counts = cut(sketch.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("n")).where("n > 2"))
     step = F.floor(F.log2("n") * 4).cast("int")
     level, total = 0, 0
     for r in sorted(counts.groupBy(step.alias("level")).count().collect(), reverse=True):
@@ -134,13 +135,13 @@ NEED = "CASE WHEN {n} < 20 THEN 1 WHEN {n} < 100 THEN 2 ELSE 3 END"
 
 
 def prefixes(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """`doc_id, n, central, tokens`: the prefix in the global order, and the mean log count of all the document's shingles."""
+    """`doc_id, key, n, k1, k2, central, tokens`: the text's hash, the set's size and key, the mean log count of all its shingles, and its prefix in the global order."""
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = held.value
         for b in batches:
-            ids, size, central, tokens = [], [], [], []
+            ids, key, size, k1, k2, central, tokens = [], [], [], [], [], [], []
             doc = b["doc_id"].cast(pa.int64())
             for i, w, cuts in shingle_sets(b["text"]):
                 n = np.diff(cuts)
@@ -161,19 +162,23 @@ def prefixes(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame
                 ends = np.cumsum(np.minimum(length, n))
                 weight = np.bincount(row, np.log2(1 + c), len(n)) / np.maximum(n, 1)
                 ids.append(doc[i : i + len(n)])
+                key.append(b["key"][i : i + len(n)])
+                k1.append(_sums(w, cuts, 0x51).view(np.int64))
+                k2.append(_sums(w, cuts, 0xA7F3).view(np.int64))
                 size.append(n)
                 central.append(weight)
                 tokens.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(kept)))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(size)), pa.array(np.concatenate(central)), pa.concat_arrays(tokens)], names=["doc_id", "n", "central", "tokens"])
+                numbers = [pa.array(np.concatenate(x)) for x in (size, k1, k2, central)]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(key), *numbers, pa.concat_arrays(tokens)], names=["doc_id", "key", "n", "k1", "k2", "central", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, central double, tokens array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, k1 long, k2 long, central double, tokens array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The `a, b` pairs whose whole texts have 100 * intersection >= 80 * union."""
-    two = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = two.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """The `a, b` pairs whose whole texts (`node, text`) have 100 * intersection >= 80 * union."""
+    two = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    two = two.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def sets(ids: list[int], column: pa.Array) -> dict[int, np.ndarray]:
         first = dict(zip(reversed(ids), range(len(ids) - 1, -1, -1), strict=True))
@@ -205,33 +210,39 @@ OVERLAP = "ceil(4 * ({a} + {b}) / 9D - 1e-9)"
 
 def groups(docs: DataFrame) -> DataFrame:
     """`doc_id, n_shingles, component_id` of every row of `doc_id, text`."""
+    spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long"))
-    docs = docs.where("doc_id IS NOT NULL")
+    sketch = cut(docs.mapInArrow(_sketch, SKETCH))
+    sets = sketch.where("n IS NOT NULL").select("doc_id", "n", "k1", "k2")
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    spark = docs.sparkSession
-    prefix = cut(prefixes(docs, common_shingles(docs)).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    posting = prefix.select("doc_id", F.col("n").cast("int").alias("n"), F.round(-F.col("central"), 3).cast("float").alias("lead"), F.posexplode("tokens").alias("place", "token"))
+    # rows that repeat an id and a set meet before the shuffle
+    docs = docs.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    prefix = prefixes(docs, common_shingles(sketch)).groupBy("doc_id", "k1", "k2", "n").agg(F.min(F.struct("key", "central", "tokens")).alias("x"))
+    prefix = cut(prefix.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "k1", "k2", "n"]).select("node", "doc_id", F.col("n").cast("int").alias("n"), "x.*"))
+    posting = prefix.select("node", "n", F.round(-F.col("central"), 3).cast("float").alias("lead"), F.posexplode("tokens").alias("place", "token"))
     posting = posting.withColumn("rest", F.col("n") - F.col("place")).drop("place")
-    shared = posting.select("token").groupBy("token").count().where("count > 1").select("token")
-    posting = cut(posting.join(shared, "token"))
-    drop(prefix)
+    # the most central set leads, then the smaller number
+    leaders = cut(posting.groupBy("token").agg(F.min(F.struct("lead", "node", "n", "rest")).alias("first"), F.count("*").alias("of")).where("of > 1").drop("of"))
+    posting = cut(posting.drop("lead").join(leaders.hint("merge"), "token"))
+    drop(leaders)
     release(spark)
-    texts = cut(docs.join(posting.select("doc_id").distinct(), "doc_id", "left_semi"))
+    used = posting.select("node").distinct().join(prefix.select("node", "doc_id", "key"), "node")
+    texts = cut(docs.join(used.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "text"))
+    drop(prefix)
     release(spark)
 
-    # the most central document leads, then the smaller id
-    leaders = posting.groupBy("token").agg(F.min(F.struct("lead", "doc_id", "n", "rest")).alias("first"))
-    star = posting.join(leaders, "token").where("doc_id <> first.doc_id")
+    star = posting.where("node <> first.node")
     star = star.where(f"5 * least(n, first.n) >= 4 * greatest(n, first.n) AND least(rest, first.rest) >= {OVERLAP.format(a='n', b='first.n')}")
-    star = star.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(verified(star, texts))
     release(spark)
     label = components(links)
 
     # the matrix: of each group, shingles with the largest rest, and the smallest and largest set that has them
-    grouped = posting.join(label, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "rest", F.coalesce("label", "doc_id").alias("group"))
+    member = label.select("node", F.col("label").alias("group"))
+    grouped = posting.drop("first").join(member, "node", "left").select("token", "node", "n", "rest", F.coalesce("group", "node").alias("group"))
     several = grouped.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("token")
     grouped = cut(grouped.join(several, "token"))
     drop(posting, label)
@@ -239,10 +250,10 @@ def groups(docs: DataFrame) -> DataFrame:
     # a pair of groups is opened from the one with the smaller number, so that no pair is met twice
     # (of the `need` shingles that a pair shares in any case, the last has 2 fewer behind it than the first)
     query = grouped.join(matrix.withColumnRenamed("group", "g"), "token").where(f"group < g AND 5 * n >= 4 * g_min AND 5 * g_max >= 4 * n AND least(rest, g_rest) >= {OVERLAP.format(a='n', b='greatest(g_min, ceil(4 * n / 5D))')} - 2")
-    opened = query.select("token", "doc_id", "n", "rest", "g")
-    member = grouped.select("token", F.col("group").alias("g"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("b_rest"))
+    opened = query.select("token", "node", "n", "rest", "g")
+    member = grouped.select("token", F.col("group").alias("g"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("rest").alias("b_rest"))
     met = opened.join(member, ["token", "g"]).where("5 * least(n, m) >= 4 * greatest(n, m)")
-    met = met.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("shared"), F.max(F.expr(f"least(rest, b_rest) - {OVERLAP.format(a='n', b='m')}")).alias("spare"), F.min(F.least("n", "m")).alias("least"))
+    met = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"), F.max(F.expr(f"least(rest, b_rest) - {OVERLAP.format(a='n', b='m')}")).alias("spare"), F.min(F.least("n", "m")).alias("least"))
     met = met.where(f"spare >= 0 AND shared >= {NEED.format(n='least')}")
     more = cut(links.union(verified(met, texts)))
     drop(grouped, texts, links)
@@ -250,5 +261,11 @@ def groups(docs: DataFrame) -> DataFrame:
     label = components(more)
     drop(more)
 
-    classes = classes.join(label, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id"))
-    return sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END").alias("component_id"))
+    # a component's id is the smallest of its classes'; both tables are written, so that a large component or class can be split in the joins
+    linked = cut(label.select("node", "label").join(classes.select("node", "rep"), "node"))
+    least = cut(linked.groupBy("label").agg(F.min("rep").alias("component_id")))
+    linked = linked.join(least.hint("merge"), "label").select("node", "component_id")
+    named = cut(classes.join(linked.hint("merge"), "node", "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id")))
+    drop(label, classes, least)
+    named = sets.join(named.hint("merge"), ["k1", "k2", "n"], "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END").alias("component_id"))

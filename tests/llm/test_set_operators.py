@@ -97,6 +97,16 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard_join.groups(odd.limit(0)).count() == 0
 
 
+def test_jaccard_repeated_ids(spark):
+    """Every row has the links of its own text, whatever other texts its id has."""
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60))
+    one, two, three = text(), text(), text()
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, three), (4, three), (4, three.upper()), (0, text()), (None, one)]
+    got = jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((x.doc_id, x.component_id) for x in got) == collections.Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 3, (0, 0): 1, (None, None): 1})
+
+
 def test_prefixes_lose_no_link():
     """Any global order: similar sets share `need` shingles of their prefixes."""
     r = random.Random(3)
