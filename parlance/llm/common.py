@@ -12,6 +12,7 @@ import contextlib
 import gc
 import math
 import os
+import re
 import uuid
 
 import numpy as np
@@ -39,8 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables: spark.checkpoint.dir, else one in the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")).rstrip("/")
+    """The cluster's shared folder for intermediate tables: spark.checkpoint.dir; where it is unset, one in the warehouse, if all executors see that."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if re.match("file:|/", warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(warehouse, "_scratch")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -56,10 +62,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop(*tables: DataFrame) -> None:
     """Remove tables that `cut` wrote, once nothing reads them any more."""
-    for path in (t._scratch_path for t in tables):
-        spark = _LEFT.pop(path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for t in tables:
+        _remove(t._scratch_path)
+
+
+@contextlib.contextmanager
+def held(*tables: DataFrame):
+    """Remove, at the end, the tables that `cut` wrote within the block, but for those put into the list that it gets; and `tables`."""
+    before, stay = set(_LEFT), []
+    yield stay
+    stay = {t._scratch_path for t in stay}
+    remove = {p for p in _LEFT if p not in before and p not in stay} | {t._scratch_path for t in tables}
+    for path in remove:
+        _remove(path)
+
+
+def _remove(path: str) -> None:
+    spark = _LEFT.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

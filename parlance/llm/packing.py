@@ -1,8 +1,10 @@
 """Packing by cutting-stock column generation.
 
 Documents become token ids and are cut into pieces of `SIZE` tokens and one
-shorter rest. Rests are counted by length class (the length in units of `UNIT`
-tokens, rounded up); the histogram, of bounded size, goes to the driver. There a
+shorter rest. Short rests of a task are put together into bundles of at most
+`BUNDLE` tokens, so that rounding costs them little. Rests and bundles are counted
+by length class (the length in units of `UNIT` tokens, rounded up); the histogram,
+of bounded size, goes to the driver. There a
 linear program over packing patterns is solved by column generation: the master's
 dual prices give each class a value, and a knapsack by dynamic programming finds
 the pattern that the master lacks most. The rounded patterns, and first-fit
@@ -12,8 +14,8 @@ rank names the slot. Offsets follow from the true lengths, so sequences have no
 gaps; what a sequence lacks to `SIZE` is padding at its end.
 
 Edge cases: null or empty text is the end id alone; a document of any length is
-cut; equal lengths and repeated rows get different slots; an empty table gives an
-empty table; other columns are neither read nor returned.
+cut; equal lengths, repeated rows and rows without id get different slots; an empty
+table gives an empty table; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import cut
+from parlance.llm.common import cut, prepare
 
 SIZE, UNIT, END = 4096, 16, 2
 CAPACITY = SIZE // UNIT
+#: Tokens up to which a rest is short, and those of a bundle of short rests.
+SHORT, BUNDLE = 256, 512
 #: Words that are known at most, and that stay known after a task, as a worker lives on.
 CACHE_WORDS, LASTING_WORDS = 600_000, 100_000
 #: Words of plain Latin letters that are tokenised as one text.
@@ -114,12 +118,20 @@ _TOKENIZERS: dict[str, WordTokens] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Pieces of each `doc_id, text`, with their class and their place among the task's pieces of the class."""
+    """Pieces of each `doc_id, text`, with their class and their place among the task's items of the class; the pieces of a bundle share both."""
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, WordTokens(tokenizer))
         part, counts = TaskContext.get().partitionId(), defaultdict(int)
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "place"]
+        bundle, filled = [], 0
+
+        def bundled() -> list[tuple]:
+            kind = -(-filled // UNIT)
+            counts[kind] += 1
+            return [(*r, kind, part, counts[kind] - 1) for r in bundle]
+
         for b in batches:
             for i in range(0, len(b), 256):
                 rows = []
@@ -128,12 +140,21 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                     n = len(ids) // 4
                     for at in range(0, n, SIZE):
                         size = min(SIZE, n - at)
+                        if size <= SHORT:
+                            if filled + size > BUNDLE:
+                                rows += bundled()
+                                bundle, filled = [], 0
+                            bundle.append((doc, at, size, zlib.crc32(ids[4 * at :]), n))
+                            filled += size
+                            continue
                         # full pieces are sequences by themselves: class 0
                         kind = 0 if size == SIZE else -(-size // UNIT)
                         rows.append((doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, kind, part, counts[kind]))
                         counts[kind] += 1
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
+        if bundle:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*bundled(), strict=True)], names=names)
         if len(t.data) > LASTING_WORDS:
             t.clear()
 
@@ -251,8 +272,9 @@ def slots(patterns: list[tuple[dict[int, int], int]], full: int) -> dict[int, tu
 
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The contract's row for each piece of `doc_id, text`."""
+    prepare(docs.sparkSession)
     cutted = cut(pieces(docs, tokenizer))
-    counts = cutted.groupBy("kind", "part").count()
+    counts = cutted.groupBy("kind", "part").agg((F.max("place") + 1).alias("count"))
     before = F.sum("count").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = cut(counts.withColumn("before", F.coalesce(before, F.lit(0))))
     demand = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("count").alias("n")).collect()}
@@ -272,6 +294,6 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(sequence)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"])
 
     rows = ranked.mapInArrow(placed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
-    # a sequence holds at most CAPACITY pieces
+    # a sequence holds at most SIZE pieces
     ahead = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("offset", F.coalesce(ahead, F.lit(0)))

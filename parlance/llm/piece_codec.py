@@ -32,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parlance.llm.common import prepare
+
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE_WORDS = 300_000
@@ -272,4 +274,5 @@ def digest(df: DataFrame, model: str) -> DataFrame:
                     decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
+    prepare(df.sparkSession)
     return df.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.common import prepare
+
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base, in the order of their spans.
 ADDED = ("login_url", "iban", "secret")
@@ -168,6 +170,7 @@ def scan(df: DataFrame) -> DataFrame:
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
 
+    prepare(df.sparkSession)
     return df.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
@@ -185,6 +188,7 @@ def mask(text: str | None) -> str | None:
 
 def redact(df: DataFrame, column: str = "text") -> DataFrame:
     """`column` masked, every other column as it is."""
+    prepare(df.sparkSession)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:

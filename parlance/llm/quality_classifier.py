@@ -9,9 +9,11 @@ The model is fitted on the driver, on at most `TRAIN_ROWS` labelled rows (those
 with the smallest hash of their id), a documented bound; every row is scored.
 
 Edge cases: null text is empty text and gets a score from its statistics; null
-n_chars counts as 0; without labelled rows all scores are 0.5; a repeated row
-gets its copy's score; an empty table gives an empty table; other columns are
-neither read nor returned.
+n_chars counts as 0; a text of any length is scored whole; without labelled rows all
+scores are 0.5; a repeated row gets its copy's score; of rows that share a labelled
+id, the smallest text (then n_chars) is learnt from; a row without id is never
+learnt from, and counts as not held out; an empty table gives an empty table; other
+columns are neither read nor returned by `classify`, and stay in `keep`.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import common, quality_rules
+from parlance.llm.common import prepare
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 4000
@@ -155,9 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
                     names=["doc_id", "quality", "f", "x"],
                 )
 
-    # at most `rows` small rows are broadcast; the texts aren't shuffled
-    got = docs.select("doc_id", "text", "n_chars").join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, quality int, f binary, x binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    # at most `rows` small rows are broadcast; of the texts, one for each of their ids is shuffled, copies meet before
+    own = docs.select("doc_id", "text", "n_chars").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("x"))
+    got = own.select("doc_id", "quality", "x.text", "x.n_chars").mapInArrow(run, "doc_id long, quality int, f binary, x binary").toPandas()
+    got = got.sort_values("doc_id")
     if got.empty:
         return Machine(np.zeros((1 << BITS) + len(STATS)), np.zeros(((1 << BITS) + len(STATS), RANK)))
     f = [np.frombuffer(a, np.int32) for a in got.f]
@@ -175,7 +179,7 @@ def _scores(model: Machine, batch: pa.RecordBatch) -> np.ndarray:
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """`doc_id, held_out, score, predicted` of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+    model = prepare(docs.sparkSession).sparkContext.broadcast(train(docs, labels, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,7 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents, all columns as they are, whose score is at least `least`."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+    model = prepare(docs.sparkSession).sparkContext.broadcast(train(docs, labels, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,8 +7,9 @@ rule rejects is seen by no later rule. A verdict is "no rule rejects", which no
 order changes; the sample decides speed only.
 
 Edge cases: a null or empty text has no words, so the base rule rejects it; a
-repeated row gets the verdict of its copy; an empty table gives an empty table;
-other columns, whatever their names, are neither read nor returned.
+text of any length is judged whole; a repeated row gets the verdict of its copy, and
+a row without id its text's; an empty table gives an empty table; other columns,
+whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import common
+from parlance.llm.common import prepare
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -153,9 +155,13 @@ def ordered(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[t
 
 
 def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 256, sample_chars: int = 100_000) -> DataFrame:
-    """Judge `doc_id, text`. The cascade's order is estimated on at most sample_rows whole texts of at most sample_chars each; every text is judged."""
+    """Judge `doc_id, text`. The cascade's order is estimated on about sample_rows whole texts of at most sample_chars each, drawn from all rows; every text is judged."""
+    prepare(df.sparkSession)
     df = df.select("doc_id", "text")
-    sample = [r.text for r in df.select("text").where(F.coalesce(F.length("text"), F.lit(0)) <= sample_chars).limit(sample_rows).collect()]
+    # every row has the same chance, whatever its id; the limit only bounds what chance may add
+    share = min(1.0, sample_rows / max(1, df.count()))
+    drawn = df.select("text").sample(share, seed=17).where(F.coalesce(F.length("text"), F.lit(0)) <= sample_chars)
+    sample = [r.text for r in drawn.limit(2 * sample_rows).collect()]
     cascade = tuple(r for r, _, _ in ordered(sample, rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ of the aliases. What nothing judges is allowed.
 Edge cases: a null URL, or one without "://", has an empty host and path, no
 rule and no alias; a null html has no links; links to pages outside the table
 join aliases and are judged by the rules as well; loops, repeated rows and
-repeated links change nothing; an empty table gives an empty table. Columns of
+repeated links change nothing; every row of a repeated page is returned; a page of
+any length is searched whole; an empty table gives an empty table. Columns of
 the input other than page_id, url and html are neither read nor returned.
 """
 
@@ -93,7 +94,8 @@ def links(pages: DataFrame) -> DataFrame:
     canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\srel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'[^']*'|[^\s>\"']+)", 0))
     canonical = F.regexp_replace(canonical, r"(?is)^\shref\s*=\s*|[\"']", "")
     refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*\shttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)[;,\s\"']url\s*=\s*[\"']?([^\"'>\s]+)", 1))
-    to = F.trim(F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&")))
+    to = F.regexp_replace(F.coalesce(canonical, refresh), r"(?i)&#(?:47|x2f);|&sol;", "/")
+    to = F.trim(F.regexp_replace(F.regexp_replace(to, r"(?i)&#(?:58|x3a);|&colon;", ":"), r"(?i)&(?:amp|#38|#x26);", "&"))
     return found.select(node_of(F.col("url")).alias("a"), _let(_let(to, lambda t: _absolute(F.col("url"), t)), node_of).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 

@@ -311,6 +311,18 @@ def test_packing_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), path).count() == 0
 
 
+def test_packing_short_texts(spark):
+    """Tables of short texts alone pack as densely as others."""
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choices(("one", "two", "words"), k=r.choice((0, 1, 16, 100))))) for i in range(6000)]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), public_tokenizers.path("word_bpe_49k.json")).toPandas()
+    assert sorted(got.doc_id) == [i for i, _ in docs] and (got.start == 0).all() and (got.length == got.doc_tokens).all()
+    placed = got.sort_values(["sequence_id", "offset"])
+    assert (placed.offset == placed.groupby("sequence_id").length.cumsum() - placed.length).all()
+    used = placed.groupby("sequence_id").length.sum()
+    assert used.max() <= packing.SIZE and 1 - used.sum() / (len(used) * packing.SIZE) < 0.05
+
+
 def test_column_generation():
     r = random.Random(2)
     for _ in range(5):
