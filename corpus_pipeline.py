@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 it kept; its result is written as Parquet and read again as the next one's docs.
+
+Edge cases, in every stage: an empty table gives an empty table; columns that
+documents doesn't have are left out; texts of any length are taken whole; a row
+without id is judged by its text as any other, and stays unless the classifier rejects
+it or a copy with an id is kept. A null or empty text is scored from its statistics
+(rejected, as a rule); if kept, it has no lines and no personal data, has no near
+duplicate but a row of the same id, and is packed as its end id. Rows that repeat an
+id and a text count as near duplicates, one of which stays; rows that share an id with
+different texts all stay.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import jaccard_join, line_dedup, packing, pii, quality_classifier
-from parlance.llm.common import cut, prepare, table
+from parlance.llm.common import cut, held, prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -70,7 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        # a stage's tables go when its result is written, and that when the next one is
+        with held(*done) as stay:
+            docs = cut(stage(spark, docs, sf_dir))
+            stay.append(docs)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
