@@ -27,10 +27,10 @@ def transcribe(spark: SparkSession, a) -> DataFrame:
     if not a.recogniser:
         raise SystemExit("transcribe needs --recogniser MODULE:FUNCTION")
     module, name = a.recogniser.split(":")
-    sound = files.read_wav(spark, a.audio_dir).where("error IS NULL").drop("error")
-    parts = transcripts.transcribe(audio.preprocess(sound), getattr(importlib.import_module(module), name))
+    sound = files.read_wav(spark, a.audio_dir)
+    parts = transcripts.transcribe(audio.preprocess(sound).where("error IS NULL"), getattr(importlib.import_module(module), name))
     parts = transcripts.postprocess(parts).withColumn("confidence", F.lit(None).cast("double"))
-    out = transcripts.merge_segments(parts, ["file"], "start_time", "transcription", "confidence")
+    out = transcripts.merge_segments(parts, ["file"], "start_time", "transcription", "confidence", sound)
     files.write_csv(out.select("file", "transcription", "confidence").orderBy("file"), a.output_csv)
     return out
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.functions.text import let
+
 #: First code point of a token, and how many follow below the surrogates.
 FIRST, LETTERS = 0x100, 0xD700
 
@@ -22,9 +24,12 @@ def token_edit_distance(h: Column, r: Column) -> Column:
     `levenshtein` does the work inside generated code. A row with more different
     tokens than there are letters (55,040) is an error.
     """
-    words = F.array_distinct(F.concat(h, r))
-    distance = F.levenshtein(_as_letters(h, words), _as_letters(r, words))
-    return F.when(F.size(words) <= LETTERS, distance).otherwise(F.raise_error(F.lit("too many different tokens in a row")).cast("int"))
+
+    def distance(words: Column) -> Column:
+        d = F.levenshtein(_as_letters(h, words), _as_letters(r, words))
+        return F.when(F.size(words) <= LETTERS, d).otherwise(F.raise_error(F.lit("too many different tokens in a row")).cast("int"))
+
+    return let(F.array_distinct(F.concat(h, r)), distance)
 
 
 def wer(h: Column, r: Column) -> Column:

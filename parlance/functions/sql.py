@@ -13,14 +13,14 @@ def _list(words) -> str:
 
 def register(spark: SparkSession) -> list[str]:
     """Create the SQL functions in the session; returns their names."""
-    letters = "decode(unhex(array_join(transform({0}, x -> lpad(hex(array_position(array_distinct(concat(h, r)), x) + 255), 4, '0')), '')), 'UTF-16BE')"
+    letters = "decode(unhex(array_join(transform({0}, x -> lpad(hex(array_position(w, x) + 255), 4, '0')), '')), 'UTF-16BE')"
     bodies = {
         "norm_text(s STRING) RETURNS STRING": r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce(s, '')), '(?U)[^\\p{L}\\p{N}_\\s]', ''), '(?U)\\s+', ' '), '^ | $', '')",
         "norm_tokens(s STRING) RETURNS ARRAY<STRING>": "filter(split(norm_text(s), ' '), x -> x <> '')",
         "content_tokens(t ARRAY<STRING>) RETURNS ARRAY<STRING>": f"filter(t, x -> NOT array_contains({_list(lexicon.FUNCTION_WORDS)}, x))",
         "token_recall(h ARRAY<STRING>, r ARRAY<STRING>) RETURNS DOUBLE": "CASE WHEN size(r) = 0 THEN 0D ELSE size(array_intersect(h, r)) / size(array_distinct(r)) END",
         "jaccard(h ARRAY<STRING>, r ARRAY<STRING>) RETURNS DOUBLE": "CASE WHEN size(r) = 0 THEN 0D ELSE size(array_intersect(h, r)) / greatest(size(array_union(h, r)), 1) END",
-        "token_edit_distance(h ARRAY<STRING>, r ARRAY<STRING>) RETURNS INT": f"levenshtein({letters.format('h')}, {letters.format('r')})",
+        "token_edit_distance(h ARRAY<STRING>, r ARRAY<STRING>) RETURNS INT": f"transform(array(array_distinct(concat(h, r))), w -> levenshtein({letters.format('h')}, {letters.format('r')}))[0]",
         "wer(h ARRAY<STRING>, r ARRAY<STRING>) RETURNS DOUBLE": "CASE WHEN size(r) > 0 THEN token_edit_distance(h, r) / size(r) END",
     }
     for head, body in bodies.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from parlance.functions import lexicon
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: inside a lambda over another array, it would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def text(c: Column) -> Column:
     """Null is the empty text."""
     return F.coalesce(c, F.lit(""))
@@ -49,8 +55,7 @@ def strings(words) -> Column:
 
 def content_words(t: Column, stop=lexicon.FUNCTION_WORDS) -> Column:
     """Tokens that aren't in the list, repeated ones kept."""
-    words = strings(stop)
-    return F.filter(t, lambda x: ~F.array_contains(words, x))
+    return F.filter(t, lambda x: ~x.isin(list(stop)))
 
 
 def word_count(c: Column) -> Column:
@@ -71,8 +76,8 @@ def postprocessed(c: Column, *, lowercase=True, punctuation=True, disfluencies=T
     if punctuation:
         x = F.replace(F.regexp_replace(F.regexp_replace(x, r"[.!?]+$", ""), "[—–-]+", " "), F.lit(","), F.lit(""))
     if disfluencies:
-        for pattern in lexicon.DISFLUENCIES:
-            x = F.regexp_replace(x, f"(?iU){pattern}", " ")
+        # one alternation, from the left: what an earlier match takes is no part of another
+        x = F.regexp_replace(x, f"(?iU){'|'.join(lexicon.DISFLUENCIES)}", " ")
     if substitutions:
         x = reduce(lambda y, rule: F.regexp_replace(y, f"(?iU){rule[0]}", rule[1]), lexicon.SUBSTITUTIONS, x)
     x = collapsed(x) if whitespace else x

@@ -171,15 +171,30 @@ def spectral_gate(x: np.ndarray, audio: Audio = Audio(), size: int = 512, hop: i
 
 
 def spectral(df: DataFrame, waveform: str = "waveform", sample_rate: str = "sample_rate", gate: bool = True, audio: Audio = Audio()) -> DataFrame:
-    """Resample to the target rate and gate noise, in Arrow batches."""
+    """Resample to the target rate and gate noise, in Arrow batches.
+
+    Where `df` has a column `error`, a row that fails gets its message there and no samples, and other rows go
+    on; so does one that has an error already.
+    """
+    isolated = "error" in df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for w, rate in zip(b[waveform], b[sample_rate], strict=True):
-                x = resample(np.asarray(w, float), int(rate), audio.sample_rate)
-                out.append((spectral_gate(x, audio) if gate else x).astype(np.float32))
+            out, errors = [], list(b["error"]) if isolated else [None] * len(b)
+            for i, (w, rate) in enumerate(zip(b[waveform], b[sample_rate], strict=True)):
+                x = np.zeros(0)
+                try:
+                    if errors[i] is None:
+                        x = resample(np.asarray(w, float), int(rate), audio.sample_rate)
+                        x = spectral_gate(x, audio) if gate else x
+                except Exception as e:  # noqa: BLE001  one file's failure is its own
+                    if not isolated:
+                        raise
+                    errors[i] = str(e) or type(e).__name__
+                out.append(x.astype(np.float32))
             b[waveform], b[sample_rate] = out, audio.sample_rate
+            if isolated:
+                b["error"] = errors
             yield b
 
     return df.mapInPandas(run, df.schema)

@@ -12,17 +12,16 @@ from parlance.operators import rubric
 SURE, RULE, HEURISTIC = 0.85, 0.4, 0.2
 
 
-def heuristics(hypothesis: Column, reference: Column) -> list[Column]:
-    """Jaccard, subsequence and content similarity of the lower-cased texts."""
-    h, r = text.lower_tokens(hypothesis), text.lower_tokens(reference)
+def heuristics(h: Column, r: Column) -> list[Column]:
+    """Jaccard, subsequence and content similarity of lower-case tokens."""
     stop = lexicon.ENSEMBLE_STOP_WORDS
     return [sets.jaccard(h, r), align.subsequence(h, r), sets.content_overlap(text.content_words(h, stop), text.content_words(r, stop))]
 
 
-def predict(hypothesis: Column, reference: Column, score: Column, confidence: Column, most: int = rubric.MAX_SCORE) -> tuple[Column, Column]:
-    """(score, confidence): the rule's where it is sure, else a weighted mean, ties to even."""
+def predict(h: Column, r: Column, score: Column, confidence: Column, most: int = rubric.MAX_SCORE) -> tuple[Column, Column]:
+    """(score, confidence) from lower-case tokens and the rule: the rule's where it is sure, else a weighted mean, ties to even."""
     # the order of the sum decides ties that floating point only just makes or misses
-    parts = [(sets.scaled(v, most), F.lit(HEURISTIC)) for v in heuristics(hypothesis, reference)] + [(score, RULE * confidence)]
+    parts = [(sets.scaled(v, most), F.lit(HEURISTIC)) for v in heuristics(h, r)] + [(score, RULE * confidence)]
     mean = sum((v * w for v, w in parts), F.lit(0.0)) / sum((w for _, w in parts), F.lit(0.0))
     sure = confidence >= SURE
     return F.when(sure, score).otherwise(F.bround(mean).cast("int")), F.when(sure, confidence).otherwise(0.5 * confidence + 0.5)
@@ -31,8 +30,10 @@ def predict(hypothesis: Column, reference: Column, score: Column, confidence: Co
 def apply(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", config: rubric.Rubric = rubric.Rubric()) -> DataFrame:
     """Rubric and ensemble: `score` and `confidence` are final; `category`, `errors` and `reasoning` stay the rule's, `final_category` is the final score's."""
     ruled = rubric.apply(df, hypothesis, reference, config)
-    score, sure = predict(F.col(hypothesis), F.col(reference), F.col("score"), F.col("confidence"))
-    return ruled.select(*(c for c in ruled.columns if c not in ("score", "confidence")), F.col("score").alias("rule_score"), F.col("confidence").alias("rule_confidence"), score.alias("score"), sure.alias("confidence")).withColumn("final_category", rubric.category_of(F.col("score")))
+    names = ruled.columns
+    ruled = ruled.select("*", text.lower_tokens(F.col(hypothesis)).alias("_h"), text.lower_tokens(F.col(reference)).alias("_r"))
+    score, sure = predict(F.col("_h"), F.col("_r"), F.col("score"), F.col("confidence"))
+    return ruled.select(*(c for c in names if c not in ("score", "confidence")), F.col("score").alias("rule_score"), F.col("confidence").alias("rule_confidence"), score.alias("score"), sure.alias("confidence")).withColumn("final_category", rubric.category_of(F.col("score")))
 
 
 def score_pairs(df: DataFrame, use_ensemble: bool = True, **columns) -> DataFrame:

@@ -54,8 +54,8 @@ def evaluation_json(df: DataFrame, sample_id: str, target: float = TARGET, **col
 def compare(baseline: DataFrame, test: DataFrame, key: str) -> DataFrame:
     """Pairs of two transcripts by key: the baseline's text as reference, the test's as hypothesis.
 
-    A text is `transcription`, or `hypothesis` where that is missing or empty. Unequal row counts, or a key
-    without partner, are an error.
+    A text is `transcription`, or `hypothesis` where that is missing or empty. A key that is null, repeated or
+    without partner is an error.
     """
 
     def said(df: DataFrame, name: str) -> DataFrame:
@@ -64,13 +64,25 @@ def compare(baseline: DataFrame, test: DataFrame, key: str) -> DataFrame:
             raise ValueError("missing columns: transcription or hypothesis")
         return df.select(key, F.coalesce(*have, F.lit("")).alias(name))
 
-    n, m = baseline.count(), test.count()
-    if n != m:
-        raise ValueError(f"row counts differ: {n} and {m}")
+    sides = baseline.select(F.col(key).alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(test.select(key, F.lit(0), F.lit(1)))
+    wrong = sides.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("k IS NULL OR a <> 1 OR b <> 1").limit(5).collect()
+    if wrong:
+        raise ValueError("each key must be once in both: " + ", ".join(f"{r.k} is {r.a} and {r.b} times there" for r in wrong))
     return said(baseline, "reference").join(said(test, "hypothesis"), key)
 
 
-def print_report(df: DataFrame, auto: str, human: str, key: str) -> DataFrame:
-    """One row with agreement, kappa and difference statistics, for a console summary."""
+def report_row(df: DataFrame, auto: str, human: str, key: str, hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
+    """One row with word error rate, agreement, kappa and difference statistics."""
     a, k, s = agreement.percent_agreement(df, auto, human), agreement.kappa(df, auto, human), agreement.score_difference_stats(df, auto, human, key)
-    return a.crossJoin(k).crossJoin(s)
+    return word_error_rate(df, hypothesis, reference).select("wer").crossJoin(a).crossJoin(k).crossJoin(s)
+
+
+def print_report(df: DataFrame, auto: str, human: str, key: str, **columns) -> str:
+    """Print the report row as text for a console, and return it; what can't be computed is a dash."""
+    r = report_row(df, auto, human, key, **columns).first()
+    share = lambda x: "-" if x is None else f"{x:.1%}"
+    number = lambda x, digits: "-" if x is None else f"{x:.{digits}f}"
+    rows = {"Word error rate": share(r.wer), "Agreement": share(r.agreement), "Weighted kappa": number(r.kappa_ratio, 3), "Mean difference": f"{number(r.mean_diff, 1)} points", "Within 10 points": share(r.within_10)}
+    said = "\n".join(["Evaluation", *(f"  {k:<18}{v}" for k, v in rows.items())])
+    print(said)
+    return said

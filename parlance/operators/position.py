@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Key ranges that rows are numbered in; their counts are the only rows of the one-task window.
-RANGES = 4096
+RANGES = 1024
 
 
-def numbered(df: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row by `key` (unique, numeric, not null).
+def numbered(df: DataFrame, key: str, name: str = "position", ranges: int = RANGES) -> DataFrame:
+    """Add the 0-based position of each row by `key` (numeric and unique; rows with a null key come last).
 
-    The key's span is cut into equal ranges; rows are numbered within a range and
-    the counts of the ranges before are added.
+    Approximate quantiles, from one pass over the keys, cut them into ranges of about equal counts, however
+    they are spread; rows are numbered within a range and the counts of the ranges before are added.
     """
-    span = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    width = F.greatest((F.col("_high") - F.col("_low") + 1) / RANGES, F.lit(1.0))
-    ranged = df.crossJoin(F.broadcast(span)).withColumn("_range", F.floor((F.col(key) - F.col("_low")) / width)).drop("_low", "_high")
+    marks = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    splits = [float("-inf"), *(marks or [0.0]), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep").transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")
+    ranged = ranged.withColumn("_range", F.coalesce("_range", F.lit(float(len(splits)))))
     before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranged.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(key))) - 1
     return ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_before", "_place")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parlance.functions import lexicon, sets, text
 
 MAX_SCORE = 6
+LOST, OMITTED, ADDED = "Missing content word", "Omission", "Addition"
 
 
 @dataclass(frozen=True)
@@ -38,33 +39,56 @@ def length_errors(h: Column, r: Column) -> Column:
     return F.when(F.size(h) < 0.5 * F.size(r), text.strings([lexicon.MAJOR_DELETION])).when(F.size(h) > 1.5 * F.size(r), text.strings([lexicon.MAJOR_INSERTION])).otherwise(none)
 
 
-def conjugation_errors(h: Column, r: Column) -> Column:
-    """Words at the same place that are different forms of one verb."""
-    group = _verb_group()
+def conjugations(h: Column, r: Column) -> Column:
+    """`a, b` words at the same place that are different forms of one verb."""
+    group, forms = _verb_group(), " ".join(lexicon.VERB_FORMS).split()
 
     def at(a: Column, b: Column) -> Column:
-        return F.when((a != b) & (F.try_element_at(group, a) == F.try_element_at(group, b)), F.concat(F.lit("Conjugation: '"), a, F.lit("' vs '"), b, F.lit("'")))
+        # few words are forms of these verbs: the hashed test comes first
+        return F.when(a.isin(forms) & b.isin(forms) & (a != b) & (F.try_element_at(group, a) == F.try_element_at(group, b)), F.struct(a.alias("a"), b.alias("b")))
 
     return F.filter(F.zip_with(h, r, at), lambda x: x.isNotNull())
 
 
+def conjugation_errors(h: Column, r: Column) -> Column:
+    return _conjugations_named(conjugations(h, r))
+
+
+def _conjugations_named(pairs: Column) -> Column:
+    return F.transform(pairs, lambda x: F.concat(F.lit("Conjugation: '"), x["a"], F.lit("' vs '"), x["b"], F.lit("'")))
+
+
 def _named(words: Column, kind: str) -> Column:
     return F.transform(words, lambda w: F.concat(F.lit(f"{kind}: '"), w, F.lit("'")))
 
 
-def lexical_errors(hc: Column, rc: Column) -> Column:
-    """Different content words of the reference without the word or another form of its verb, in order of appearance."""
+def verbs_of(words: Column) -> Column:
+    """The different verbs that words are forms of."""
+    group, forms = _verb_group(), " ".join(lexicon.VERB_FORMS).split()
+    return F.array_distinct(F.transform(F.filter(words, lambda x: x.isin(forms)), lambda x: F.try_element_at(group, x)))
+
+
+def lost_words(hc: Column, rc: Column, verbs: Column) -> Column:
+    """Different content words of the reference without the word or another form of its verb (`verbs` of hc), in order of appearance."""
     group = _verb_group()
-    near = F.transform(hc, lambda x: F.try_element_at(group, x))
-    return _named(F.filter(F.array_except(rc, hc), lambda w: ~F.coalesce(F.array_contains(near, F.try_element_at(group, w)), F.lit(False))), "Missing content word")
+    return F.filter(F.array_except(rc, hc), lambda w: ~F.coalesce(F.array_contains(verbs, F.try_element_at(group, w)), F.lit(False)))
+
+
+def _among(words: Column, these: Column) -> Column:
+    """Words, repeated ones kept, that are among these."""
+    return F.filter(words, lambda w: F.array_contains(these, w))
+
+
+def lexical_errors(hc: Column, rc: Column) -> Column:
+    return _named(text.let(verbs_of(hc), lambda verbs: lost_words(hc, rc, verbs)), LOST)
 
 
 def omissions(h: Column, rc: Column) -> Column:
-    return _named(F.filter(rc, lambda w: ~F.array_contains(h, w)), "Omission")
+    return _named(text.let(F.array_except(rc, h), lambda these: _among(rc, these)), OMITTED)
 
 
 def additions(hc: Column, r: Column) -> Column:
-    return _named(F.filter(hc, lambda w: ~F.array_contains(r, w)), "Addition")
+    return _named(text.let(F.array_except(hc, r), lambda these: _among(hc, these)), ADDED)
 
 
 def ladder(overlap: Column, content: Column, penalty: Column, rubric: Rubric = Rubric()) -> Column:
@@ -104,16 +128,22 @@ def apply(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "refer
         "*",
         sets.token_overlap(c("_h"), c("_r")).alias("token_overlap"),
         sets.content_overlap(c("_hc"), c("_rc")).alias("content_overlap"),
-        F.concat(length_errors(c("_h"), c("_r")), conjugation_errors(c("_h"), c("_r"))).alias("_structural"),
-        lexical_errors(c("_hc"), c("_rc")).alias("_lexical"),
-        omissions(c("_h"), c("_rc")).alias("_omissions"),
-        additions(c("_hc"), c("_r")).alias("_additions"),
+        length_errors(c("_h"), c("_r")).alias("_length"),
+        conjugations(c("_h"), c("_r")).alias("_pairs"),
+        verbs_of(c("_hc")).alias("_verbs"),
+        F.array_except("_rc", "_h").alias("_missing"),
+        F.array_except("_hc", "_r").alias("_extra"),
     )
+    step = step.select("*", lost_words(c("_hc"), c("_rc"), c("_verbs")).alias("_lost"), _among(c("_rc"), c("_missing")).alias("_omitted"), _among(c("_hc"), c("_extra")).alias("_added"))
     silent = F.size("_h") == 0
-    kinds = ("_structural", "_lexical", "_omissions", "_additions")
+    counts = (F.size("_length") + F.size("_pairs"), F.size("_lost"), F.size("_omitted"), F.size("_added"))
     weight = (rubric.structural, rubric.lexical, rubric.omission, rubric.addition)
-    step = step.select("*", F.when(silent, None).otherwise(sum((F.size(k) * w for k, w in zip(kinds, weight, strict=True)), F.lit(0))).alias("penalty"))
+    step = step.select("*", F.when(silent, None).otherwise(sum((n * w for n, w in zip(counts, weight, strict=True)), F.lit(0))).alias("penalty"))
     step = step.select("*", F.when(silent, 0).otherwise(ladder(c("token_overlap"), c("content_overlap"), c("penalty"), rubric)).alias("score"))
+    # the texts come last: a query of scores alone builds none
+    kinds = ("_structural", "_lexical", "_omissions", "_additions")
+    texts = (F.concat("_length", _conjugations_named(c("_pairs"))), _named(c("_lost"), LOST), _named(c("_omitted"), OMITTED), _named(c("_added"), ADDED))
+    step = step.select("*", *(t.alias(k) for t, k in zip(texts, kinds, strict=True)))
     return step.select(
         *kept,
         "score",

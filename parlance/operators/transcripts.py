@@ -14,11 +14,15 @@ def postprocess(df: DataFrame, column: str = "transcription", **switches) -> Dat
     return df.withColumn(column, text.postprocessed(F.col(column), **switches))
 
 
-def merge_segments(df: DataFrame, by: list[str], start: str, said: str, confidence: str) -> DataFrame:
-    """`transcription` and mean `confidence` of each file; empty segments add nothing to the text."""
+def merge_segments(df: DataFrame, by: list[str], start: str, said: str, confidence: str, files: DataFrame | None = None) -> DataFrame:
+    """`transcription` and mean `confidence` of each file; empty segments add nothing to the text.
+
+    With `files`, a row for each of them: one without segments has the empty text and confidence 0.
+    """
     order = F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.coalesce(F.col(said), F.lit("")).alias("t"))))
     parts = F.filter(F.transform(order, lambda x: x["t"]), lambda t: t != "")
-    return df.groupBy(*by).agg(F.array_join(parts, " ").alias("transcription"), F.coalesce(F.avg(confidence), F.lit(0.0)).alias("confidence"))
+    merged = df.groupBy(*by).agg(F.array_join(parts, " ").alias("transcription"), F.coalesce(F.avg(confidence), F.lit(0.0)).alias("confidence"))
+    return merged if files is None else files.select(*by).distinct().join(merged, by, "left").fillna({"transcription": "", "confidence": 0.0})
 
 
 def mean_log_prob(tokens: str):

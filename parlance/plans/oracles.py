@@ -168,3 +168,33 @@ ORACLES: dict[str, str] = {
     "q_manifest": f"SELECT url AS audio, '{lexicon.MANIFEST_TEXT}' AS reference FROM pages",
 }
 ORACLES["q_usable_segments"] = f"SELECT user_id, start_frame AS start_time, end_frame - start_frame AS duration FROM ({ORACLES['q_event_segments']}) WHERE end_frame - start_frame BETWEEN 2 AND 30"
+
+# character distances: DuckDB's levenshtein compares bytes, so that every other letter becomes a byte that lower-case text doesn't have
+ORACLES["q_pair_cer"] = rf"""WITH {PAIRS_SQL},
+  p AS (SELECT conv_id, turn, regexp_replace(lower(hypothesis), '^\s+|\s+$', '', 'g') AS h, regexp_replace(lower(reference), '^\s+|\s+$', '', 'g') AS r FROM pairs),
+  c AS (SELECT string_agg(c, '' ORDER BY c) AS wide FROM (SELECT DISTINCT unnest(string_split(h || r, '')) AS c FROM p) WHERE unicode(c) > 127),
+  m AS (SELECT wide, CASE WHEN length(wide) > 51 THEN error('more letters than bytes') ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || array_to_string([chr(i::INT) FOR i IN range(1, 32) IF i NOT BETWEEN 9 AND 13], '') END AS narrow FROM c)
+  SELECT conv_id, turn, CASE WHEN length(r) > 0 THEN round(levenshtein(translate(h, wide, narrow[:length(wide)]), translate(r, wide, narrow[:length(wide)])) / length(r)::DOUBLE, 6) END AS cer FROM p, m"""
+
+# words between marks, as this dialect's word boundary knows ASCII only; the rules that change nothing in lower case are left out
+_WORDS = "lower('Um, ' || reference || ' — este [ruido] fui... aber (risas) esta casa graned.')"
+_WORDS = f"replace(regexp_replace(regexp_replace({_WORDS}, '[.!?]+$', ''), '[—–-]+', ' ', 'g'), ',', '')"
+_WORDS = rf"regexp_replace({_WORDS}, '([\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+)', '‹\1›', 'g')"
+_SAID = r"‹(?:um+|uh+|eh+|ah+|mm+)›|‹(?:este|bueno|o› ‹sea|pues|a› ‹ver)›|‹(?:como› ‹se› ‹dice|espera|no› ‹sé)›|\.{2,}|\[[^\n]*?\]|\([^\n]*?\)"
+_WORDS = f"regexp_replace({_WORDS}, '{_SAID}', ' ', 'g')"
+for _a, _b in (("salio", "salió"), ("comio", "comió"), ("aber", "haber"), ("alla", "allá")):
+    _WORDS = f"replace({_WORDS}, '‹{_a}›', '‹{_b}›')"
+for _ in range(2):  # a match takes the next word's first letter, so that every second one of a row is found
+    _WORDS = rf"regexp_replace({_WORDS}, '‹esta› ‹([a-z])', '‹está› ‹\1', 'g')"
+for _a, _b in (("graned", "grande"), ("ciud\u0430\u0442", "ciudad")):
+    _WORDS = f"replace({_WORDS}, '‹{_a}›', '‹{_b}›')"
+ORACLES["q_postprocess"] = rf"WITH {PAIRS_SQL} SELECT conv_id, turn, trim(regexp_replace(translate({_WORDS}, '‹›', ''), '\s+', ' ', 'g')) AS text FROM pairs"
+
+ORACLES["q_waveform_segments"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+  f AS (SELECT vec_id, i, len(e) // 4 AS n, sqrt((e[4 * i + 1] ** 2 + e[4 * i + 2] ** 2 + e[4 * i + 3] ** 2 + e[4 * i + 4] ** 2) / 4) > 0.13 AS s FROM (SELECT vec_id, e, unnest(range(len(e) // 4)) AS i FROM v)),
+  g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY vec_id ORDER BY i) <= 2 THEN 0 ELSE 1 END AS o FROM f WHERE s),
+  h AS (SELECT *, sum(o) OVER (PARTITION BY vec_id ORDER BY i) AS k, lag(i) OVER (PARTITION BY vec_id ORDER BY i) AS y FROM g),
+  r AS (SELECT vec_id, k - 1 AS segment, min(i) AS a, max(i) AS z, max(y) AS y, max(n) AS n FROM h GROUP BY vec_id, k),
+  t AS (SELECT vec_id, segment, 4 * a AS b, CASE WHEN n - 1 - z < 2 THEN 4 * (z + 1) WHEN z = a THEN 4 * a ELSE 4 * (y + 1) END AS c FROM r)
+  SELECT vec_id, segment::BIGINT AS segment, b::DOUBLE AS start, c::DOUBLE AS "end", c - b AS samples FROM t
+  UNION ALL SELECT vec_id, 0, 0, len(e), len(e) FROM v WHERE vec_id NOT IN (SELECT vec_id FROM t)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,26 +51,44 @@ def list_audio(spark: SparkSession, folder: str, pattern: str = AUDIO) -> DataFr
     return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "path").orderBy("file")
 
 
+def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
+    """(samples by channels, rate) of a PCM WAV file."""
+    with wave.open(io.BytesIO(content)) as f:
+        width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
+        data = f.readframes(f.getnframes())
+    if width == 1:
+        x = np.frombuffer(data, np.uint8).astype(np.float32) / 128 - 1
+    elif width == 3:
+        x = (np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1 << 8, 1 << 16, 1 << 24], np.int32)).astype(np.float32) / 2**31
+    else:
+        x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / 2 ** (8 * width - 1)
+    return x.reshape(-1, channels), rate
+
+
 def read_wav(spark: SparkSession, folder: str) -> DataFrame:
-    """`file, waveform, sample_rate, error`: PCM WAV files decoded to mono; what can't be decoded has an error and no samples."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
+    return read_audio(spark, folder, pattern="*.wav")
+
+
+def read_audio(spark: SparkSession, folder: str, decoders: dict[str, Callable[[bytes], tuple[np.ndarray, int]]] | None = None, pattern: str = AUDIO) -> DataFrame:
+    """`file, waveform, sample_rate, error`: audio files decoded to mono; what can't be decoded has an error and no samples.
+
+    `decoders` gives, by lower-case suffix without the dot, functions of a file's bytes to (samples by channels,
+    rate), for the formats that the caller has a library for; PCM WAV is built in.
+    """
+    known = {"wav": decode_wav} | (decoders or {})
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for name, content in zip(b["file"], b["content"], strict=True):
+                suffix = name.rpartition(".")[2].lower()
                 try:
-                    with wave.open(io.BytesIO(content)) as f:
-                        width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
-                        data = f.readframes(f.getnframes())
-                    if width == 1:
-                        x = np.frombuffer(data, np.uint8).astype(np.float32) / 128 - 1
-                    elif width == 3:
-                        x = (np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1 << 8, 1 << 16, 1 << 24], np.int32)).astype(np.float32) / 2**31
-                    else:
-                        x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / 2 ** (8 * width - 1)
-                    rows.append((name, x.reshape(-1, channels).mean(1).astype(np.float32), rate, None))
-                except (wave.Error, EOFError, KeyError, ValueError) as e:
+                    if suffix not in known:
+                        raise ValueError(f"no decoder for .{suffix}")
+                    x, rate = known[suffix](content)
+                    rows.append((name, np.asarray(x, np.float32).reshape(len(x), -1).mean(1).astype(np.float32), rate, None))
+                except Exception as e:  # noqa: BLE001  one file's failure is its own
                     rows.append((name, np.zeros(0, np.float32), None, str(e) or type(e).__name__))
             out = pd.DataFrame(rows, columns=["file", "waveform", "sample_rate", "error"])
             yield out.astype({"sample_rate": "Int32"})

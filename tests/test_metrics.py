@@ -71,8 +71,12 @@ def test_compare(spark):
     a = spark.createDataFrame([(1, "uno dos", "-"), (2, "", "tres")], "k int, transcription string, hypothesis string")
     b = spark.createDataFrame([(1, "uno"), (2, "tres")], "k int, hypothesis string")
     assert {r.k: (r.reference, r.hypothesis) for r in evaluation.compare(a, b, "k").collect()} == {1: ("uno dos", "uno"), 2: ("tres", "tres")}
-    with pytest.raises(ValueError):
-        evaluation.compare(a, b.limit(1), "k")
+    other = spark.createDataFrame([(1, "uno"), (3, "tres")], "k int, hypothesis string")
+    twice = spark.createDataFrame([(1, "uno"), (2, "dos"), (2, "tres")], "k int, hypothesis string")
+    none = spark.createDataFrame([(1, "uno"), (None, "tres")], "k int, hypothesis string")
+    for wrong in (b.limit(1), other, twice, none):
+        with pytest.raises(ValueError, match="once"):
+            evaluation.compare(a, wrong, "k")
 
 
 def quadratic(a, b, m):
@@ -121,14 +125,16 @@ def test_positions(spark):
     keys = random.Random(1).sample(range(-10**9, 10**9), 500) + [10**15]
     rows = position.numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()
     assert {r.k: r.position for r in rows} == {k: i for i, k in enumerate(sorted(keys))}
+    some = spark.createDataFrame([(5,), (None,), (-3,)], "k long")
+    assert {r.k: r.position for r in position.numbered(some, "k").collect()} == {-3: 0, 5: 1, None: 2}
+    assert position.numbered(some.limit(0), "k").count() == 0
 
 
 def cleaned(s: str) -> str:
     if not s.strip():
         return ""
     s = re.sub("[—–-]+", " ", re.sub(r"[.!?]+$", "", s.lower())).replace(",", "")
-    for p in lexicon.DISFLUENCIES:
-        s = re.sub(p, " ", s, flags=re.I)
+    s = re.sub("|".join(lexicon.DISFLUENCIES), " ", s, flags=re.I)
     for p, by in lexicon.SUBSTITUTIONS:
         s = re.sub(p, by, s, flags=re.I)
     return re.sub(r"\s+", " ", s).strip()
@@ -141,7 +147,7 @@ def test_postprocess_whole_query(spark, sf_dir):
 
 
 def test_postprocess_cases(spark):
-    said = ["  ", "Yo, eh, fui — al mercado...", "o sea pues salio a ver", "esta casa", "esta", "vino a vino", "umm [x] (y) ciudат", "no sé!?", None]
+    said = ["  ", "Yo, eh, fui — al mercado...", "o sea pues salio a ver", "esta casa", "esta", "vino a vino", "umm [x] (y) ciudат", "no sé!?", None, "(a [b) c]", "[a (b] c)", "(este) pues [...]", "a...b", "o sea, o sea"]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", text.postprocessed(F.col("s")).alias("t")).orderBy("i").collect()
     assert [r.t for r in rows] == [cleaned(s or "") for s in said]
 
@@ -150,6 +156,9 @@ def test_merge_and_join(spark):
     parts = spark.createDataFrame([("a", 1.0, "dos", 0.5), ("a", 0.0, "uno", 1.0), ("a", 2.0, "", 0.0), ("b", 0.0, None, None)], "file string, start double, text string, conf double")
     rows = {r.file: r for r in transcripts.merge_segments(parts, ["file"], "start", "text", "conf").collect()}
     assert rows["a"].transcription == "uno dos" and rows["a"].confidence == 0.5 and rows["b"].transcription == "" and rows["b"].confidence == 0
+    every = spark.createDataFrame([("a",), ("b",), ("silent",)], "file string")
+    rows = {r.file: r for r in transcripts.merge_segments(parts, ["file"], "start", "text", "conf", every).collect()}
+    assert (rows["silent"].transcription, rows["silent"].confidence) == ("", 0.0) and rows["a"].transcription == "uno dos" and len(rows) == 3
     manifest = spark.createDataFrame([("x/a", "uno dos tres")], "audio string, reference string")
     assert transcripts.with_references(transcripts.merge_segments(parts, ["file"], "start", "text", "conf"), manifest).first().reference == "uno dos tres"
     logs = spark.createDataFrame([([-1.0, -3.0],), ([],)], "p array<double>").select(transcripts.mean_log_prob("p").alias("m")).collect()
@@ -198,6 +207,9 @@ def test_audio(spark):
     assert "none" not in parts
     assert len(audio.resample(x, 16000, 8000)) == 16000
     assert np.abs(audio.spectral_gate(x) - x).max() < 0.05
+    broken = df.withColumn("error", F.when(F.col("file") == "none", "bad file")).withColumn("sample_rate", F.when(F.col("file") != "quiet", F.col("sample_rate")))
+    rows = {r.file: r for r in audio.spectral(broken).collect()}
+    assert rows["f"].error is None and len(rows["f"].waveform) == 32000 and rows["none"].error == "bad file" and rows["quiet"].error and rows["quiet"].waveform == []
 
 
 def test_frame_segments(spark):
@@ -214,3 +226,16 @@ def test_sql_functions(spark):
     spark.createDataFrame([("a", "a")], "hypothesis string, reference string").createOrReplaceTempView("said")
     sql.scored_view(spark, "said", "scored")
     assert spark.sql("SELECT score FROM scored").first().score == 6
+
+
+def test_edit_distance_words_once(spark):
+    """The different tokens of a row are a lambda's argument, not computed again inside it."""
+    plan = spark.createDataFrame([(["a"], ["b"])], "h array<string>, r array<string>").select(align.token_edit_distance(F.col("h"), F.col("r")).alias("d"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
+
+
+def test_report_text(spark, capsys):
+    df = spark.createDataFrame([(i, "uno dos", "uno dos" if i % 2 else "uno tres", i % 7, i % 7) for i in range(40)], "k int, hypothesis string, reference string, a int, h int")
+    said = evaluation.print_report(df, "a", "h", "k")
+    assert capsys.readouterr().out == said + "\n" and "25.0%" in said and "100.0%" in said
+    assert "-" in evaluation.print_report(df.limit(0), "a", "h", "k")
