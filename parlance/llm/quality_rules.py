@@ -179,3 +179,31 @@ def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
             )
 
     return df.mapInArrow(judge, SCHEMA)
+
+
+#: DuckDB SQL of the query.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+         len(regexp_extract_all(t, '[A-ZÀ-ÖØ-Þ]')) AS caps, len(regexp_extract_all(t, '[\p{L}\p{Nl}\p{No}]')) AS letters,
+         length(t) - length(replace(t, chr(10), '')) AS breaks, length(t) - length(replace(t, '!', '')) AS calls
+  FROM d),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM n),
+k AS (
+  SELECT doc_id, i, x = lead(x) OVER o AS same, CASE WHEN lead(x, 4) OVER o IS NOT NULL THEN concat_ws(' ', x, lead(x) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) END AS k
+  FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM k WHERE k IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(5) r(j) GROUP BY doc_id),
+stutter AS (SELECT doc_id, count(*) FILTER (same) AS n FROM k GROUP BY doc_id),
+b AS (
+  SELECT n.*, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, coalesce(stutter.n, 0) AS stutters
+  FROM n LEFT JOIN covered USING (doc_id) LEFT JOIN stutter USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 5 * n_symbols > n_words OR NOT (2 * n_words <= word_chars AND word_chars <= 24 * n_words) OR 10 * n_dup_lines > 3 * (1 + breaks)
+            OR 2 * caps > letters OR 2 * calls > n_words OR 2 * letters < word_chars OR 10 * stutters > 3 * n_words) AS kept
+FROM f
+"""
