@@ -130,11 +130,12 @@ def apply(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "refer
         sets.content_overlap(c("_hc"), c("_rc")).alias("content_overlap"),
         length_errors(c("_h"), c("_r")).alias("_length"),
         conjugations(c("_h"), c("_r")).alias("_pairs"),
-        verbs_of(c("_hc")).alias("_verbs"),
-        F.array_except("_rc", "_h").alias("_missing"),
-        F.array_except("_hc", "_r").alias("_extra"),
     )
-    step = step.select("*", lost_words(c("_hc"), c("_rc"), c("_verbs")).alias("_lost"), _among(c("_rc"), c("_missing")).alias("_omitted"), _among(c("_hc"), c("_extra")).alias("_added"))
+    # a column used once would be put back into the lambda, and computed for each word: `let` keeps it outside
+    lost = text.let(verbs_of(c("_hc")), lambda verbs: lost_words(c("_hc"), c("_rc"), verbs))
+    omitted = text.let(F.array_except("_rc", "_h"), lambda these: _among(c("_rc"), these))
+    added = text.let(F.array_except("_hc", "_r"), lambda these: _among(c("_hc"), these))
+    step = step.select("*", lost.alias("_lost"), omitted.alias("_omitted"), added.alias("_added"))
     silent = F.size("_h") == 0
     counts = (F.size("_length") + F.size("_pairs"), F.size("_lost"), F.size("_omitted"), F.size("_added"))
     weight = (rubric.structural, rubric.lexical, rubric.omission, rubric.addition)
