@@ -198,3 +198,35 @@ ORACLES["q_waveform_segments"] = """WITH v AS (SELECT vec_id, list_transform(emb
   t AS (SELECT vec_id, segment, 4 * a AS b, CASE WHEN n - 1 - z < 2 THEN 4 * (z + 1) WHEN z = a THEN 4 * a ELSE 4 * (y + 1) END AS c FROM r)
   SELECT vec_id, segment::BIGINT AS segment, b::DOUBLE AS start, c::DOUBLE AS "end", c - b AS samples FROM t
   UNION ALL SELECT vec_id, 0, 0, len(e), len(e) FROM v WHERE vec_id NOT IN (SELECT vec_id FROM t)"""
+
+# sources, sinks and commands: the tables that the files were written from
+ORACLES |= {
+    "q_csv_texts": "SELECT doc_id, length(text) AS n_chars, md5(text) AS md5 FROM documents",
+    "q_score_command": f"SELECT conv_id, turn, score AS auto_score, reasoning, confidence, category FROM ({ORACLES['q_rubric_reasoning']}) JOIN (SELECT * EXCLUDE (score), score AS same FROM ({ORACLES['q_rubric_score']})) USING (conv_id, turn)",
+    "q_score_batch_command": f"WITH {_ERR} SELECT score, {_category('score')} AS category, count(*) AS n, sum(len(errors))::BIGINT AS n_errors, round(avg(confidence), 6) AS confidence, sum(length(reference))::BIGINT AS n_chars FROM scored GROUP BY score",
+    "q_evaluate_command": f"""SELECT round(w.wer, 6) AS wer, round(a.agreement, 6) AS agreement, a.samples, 0.1::DOUBLE AS goal_wer, w.wer <= 0.1 AS meets_target
+      FROM (WITH {_DP.format(tables=_TOK, h='lh', r='lr')} SELECT sum(d.distance) / greatest(sum(len(s.r)), 1) AS wer FROM dist d JOIN src s USING (pair_id)) w, (WITH {PAIRS_SQL} SELECT avg((hypothesis = reference)::INT) AS agreement, count(*) AS samples FROM pairs) a""",
+    "q_validate_command": f"WITH {RATINGS_SQL} SELECT count(*) AS n, round(avg(abs(auto - human)), 6) AS mean_diff, round(avg((auto = human)::INT), 6) AS exact, count(*) // 20 AS n_protocols, avg((auto = human)::INT) >= 0.90 AS meets_goal FROM ratings",
+    "q_compare_raters_command": f"SELECT 'ana vs luis' AS comparison, n, max_diff, mean_diff, exact, within_1, kappa_ratio FROM ({ORACLES['q_item_agreement']})",
+    "q_manifest_join": f"SELECT printf('%06d.wav', page_id) AS file, printf('said in %06d.wav', page_id) AS transcription, '{lexicon.MANIFEST_TEXT}' AS reference FROM pages",
+    "q_transcription_csv": f"""WITH {PAIRS_SQL}, s AS (SELECT *, trim(hypothesis) <> '' AS spoken FROM pairs)
+      SELECT conv_id AS file, coalesce(string_agg(hypothesis, ' ' ORDER BY turn) FILTER (spoken), '') AS transcription, coalesce(round(avg(pair_id % 5 / 8::DOUBLE) FILTER (spoken), 6), 0) AS confidence FROM s GROUP BY 1""",
+    "q_evaluation_files": f"{_PAIR_WER} SELECT pair_id AS sample, round(wer, 6) AS wer, exact_match, (SELECT count(*) FROM m) AS n_samples, (SELECT round(avg(wer), 6) FROM m) AS avg_wer FROM m",
+    "q_report_row": f"""WITH {_DP.format(tables=_TOK, h='lh', r='lr')},
+      z AS (SELECT pair_id, pair_id % 7 AS auto, least(6, pair_id % 7 + (pair_id % 3 = 0)::INT) AS human FROM pairs),
+      placed AS (SELECT *, (row_number() OVER (ORDER BY pair_id) - 1) // 20 AS p FROM z),
+      protocol AS (SELECT abs(sum(auto) - sum(human)) AS d FROM placed GROUP BY p HAVING count(*) = 20),
+      k AS (SELECT avg((auto = human)::INT) AS agreement, {_kappas('auto', 'human', 6)} FROM z),
+      e AS (SELECT sum(d.distance) / greatest(sum(len(s.r)), 1) AS wer FROM dist d JOIN src s USING (pair_id))
+      SELECT round(e.wer, 6) AS wer, round(k.agreement, 6) AS agreement, k.kappa_ratio, round(avg(d), 6) AS mean_diff, round(sqrt(avg(d * d)), 6) AS rmse, max(d)::DOUBLE AS max_diff, round(avg((d <= 10)::INT), 6) AS within_10 FROM protocol, k, e GROUP BY ALL""",
+    "q_in_memory": "SELECT * FROM (VALUES ('yo fui', 'yo fui ayer', 3::BIGINT), ('nada', '', 0), ('', 'la casa', 2), ('a b', 'a b c', 3)) v(hypothesis, reference, n_words)",
+    "q_word_count": f"SELECT doc_id, len({_words("coalesce(text, '')")})::BIGINT AS n_words FROM documents",
+    # the band-limited signal between the samples, by its closed form
+    "q_resampled": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, len(embedding) AS m, round(len(embedding) * 1.5)::BIGINT AS n FROM embeddings),
+      s AS (SELECT DISTINCT m, n FROM v),
+      k AS (SELECT m, n, t, list(c ORDER BY j) AS c FROM (
+        SELECT m, n, t, j, (1 + 2 * (SELECT coalesce(sum(cos(2 * pi() * f * (t::DOUBLE / n - j::DOUBLE / m))), 0) FROM range(1, m // 2 + 1) g(f))) / m AS c FROM s, unnest(range(n)) a(t), unnest(range(m)) b(j)) GROUP BY m, n, t),
+      y AS (SELECT vec_id, v.n, list_dot_product(e, c) AS y FROM v JOIN k USING (m, n))
+      SELECT vec_id, any_value(n) AS samples, round(sqrt(avg(y * y)), 4) AS rms, 24000::BIGINT AS sample_rate FROM y GROUP BY vec_id""",
+    "q_truncated": "SELECT vec_id, least(len(embedding), 20) AS samples, round(sqrt(list_sum(list_transform(embedding[:20], lambda x: x::DOUBLE * x::DOUBLE)) / least(len(embedding), 20)), 5) AS rms FROM embeddings",
+}

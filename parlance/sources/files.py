@@ -25,15 +25,23 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with a header; quotes are doubled inside quoted cells, which may span lines. With `schema`, nothing is inferred."""
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": False}
+    """CSV with a header; quotes are doubled inside quoted cells, which may span lines. With `schema`, nothing is inferred.
+
+    An empty cell is null, and a quoted empty one the empty text.
+    """
+    # a null mark that no text has: the default one would also take quoted empty cells
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": False, "nullValue": "\0"}
     reader = spark.read.options(**options)
     return require_columns((reader.schema(schema) if schema else reader).csv(path), *required)
 
 
 def read_json(spark: SparkSession, path: str, schema: str = PAIRS) -> DataFrame:
-    """A JSON array of objects; a missing reference is the empty text."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    """A JSON array of objects, or an object a line, as `write_json` has them; a missing reference is the empty text.
+
+    The first line with text decides: a whole object means that each line is one, and large files can be split.
+    """
+    line = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").rlike(r"(?s)^\{.*\}$").alias("whole")).first()
+    df = spark.read.schema(schema).option("multiLine", not (line and line.whole)).json(path)
     return df.fillna("", ["reference"]) if "reference" in df.columns else df
 
 
@@ -101,7 +109,8 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
+    """CSV that `read_csv` reads back as it was: spaces at the ends of a text stay, and null isn't the empty text."""
+    df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_scored_csv(scored: DataFrame, inputs: list[str], path: str, mode: str = "errorifexists") -> None:
@@ -116,3 +125,9 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_document(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One row as one nested JSON document."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode(mode).text(path)
+
+
+def write_evaluation(summary: DataFrame, samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The summary as one document, and beside it a JSON line for each sample: for evaluations whose samples no single document can hold."""
+    write_document(summary, f"{path}/summary", mode)
+    write_json(samples, f"{path}/samples", mode)

@@ -84,3 +84,20 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.exact) for r in spark.table("agreed").collect()) == [(1, 1.0), (2, 0.5)]
+
+
+def test_round_trips(spark, tmp_path):
+    texts = [(1, ' "a", \n b\r\n'), (2, None), (3, ""), (4, "  "), (5, "#x\\"), (6, "ñandú 日本")]
+    files.write_csv(spark.createDataFrame(texts, "i int, t string"), str(tmp_path / "csv"))
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "csv"), "i int, t string").collect())) == texts
+    many = spark.range(50).selectExpr("concat('h', id) AS hypothesis", "CASE WHEN id % 2 = 0 THEN 'r' END AS reference").repartition(3)
+    files.write_json(many, str(tmp_path / "lines"))
+    back = files.read_json(spark, str(tmp_path / "lines"))
+    assert back.count() == 50 and back.where("reference = ''").count() == 25
+    for name, rows in (("one", '[{"hypothesis": "a"}, {"hypothesis": "b", "reference": "}"}]'), ("more", '\n[\n{"hypothesis": "a"},\n{"hypothesis":\n"b", "reference": "}"}\n]\n')):
+        (tmp_path / name).write_text(rows)
+        assert sorted(map(tuple, files.read_json(spark, str(tmp_path / name)).collect())) == [("a", ""), ("b", "}")]
+    (tmp_path / "object").write_text('{\n"hypothesis": "a"\n}')
+    assert [r.hypothesis for r in files.read_json(spark, str(tmp_path / "object")).collect()] == ["a"]
+    (tmp_path / "none").write_text("")
+    assert files.read_json(spark, str(tmp_path / "none")).count() == 0
