@@ -11,15 +11,13 @@ import atexit
 import contextlib
 import gc
 import math
-import os
-import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.session import ship
+from parlance.session import remove, scratch, ship
 
 #: Text bytes that one numpy kernel call works on; a longer document is a call of its own.
 SLICE_BYTES = 1 << 20
@@ -39,16 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables: spark.checkpoint.dir; where it is unset, one in the warehouse, if all executors see that."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    if re.match("file:|/", warehouse) and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return os.path.join(warehouse, "_scratch")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table of the shared folder and read it again: later jobs need no executor that made it."""
     spark = df.sparkSession
@@ -72,15 +60,13 @@ def held(*tables: DataFrame):
     before, stay = set(_LEFT), []
     yield stay
     stay = {t._scratch_path for t in stay}
-    remove = {p for p in _LEFT if p not in before and p not in stay} | {t._scratch_path for t in tables}
-    for path in remove:
+    gone = {p for p in _LEFT if p not in before and p not in stay} | {t._scratch_path for t in tables}
+    for path in gone:
         _remove(path)
 
 
 def _remove(path: str) -> None:
-    spark = _LEFT.pop(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    remove(_LEFT.pop(path), path)
 
 
 def release(spark: SparkSession) -> None:
@@ -98,8 +84,7 @@ def _clean() -> None:
     for path, spark in list(_LEFT.items()):
         with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:
-                at = spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+                remove(spark, path)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES):

@@ -195,3 +195,46 @@ def redact(df: DataFrame, column: str = "text") -> DataFrame:
         return texts.map(mask, na_action="ignore")
 
     return df.withColumn(column, masked(F.col(column)))
+
+
+def _oracle() -> str:
+    """DuckDB SQL of the query, for tables whose ids are unique: each kind's matches between marks, then the same checks.
+
+    Of account numbers with no more than a space between them, it finds the first only, and no secret whose cue ends a value that failed.
+    """
+    at, to = "\ue000", "\ue001"
+    space = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+    cues = "|".join(x for cue in CUES for x in (cue, cue.upper(), cue.capitalize()))
+    # (what comes before, the match)
+    patterns = {
+        "email": ("()", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+        "ip": ("()", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+        "card": ("()", r"[0-9](?:[\x20-]?[0-9])+"),
+        "phone": ("()", r"\+[0-9][\x20().0-9-]+[0-9]"),
+        "login_url": ("()", rf"\p{{L}}{{0,12}}://[^{space}/@:?#<>\"']+:[^{space}/@?#<>\"']+@[A-Za-z0-9.-]+"),
+        "iban": (r"(^|[^\p{L}\p{N}])", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"),
+        "secret": (rf"((?:{cues})[\x20_-]?(?:key)?[\"']?\x20?[:=]\x20?[\"']?)", "[A-Za-z0-9_+/=-]{16,}"),
+    }
+    marked = [f"SELECT doc_id, {n} AS o, '{kind}' AS kind, regexp_replace(t, '{(before + '(' + match + ')').replace(chr(39), chr(39) * 2)}', '\\1{at}\\2{to}', 'g') AS m FROM d" for n, (kind, (before, match)) in enumerate(patterns.items())]
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(marked)}),
+p AS (SELECT doc_id, o, kind, unnest(string_split(m, '{at}')) AS part, generate_subscripts(string_split(m, '{at}'), 1) AS i FROM m WHERE contains(m, '{at}')),
+w AS (SELECT doc_id, o, kind, i, split_part(part, '{to}', 1) AS x, substr(split_part(part, '{to}', 2), 1, 1) AS follows, length(part) - (i > 1)::INT AS n FROM p),
+s AS (SELECT *, regexp_replace(x, '[^0-9]', '', 'g') AS digits, sum(n) OVER (PARTITION BY doc_id, o ORDER BY i) - n AS a FROM w),
+e AS (SELECT *, CASE WHEN kind = 'iban' THEN list_max([l FOR l IN range(15, length(x) + 1) IF x[l] <> ' ' AND NOT regexp_matches((x || follows)[l + 1], '[\p{{L}}\p{{N}}]') AND length(replace(x[:l], ' ', '')) BETWEEN 15 AND 34
+    AND list_reduce(list_concat([0], [CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END FOR c IN string_split(replace(x[5:l], ' ', '') || x[:4], '')]), lambda y, v: (y * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1]) ELSE length(x) END AS size
+  FROM s WHERE i > 1),
+f AS (SELECT doc_id, o, kind, a, kind || ':' || a || ':' || (a + size) AS span FROM e WHERE CASE kind
+  WHEN 'ip' THEN len([q FOR q IN string_split(x, '.') IF length(ltrim(q, '0')) > 3 OR coalesce(TRY_CAST(ltrim(q, '0') AS INT), 0) > 255]) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum([CASE WHEN j % 2 = 1 THEN g ELSE 2 * g - 9 * (g > 4)::INT END FOR g, j IN [ascii(c) - 48 FOR c IN string_split(reverse(digits), '')]]) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+  WHEN 'iban' THEN size IS NOT NULL
+  WHEN 'secret' THEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')
+  ELSE true END)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+  sha256(coalesce(string_agg(span, ',' ORDER BY o, a) FILTER (o < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY o, a), '') AS spans, count(*) FILTER (o >= {len(BASE)}) AS n_added, count(span) AS n_spans
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+ORACLE = _oracle()

@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE, "op6_ngram_jaccard_join": jaccard_join.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op10_exact_topk": topk.ORACLE}
+    return {"op2_url_filter": url_filter.ORACLE, "op6_ngram_jaccard_join": jaccard_join.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_pii": pii.ORACLE, "op10_exact_topk": topk.ORACLE}

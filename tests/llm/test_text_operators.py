@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -284,3 +285,24 @@ def test_viterbi_is_the_best_path():
     score = lambda ys: sum(model.weights[names[b.features[0]], y] for b, y in zip(page, ys, strict=True)) + sum(model.steps[a, b] for a, b in zip(ys, ys[1:], strict=False))
     best = max(([n >> k & 1 for k in range(7)] for n in range(128)), key=score)
     assert score(model.decode(page)) == pytest.approx(score(best)) and model.decode([]) == []
+
+
+@pytest.mark.parametrize("name", ["op6_ngram_jaccard_join", "op7_quality_rules", "op9_pii"])
+def test_same_as_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    ours, theirs = queries.queries()[name](spark, sf_dir), con.sql(queries.oracle_sql()[name])
+    names = sorted(ours.columns)
+    assert names == sorted(theirs.columns)
+    assert sorted(map(tuple, ours.select(*names).collect())) == sorted(theirs.select(*names).fetchall())
+
+
+def test_pii_sql_on_made_texts():
+    r = random.Random(5)
+    parts = ["a@b.co", "1.2.3.256", "1.2.3.4", "4111 1111 1111 1111", "+34 600-123 456", "://u:p@h.x", "https", "é", "token=", "key: ", "abcdefghijklmnop1", "GB82 WEST 1234 5698 7654 32.", "DE89370400440532013000,", ".", "@", "0", "\n", " ", "Ap1", "-", "\u00a0"]
+    docs = [(i, "".join(r.choices(parts, k=r.randint(0, 14))) if i else None) for i in range(2000)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    got = dict(con.sql(f"SELECT doc_id, spans FROM ({pii.ORACLE})").fetchall())
+    assert got == {i: pii.joined(pii.find(t), pii.KINDS) for i, t in docs}
