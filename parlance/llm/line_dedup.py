@@ -216,7 +216,44 @@ def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The query's row: `doc_id, n_lines, n_deleted, deleted, text, found` of each document; `found` says where each block was first."""
+    """The query's row: `doc_id, n_lines, n_deleted, deleted, text, holders, found` of each document; `holders` are the earlier documents of its blocks, and `found` says where each block was first."""
     found = F.transform("blocks", lambda b: F.concat(b["first"].cast("string"), F.lit("-"), b["last"].cast("string"), F.lit("="), b["holder"].cast("string"), F.lit(":"), b["there"].cast("string")))
+    holders = F.array_sort(F.array_distinct(F.transform("blocks", lambda b: b["holder"])))
     reduced = dedup(docs.select("doc_id", "text"))
-    return reduced.select("doc_id", F.col("n_lines").cast("long"), F.coalesce(F.size("doomed"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(F.array_join("doomed", ","), F.lit("")).alias("deleted"), "text", F.coalesce(F.array_join(found, ","), F.lit("")).alias("found"))
+    return reduced.select(
+        "doc_id",
+        F.col("n_lines").cast("long"),
+        F.coalesce(F.size("doomed"), F.lit(0)).cast("long").alias("n_deleted"),
+        F.coalesce(F.array_join("doomed", ","), F.lit("")).alias("deleted"),
+        "text",
+        F.coalesce(F.array_join(holders.cast("array<string>"), ","), F.lit("")).alias("holders"),
+        F.coalesce(F.array_join(found, ","), F.lit("")).alias("found"),
+    )
+
+
+#: DuckDB SQL of the query, for tables whose ids are unique: the lines of every run that an earlier document has, without the alignment that says where.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, i, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM l),
+w AS (
+  SELECT doc_id, i, n, row_number() OVER o AS k, sum(n) OVER o AS z, list(t) OVER (o ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ts
+  FROM s WHERE n > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (
+  SELECT a.doc_id, a.k AS k0, b.k AS k1, array_to_string(a.ts[:b.k - a.k + 1], chr(10)) AS run
+  FROM w a JOIN range(8) d ON true JOIN w b ON b.doc_id = a.doc_id AND b.k = a.k + d.range
+  WHERE b.z - a.z + a.n >= 8 AND (b.k = a.k OR b.z - b.n - a.z + a.n < 8 OR b.z - a.z < 8)),
+f AS (SELECT run, min(doc_id) AS holder FROM r GROUP BY run),
+hit AS (SELECT r.doc_id, k0, k1, holder FROM r JOIN f USING (run) WHERE r.doc_id > holder),
+g AS (SELECT DISTINCT doc_id, unnest(range(k0, k1 + 1)) AS k FROM hit),
+m AS (SELECT doc_id, i, x, n, sum((n > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+e AS (
+  SELECT m.doc_id, m.i, m.x, g.k IS NOT NULL AND (m.n > 0 OR h.k IS NOT NULL) AS gone
+  FROM m LEFT JOIN g ON g.doc_id = m.doc_id AND g.k = m.k LEFT JOIN g h ON h.doc_id = m.doc_id AND h.k = m.k + 1),
+t AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (gone) AS deleted, string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone) AS text
+  FROM e GROUP BY doc_id),
+p AS (SELECT doc_id, string_agg(holder::VARCHAR, ',' ORDER BY holder) AS holders FROM (SELECT DISTINCT doc_id, holder FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(deleted, '') AS deleted,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, coalesce(holders, '') AS holders
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id
+"""

@@ -10,6 +10,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -190,8 +191,16 @@ def check_dedup(docs, got):
         assert covered == {i for i, _ in worded[r.doc_id]} & set(expected[r.doc_id])
 
 
+def sql_dedup(documents):
+    con = duckdb.connect()
+    con.register("documents", documents)
+    return con.sql(line_dedup.ORACLE).fetchall()
+
+
 def test_line_dedup(spark, sf_dir, rows):
-    check_dedup({r[0]: r[1] for r in rows}, queries.op4_line_dedup(spark, sf_dir).collect())
+    got = line_dedup.report(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    check_dedup({r[0]: r[1] for r in rows}, got)
+    assert sorted(map(tuple, queries.op4_line_dedup(spark, sf_dir).collect())) == sorted(tuple(r)[:-1] for r in got)
 
 
 def test_line_dedup_made(spark):
@@ -208,6 +217,8 @@ def test_line_dedup_made(spark):
         docs[d] = "\n".join([*lines, "Read more"] if r.random() < 0.7 else lines * r.choice((1, 1, 1, 20)))
     got = line_dedup.report(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
     check_dedup(docs, got)
+    documents = pa.table({"doc_id": pa.array(docs, pa.int64()), "text": list(docs.values())})
+    assert sorted(tuple(r)[:-1] for r in got) == sorted(sql_dedup(documents))
     # every deleted line with a word stays in an earlier document
     kept = collections.defaultdict(lambda: 10**9)
     for row in got:
