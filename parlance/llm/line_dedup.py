@@ -207,11 +207,13 @@ def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         rows = [(t, None) if t is None or r is None else without(t, list(r)) for t, r in zip(texts, ranges, strict=True)]
         return pd.DataFrame({"text": pd.Series([t for t, _ in rows], dtype=object), "doomed": pd.Series([d for _, d in rows], dtype=object)})
 
+    # its rows are the same each time; so named, a filter on its result isn't pushed below it with a second call
+    once = reduced.asNondeterministic()
     names = [c for c in docs.columns if c not in ("n_lines", "doomed", "blocks")]
     found = duplicates(docs, block).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "blocks")
     joined = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
     joined = joined.join(found.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    joined = joined.withColumn("_new", reduced("text", F.flatten(F.transform("blocks", lambda b: F.array(b["first"], b["last"])))))
+    joined = joined.withColumn("_new", once("text", F.flatten(F.transform("blocks", lambda b: F.array(b["first"], b["last"])))))
     return joined.select(*(F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names), "n_lines", F.col("_new.doomed").alias("doomed"), "blocks")
 
 
