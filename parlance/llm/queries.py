@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators: op1 to op10, and the pipeline."""
+"""The registered queries of the training-data operators: op1 to op13."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import html_extract, jaccard_join, line_dedup, packing, pii, piece_codec, quality_classifier, quality_rules, topk, url_filter
+from parlance.llm import centroids, divergence, html_extract, jaccard_join, line_dedup, packing, pii, piece_codec, quality_classifier, quality_rules, sharding, topk, url_filter
 from parlance.llm.common import table
 
 
@@ -53,9 +53,21 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_sentencepiece, op4_line_dedup, op5_packing, op6_ngram_jaccard_join, op7_quality_rules, op8_quality_classifier, op9_pii, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_sentencepiece, op4_line_dedup, op5_packing, op6_ngram_jaccard_join, op7_quality_rules, op8_quality_classifier, op9_pii, op10_exact_topk, op11_source_divergence, op12_sharding, op13_centroid_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_ngram_jaccard_join": jaccard_join.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_pii": pii.ORACLE, "op10_exact_topk": topk.ORACLE}
+    return {"op2_url_filter": url_filter.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_ngram_jaccard_join": jaccard_join.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_pii": pii.ORACLE, "op10_exact_topk": topk.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_sharding": sharding.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
