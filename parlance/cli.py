@@ -1,4 +1,4 @@
-"""Commands over files: transcribe, evaluate, train, create-manifest, score, validate, compare-raters, score-batch.
+"""Commands over files: transcribe, evaluate, train, create-manifest, score, validate, compare-raters, compare-transcripts, score-batch.
 
 `transcribe` and `train` need a recogniser, which the library doesn't have:
 `transcribe` takes one as MODULE:FUNCTION, a pandas UDF of (waveform, sample_rate);
@@ -13,16 +13,11 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import agreement, audio, ensemble, evaluation, transcripts
+from parlance.operators import agreement, audio, ensemble, evaluation, position, transcripts
 from parlance.session import ship
 from parlance.sources import files
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """Rows of one file by their place in it."""
-    return df.withColumn("_row", F.monotonically_increasing_id())
-
-
 def transcribe(spark: SparkSession, a) -> DataFrame:
     if not a.recogniser:
         raise SystemExit("transcribe needs --recogniser MODULE:FUNCTION")
@@ -36,7 +31,7 @@ def transcribe(spark: SparkSession, a) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, a) -> DataFrame:
-    df = files.read_csv(spark, a.results_csv, required=("transcription", "reference"))
+    df = files.read_csv(spark, a.results_csv, required=("transcription", "reference"), one_line=a.one_line)
     wer = evaluation.word_error_rate(df, "transcription").select("wer")
     same = agreement.percent_agreement(df, "transcription", "reference")
     out = wer.crossJoin(same).crossJoin(df.agg(F.count("*").alias("samples"))).withColumn("goal_wer", F.lit(evaluation.TARGET)).withColumn("meets_target", F.col("wer") <= evaluation.TARGET)
@@ -57,15 +52,16 @@ def create_manifest(spark: SparkSession, a) -> DataFrame:
 
 
 def score(spark: SparkSession, a) -> DataFrame:
-    df = files.read_csv(spark, a.input_csv, required=("hypothesis", "reference"))
-    out = ensemble.score_pairs(df, a.use_ensemble)
-    files.write_scored_csv(out, df.columns, a.output_csv)
+    df = files.read_csv(spark, a.input_csv, required=("hypothesis", "reference"), one_line=a.one_line)
+    out = ensemble.scored_columns(df, a.use_ensemble)
+    files.write_csv(out, a.output_csv, one_line=a.one_line)
     return out
 
 
 def validate(spark: SparkSession, a) -> DataFrame:
-    df = files.read_csv(spark, a.scored_csv, required=("auto_score", "human_score"))
-    df = _keyed(df.select(F.col("auto_score").cast("int"), F.col("human_score").cast("int")))
+    df = files.read_csv(spark, a.scored_csv, required=("auto_score", "human_score"), one_line=a.one_line)
+    # protocols are rows that follow each other, in however many files
+    df, _ = position.in_files(df.select(F.col("auto_score").cast("int"), F.col("human_score").cast("int")), "_row")
     out = agreement.report(df, "auto_score", "human_score", "_row", a.items_per_protocol)
     files.write_document(out, a.output_json)
     return out
@@ -73,28 +69,41 @@ def validate(spark: SparkSession, a) -> DataFrame:
 
 def compare_raters(spark: SparkSession, a) -> DataFrame:
     one, two = f"{a.scorer_a}_score", f"{a.scorer_b}_score"
-    df = files.read_csv(spark, a.input_csv, required=(one, two)).select(F.col(one).cast("int").alias(one), F.col(two).cast("int").alias(two))
+    df = files.read_csv(spark, a.input_csv, required=(one, two), one_line=a.one_line).select(F.col(one).cast("int").alias(one), F.col(two).cast("int").alias(two))
     metrics = agreement.item_agreement(df, one, two).select(F.struct("*").alias("metrics"))
     out = metrics.select(F.lit(f"{a.scorer_a} vs {a.scorer_b}").alias("comparison"), "metrics")
     files.write_document(out, a.output_json)
     return out
 
 
+def compare_transcripts(spark: SparkSession, a) -> DataFrame:
+    """Two CSV files or folders, row by row: an evaluation as one JSON document with its samples."""
+    sides = [files.read_csv(spark, path, one_line=a.one_line) for path in (a.baseline_csv, a.test_csv)]
+    pairs = evaluation.pairs(evaluation.compare_by_position(*sides)).orderBy("position")
+    out = evaluation.evaluate(pairs).withColumn("target_wer", F.lit(evaluation.TARGET))
+    files.write_nested(out, pairs.drop("position"), "samples", a.output_json)
+    return out
+
+
 def score_batch(spark: SparkSession, a) -> DataFrame:
     out = ensemble.score_pairs(files.read_json(spark, a.sentences_json), False).select("hypothesis", "reference", "score", "category", "reasoning", "confidence", "errors")
-    files.write_json(out, a.output_json)
+    files.write_array(out, a.output_json)
     agreement.score_histogram(out, "score").show()
     return out
 
 
+#: No cell of the CSV spans lines: files are read in splits.
+ONE_LINE = "?--one-line"
+
 COMMANDS = {
     transcribe: ("--audio-dir", "--output-csv", "[--recogniser"),
-    evaluate: ("--results-csv", "--output-json"),
+    evaluate: ("--results-csv", "--output-json", ONE_LINE),
     train: ("--train-manifest", "--eval-manifest"),
     create_manifest: ("--input-dir", "--output-manifest"),
-    score: ("--input-csv", "--output-csv", "?--use-ensemble"),
-    validate: ("--scored-csv", "--output-json", "#--items-per-protocol=20"),
-    compare_raters: ("--input-csv", "--output-json", "=--scorer-a=auto", "=--scorer-b=human"),
+    score: ("--input-csv", "--output-csv", "?--use-ensemble", ONE_LINE),
+    validate: ("--scored-csv", "--output-json", "#--items-per-protocol=20", ONE_LINE),
+    compare_raters: ("--input-csv", "--output-json", "=--scorer-a=auto", "=--scorer-b=human", ONE_LINE),
+    compare_transcripts: ("--baseline-csv", "--test-csv", "--output-json", ONE_LINE),
     score_batch: ("--sentences-json", "--output-json"),
 }
 

@@ -9,27 +9,60 @@ from pyspark.sql import types as T
 
 from parlance.functions.text import let
 
-#: First code point of a token, and how many follow below the surrogates.
-FIRST, LETTERS = 0x100, 0xD700
+#: First code point of a token, and how many follow without the surrogates.
+FIRST, SURROGATES, GAP, LAST = 0x100, 0xD800, 0x800, 0x10FFFF
+LETTERS = LAST + 1 - FIRST - GAP
+#: Shared tokens up to which a token is looked up one by one, letters up to which a distance has no bound, and the first bound.
+FEW, SHORT, NEAR = 256, 64, 16
 
 
-def _as_letters(t: Column, words: Column) -> Column:
-    return F.decode(F.unhex(F.array_join(F.transform(t, lambda x: F.lpad(F.hex(F.array_position(words, x) + (FIRST - 1)), 4, "0")), "")), "UTF-16BE")
+def _place(x: Column, words: Column, steps: Column) -> Column:
+    """Place from 1 of x among the sorted words, by bisection; 0 if it isn't there."""
+    at = F.aggregate(steps, F.lit(0), lambda a, step: F.when(F.get(words, a + step - 1) <= x, a + step).otherwise(a))
+    return let(at, lambda a: F.when(F.get(words, a - 1) == x, a).otherwise(0))
+
+
+def _code(place: Column, side: int) -> Column:
+    """Number of the letter of a token: by its place among the shared words, and one of each side's own where that is 0."""
+    return place + (FIRST + 1) if side else F.coalesce(F.nullif(place, F.lit(0)) + (FIRST + 1), F.lit(FIRST))
+
+
+def _as_letters(t: Column, words: Column, steps: Column, side: int) -> Column:
+    few = F.transform(t, lambda x: _code(F.array_position(words, x), side))
+    many = F.transform(t, lambda x: let(_code(_place(x, words, steps), side), lambda c: c + F.when(c >= SURROGATES, GAP).otherwise(0)))
+    codes = F.when(F.size(words) <= FEW, few).otherwise(many.cast("array<bigint>"))
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c), 8, "0")), "")), "UTF-32")
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two texts. Long ones are compared within a bound that grows fourfold until it holds: similar texts cost little."""
+
+    def bounded(two: Column) -> Column:
+        a, b = two["a"], two["b"]
+        size = F.greatest(F.char_length(a), F.char_length(b))
+        # the last bound is no less than the longer text
+        bounds = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(NEAR)) / NEAR) / 2).cast("int")), lambda i: F.pow(F.lit(4), i).cast("int") * NEAR)
+        grown = F.aggregate(bounds, F.lit(-1), lambda found, most: F.when(found >= 0, found).otherwise(F.call_function("levenshtein", a, b, most)))
+        return F.when(size <= SHORT, F.levenshtein(a, b)).otherwise(grown)
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.struct(a.alias("a"), b.alias("b")), bounded))
 
 
 def token_edit_distance(h: Column, r: Column) -> Column:
     """Levenshtein distance of token arrays.
 
-    Each different token of a row becomes one letter, so that the built-in
-    `levenshtein` does the work inside generated code. A row with more different
-    tokens than there are letters (55,040) is an error.
+    Each token that both sides have becomes one letter, and those that only one side has become
+    another letter for each side, as they equal nothing: so the built-in `levenshtein` does the work. Letters go
+    on behind the surrogates; a row with more than a million (LETTERS) different
+    words that both of its texts have is an error.
     """
 
-    def distance(words: Column) -> Column:
-        d = F.levenshtein(_as_letters(h, words), _as_letters(r, words))
-        return F.when(F.size(words) <= LETTERS, d).otherwise(F.raise_error(F.lit("too many different tokens in a row")).cast("int"))
+    def encoded(words: Column) -> Column:
+        steps = F.transform(F.sequence(F.floor(F.log2(F.size(words) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+        d = let(steps, lambda s: distance(_as_letters(h, words, s, 0), _as_letters(r, words, s, 1)))
+        return F.when(F.size(words) <= LETTERS - 2, d).otherwise(F.raise_error(F.lit("too many different shared tokens in a row")).cast("int"))
 
-    return let(F.array_distinct(F.concat(h, r)), distance)
+    return let(F.array_sort(F.array_intersect(h, r)), encoded)
 
 
 def wer(h: Column, r: Column) -> Column:
@@ -39,7 +72,7 @@ def wer(h: Column, r: Column) -> Column:
 
 def cer(h: Column, r: Column) -> Column:
     """Character error rate of texts; null without reference characters."""
-    return F.when(F.char_length(r) > 0, F.levenshtein(h, r) / F.greatest(F.char_length(r), F.lit(1)))
+    return F.when(F.char_length(r) > 0, distance(h, r) / F.greatest(F.char_length(r), F.lit(1)))
 
 
 def lcs_of(a, b) -> int:

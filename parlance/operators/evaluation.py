@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import align, sets, text
-from parlance.operators import agreement
+from parlance.operators import agreement, position
+from parlance.operators.naming import but, col, fresh
 
 TARGET = 0.10
 
 
+#: Columns that `pairs` adds.
+OUTPUT = ("wer", "cer", "exact_match", "errors")
+
+
 def pairs(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
-    """Add wer, cer, exact_match and errors (five counts) to each pair; rates are null without reference."""
-    h, r = text.lower_stripped(F.col(hypothesis)), text.lower_stripped(F.col(reference))
-    step = df.select("*", h.alias("_h"), r.alias("_r"), text.tokens(h).alias("_ht"), text.tokens(r).alias("_rt"))
+    """Add wer, cer, exact_match and errors (five counts) to each pair; rates are null without reference. Columns of these names are replaced."""
+    h, r, ht, rt = fresh(df.columns, "_h", "_r", "_ht", "_rt")
+    step = df.select("*", text.lower_stripped(col(hypothesis)).alias(h), text.lower_stripped(col(reference)).alias(r))
+    step = step.select("*", text.tokens(F.col(h)).alias(ht), text.tokens(F.col(r)).alias(rt))
     return step.select(
-        *df.columns,
-        align.wer(F.col("_ht"), F.col("_rt")).alias("wer"),
-        align.cer(F.col("_h"), F.col("_r")).alias("cer"),
-        (F.col("_h") == F.col("_r")).alias("exact_match"),
-        sets.error_counts(F.col("_ht"), F.col("_rt")).alias("errors"),
+        *but(df, OUTPUT),
+        align.wer(F.col(ht), F.col(rt)).alias("wer"),
+        align.cer(F.col(h), F.col(r)).alias("cer"),
+        (F.col(h) == F.col(r)).alias("exact_match"),
+        sets.error_counts(F.col(ht), F.col(rt)).alias("errors"),
     )
 
 
 def word_error_rate(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", by: list[str] | None = None) -> DataFrame:
     """Errors of all pairs over the words of all references."""
-    t = df.select(*by or [], text.lower_tokens(F.col(hypothesis)).alias("h"), text.lower_tokens(F.col(reference)).alias("r"))
-    t = t.select(*by or [], align.token_edit_distance(F.col("h"), F.col("r")).alias("e"), F.size("r").alias("n"))
-    e, n = F.coalesce(F.sum("e"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
-    return t.groupBy(*by or []).agg(e.alias("n_errors"), n.alias("n_words"), (e / F.greatest(n, F.lit(1))).alias("wer"))
+    groups = by or []
+    h, r, edits, words = fresh(groups, "_h", "_r", "_edits", "_words")
+    t = df.select(*map(col, groups), text.lower_tokens(col(hypothesis)).alias(h), text.lower_tokens(col(reference)).alias(r))
+    t = t.select(*map(col, groups), align.token_edit_distance(F.col(h), F.col(r)).alias(edits), F.size(r).alias(words))
+    e, n = F.coalesce(F.sum(edits), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))
+    return t.groupBy(*map(col, groups)).agg(e.alias("n_errors"), n.alias("n_words"), (e / F.greatest(n, F.lit(1))).alias("wer"))
 
 
 def evaluate(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", target: float = TARGET, by: list[str] | None = None) -> DataFrame:
@@ -44,31 +52,38 @@ def evaluate(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "re
     return got.withColumn("meets_target", (F.col("n_samples") > 0) & (F.col("avg_wer") <= target))
 
 
-def evaluation_json(df: DataFrame, sample_id: str, target: float = TARGET, **columns) -> DataFrame:
-    """One row `value`: the evaluation with its samples as JSON. Gathers all samples, as one nested document must."""
-    rows = pairs(df, **columns)
-    samples = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(sample_id).alias("audio_file"), columns.get("reference", "reference"), columns.get("hypothesis", "hypothesis"), "wer", "cer", "exact_match", "errors"))).alias("samples"))
-    return evaluate(df, target=target, **columns).crossJoin(samples).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+def said(df: DataFrame) -> Column:
+    """`transcription`, or `hypothesis` where that is missing or empty."""
+    have = [F.nullif(F.col(c), F.lit("")) for c in ("transcription", "hypothesis") if c in df.columns]
+    if not have:
+        raise ValueError("missing columns: transcription or hypothesis")
+    return F.coalesce(*have, F.lit(""))
 
 
 def compare(baseline: DataFrame, test: DataFrame, key: str) -> DataFrame:
     """Pairs of two transcripts by key: the baseline's text as reference, the test's as hypothesis.
 
-    A text is `transcription`, or `hypothesis` where that is missing or empty. A key that is null, repeated or
-    without partner is an error.
+    A key that is null, repeated or without partner is an error.
     """
-
-    def said(df: DataFrame, name: str) -> DataFrame:
-        have = [F.nullif(F.col(c), F.lit("")) for c in ("transcription", "hypothesis") if c in df.columns]
-        if not have:
-            raise ValueError("missing columns: transcription or hypothesis")
-        return df.select(key, F.coalesce(*have, F.lit("")).alias(name))
-
     sides = baseline.select(F.col(key).alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(test.select(key, F.lit(0), F.lit(1)))
     wrong = sides.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("k IS NULL OR a <> 1 OR b <> 1").limit(5).collect()
     if wrong:
         raise ValueError("each key must be once in both: " + ", ".join(f"{r.k} is {r.a} and {r.b} times there" for r in wrong))
-    return said(baseline, "reference").join(said(test, "hypothesis"), key)
+    return baseline.select(key, said(baseline).alias("reference")).join(test.select(key, said(test).alias("hypothesis")), key)
+
+
+def compare_by_position(baseline: DataFrame, test: DataFrame) -> DataFrame:
+    """Pairs of two scans of files by the place of their rows: `position, audio_file, reference, hypothesis`.
+
+    The baseline's text is the reference, the test's the hypothesis; `audio_file` is `sample_` and the position. Both
+    need the same number of rows, in however many files.
+    """
+    one, n = position.in_files(baseline)
+    two, m = position.in_files(test)
+    if n != m:
+        raise ValueError(f"both need the same number of rows: {n} and {m}")
+    pairs_ = one.select("position", said(one).alias("reference")).join(two.select("position", said(two).alias("hypothesis")), "position")
+    return pairs_.select("position", text.sample_id(F.col("position")).alias("audio_file"), "reference", "hypothesis")
 
 
 def report_row(df: DataFrame, auto: str, human: str, key: str, hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:

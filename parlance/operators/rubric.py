@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import lexicon, sets, text
+from parlance.operators.naming import but, col, fresh
 
 MAX_SCORE = 6
 LOST, OMITTED, ADDED = "Missing content word", "Omission", "Addition"
@@ -118,48 +119,54 @@ def reasoning(score: Column, overlap: Column, content: Column, *errors: Column)
 OUTPUT = ("score", "max_score", "category", "errors", "reasoning", "confidence", "penalty", "token_overlap", "content_overlap", "normalized_score", "is_perfect", "is_zero")
 
 
-def apply(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", rubric: Rubric = Rubric()) -> DataFrame:
-    """Add the rubric's columns to each pair; null texts are empty. No shuffle, no Python."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in OUTPUT]
-    c = F.col
-    step = df.select(*kept, text.tokens(text.normalized(c(hypothesis))).alias("_h"), text.tokens(text.normalized(c(reference))).alias("_r"))
-    step = step.select("*", text.content_words(c("_h")).alias("_hc"), text.content_words(c("_r")).alias("_rc"))
-    step = step.select(
-        "*",
-        sets.token_overlap(c("_h"), c("_r")).alias("token_overlap"),
-        sets.content_overlap(c("_hc"), c("_rc")).alias("content_overlap"),
-        length_errors(c("_h"), c("_r")).alias("_length"),
-        conjugations(c("_h"), c("_r")).alias("_pairs"),
-    )
+def decided(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", rubric: Rubric = Rubric()) -> tuple[DataFrame, dict[str, Column]]:
+    """`df` with working columns whose names it doesn't have, and the rubric's OUTPUT as columns of that."""
+    every = ("h", "r", "hc", "rc", "overlap", "content", "length", "pairs", "lost", "omitted", "added", "penalty", "score", "structural", "lexical", "omissions", "additions")
+    name = dict(zip(every, fresh(df.columns, *(f"_{n}" for n in every)), strict=True))
+    c = {n: F.col(x) for n, x in name.items()}
+
+    def more(step: DataFrame, **columns: Column) -> DataFrame:
+        return step.select("*", *(x.alias(name[n]) for n, x in columns.items()))
+
+    step = more(df, h=text.tokens(text.normalized(col(hypothesis))), r=text.tokens(text.normalized(col(reference))))
+    step = more(step, hc=text.content_words(c["h"]), rc=text.content_words(c["r"]))
+    step = more(step, overlap=sets.token_overlap(c["h"], c["r"]), content=sets.content_overlap(c["hc"], c["rc"]), length=length_errors(c["h"], c["r"]), pairs=conjugations(c["h"], c["r"]))
     # a column used once would be put back into the lambda, and computed for each word: `let` keeps it outside
-    lost = text.let(verbs_of(c("_hc")), lambda verbs: lost_words(c("_hc"), c("_rc"), verbs))
-    omitted = text.let(F.array_except("_rc", "_h"), lambda these: _among(c("_rc"), these))
-    added = text.let(F.array_except("_hc", "_r"), lambda these: _among(c("_hc"), these))
-    step = step.select("*", lost.alias("_lost"), omitted.alias("_omitted"), added.alias("_added"))
-    silent = F.size("_h") == 0
-    counts = (F.size("_length") + F.size("_pairs"), F.size("_lost"), F.size("_omitted"), F.size("_added"))
+    lost = text.let(verbs_of(c["hc"]), lambda verbs: lost_words(c["hc"], c["rc"], verbs))
+    omitted = text.let(F.array_except(c["rc"], c["h"]), lambda these: _among(c["rc"], these))
+    added = text.let(F.array_except(c["hc"], c["r"]), lambda these: _among(c["hc"], these))
+    step = more(step, lost=lost, omitted=omitted, added=added)
+    silent = F.size(c["h"]) == 0
+    counts = (F.size(c["length"]) + F.size(c["pairs"]), F.size(c["lost"]), F.size(c["omitted"]), F.size(c["added"]))
     weight = (rubric.structural, rubric.lexical, rubric.omission, rubric.addition)
-    step = step.select("*", F.when(silent, None).otherwise(sum((n * w for n, w in zip(counts, weight, strict=True)), F.lit(0))).alias("penalty"))
-    step = step.select("*", F.when(silent, 0).otherwise(ladder(c("token_overlap"), c("content_overlap"), c("penalty"), rubric)).alias("score"))
+    step = more(step, penalty=F.when(silent, None).otherwise(sum((n * w for n, w in zip(counts, weight, strict=True)), F.lit(0))))
+    step = more(step, score=F.when(silent, 0).otherwise(ladder(c["overlap"], c["content"], c["penalty"], rubric)))
     # the texts come last: a query of scores alone builds none
-    kinds = ("_structural", "_lexical", "_omissions", "_additions")
-    texts = (F.concat("_length", _conjugations_named(c("_pairs"))), _named(c("_lost"), LOST), _named(c("_omitted"), OMITTED), _named(c("_added"), ADDED))
-    step = step.select("*", *(t.alias(k) for t, k in zip(texts, kinds, strict=True)))
-    return step.select(
-        *kept,
-        "score",
-        F.lit(MAX_SCORE).alias("max_score"),
-        category_of(c("score")).alias("category"),
-        F.when(silent, F.array().cast("array<string>")).otherwise(F.concat(*kinds)).alias("errors"),
-        F.when(silent, lexicon.EMPTY_REASON).otherwise(reasoning(c("score"), c("token_overlap"), c("content_overlap"), *map(c, kinds))).alias("reasoning"),
-        F.when(silent, 1.0).otherwise(confidence(c("token_overlap"))).alias("confidence"),
-        "penalty",
-        "token_overlap",
-        "content_overlap",
-        normalized_score(c("score"), F.lit(MAX_SCORE)).alias("normalized_score"),
-        (c("score") == MAX_SCORE).alias("is_perfect"),
-        (c("score") == 0).alias("is_zero"),
-    )
+    step = more(step, structural=F.concat(c["length"], _conjugations_named(c["pairs"])), lexical=_named(c["lost"], LOST), omissions=_named(c["omitted"], OMITTED), additions=_named(c["added"], ADDED))
+    kinds = [c[k] for k in ("structural", "lexical", "omissions", "additions")]
+    return step, {
+        "score": c["score"],
+        "max_score": F.lit(MAX_SCORE),
+        "category": category_of(c["score"]),
+        "errors": F.when(silent, F.array().cast("array<string>")).otherwise(F.concat(*kinds)),
+        "reasoning": F.when(silent, lexicon.EMPTY_REASON).otherwise(reasoning(c["score"], c["overlap"], c["content"], *kinds)),
+        "confidence": F.when(silent, 1.0).otherwise(confidence(c["overlap"])),
+        "penalty": c["penalty"],
+        "token_overlap": c["overlap"],
+        "content_overlap": c["content"],
+        "normalized_score": normalized_score(c["score"], F.lit(MAX_SCORE)),
+        "is_perfect": c["score"] == MAX_SCORE,
+        "is_zero": c["score"] == 0,
+    }
+
+
+def apply(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", rubric: Rubric = Rubric()) -> DataFrame:
+    """Add the rubric's columns to each pair; null texts are empty. No shuffle, no Python.
+
+    A column of `df` that is named like one of OUTPUT is replaced; any other stays as it is.
+    """
+    step, out = decided(df, hypothesis, reference, rubric)
+    return step.select(*but(df, OUTPUT), *(x.alias(n) for n, x in out.items()))
 
 
 def normalized_score(score: Column, most: Column) -> Column:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import io
+import json
 import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import lexicon
+from parlance.operators.naming import col
+from parlance.operators.position import in_files
+from parlance.session import folder, remove
 
 PAIRS = "hypothesis string, reference string"
 MANIFEST = "audio string, reference string"
@@ -24,27 +28,57 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: tuple[str, ...] = (), one_line: bool = False) -> DataFrame:
     """CSV with a header; quotes are doubled inside quoted cells, which may span lines. With `schema`, nothing is inferred.
 
+    A cell that spans lines keeps a file in one task. `one_line` says that no cell does, as `write_csv` has it with the
+    same parameter: then a file of any size is read in splits.
+
     An empty cell is null, and a quoted empty one the empty text.
     """
     # a null mark that no text has: the default one would also take quoted empty cells
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": False, "nullValue": "\0"}
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": not one_line, "enforceSchema": False, "nullValue": "\0"}
     reader = spark.read.options(**options)
-    return require_columns((reader.schema(schema) if schema else reader).csv(path), *required)
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    if one_line:
+        # select keeps `_metadata` of the scan within reach
+        df = df.select(*(_unescaped(col(c)).alias(c) if t == "string" else col(c) for c, t in df.dtypes))
+    return require_columns(df, *required)
+
+
+def _escaped(c: Column) -> Column:
+    """Line ends, and the backslashes that mark them, as two letters."""
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def _unescaped(c: Column) -> Column:
+    # two backslashes are put aside as a letter that no text has, or that stays as it is behind a mark of its own
+    aside = F.replace(F.replace(c, F.lit("\0"), F.lit("\0" + "0")), F.lit("\\\\"), F.lit("\0" + "1"))
+    lines = F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(F.replace(lines, F.lit("\0" + "1"), F.lit("\\")), F.lit("\0" + "0"), F.lit("\0"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str = PAIRS) -> DataFrame:
     """A JSON array of objects, or an object a line, as `write_json` has them; a missing reference is the empty text.
 
-    The first line with text decides: a whole object means that each line is one, and large files can be split.
+    The first line with text decides: a whole object means that each line is one, and large files can be split;
+    so can the parts of an array that `write_array` wrote.
     """
+    if (first := _first_part(spark, path)) and [r.value for r in spark.read.text(first).limit(2).collect()] == ["["]:
+        lines = spark.read.text(path).where(~F.col("value").isin("[", "]"))
+        df = lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+        return df.fillna("", ["reference"]) if "reference" in df.columns else df
     line = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").rlike(r"(?s)^\{.*\}$").alias("whole")).first()
     df = spark.read.schema(schema).option("multiLine", not (line and line.whole)).json(path)
     return df.fillna("", ["reference"]) if "reference" in df.columns else df
 
 
+def _first_part(spark: SparkSession, path: str) -> str | None:
+    """The first file of a folder that Spark wrote in parts."""
+    parts = [p for p in spark.read.text(path).inputFiles() if p.rpartition("/")[2].startswith("part-")]
+    return min(parts, default=None)
+
+
 def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([(r["hypothesis"], r.get("reference", "")) for r in rows], PAIRS)
 
@@ -108,20 +142,64 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select(F.col("file").alias("audio"), F.lit(lexicon.MANIFEST_TEXT).alias("reference"))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV that `read_csv` reads back as it was: spaces at the ends of a text stay, and null isn't the empty text."""
-    df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", one_line: bool = False) -> None:
+    """CSV that `read_csv` reads back as it was: spaces at the ends of a text stay, and null isn't the empty text.
 
-
-def write_scored_csv(scored: DataFrame, inputs: list[str], path: str, mode: str = "errorifexists") -> None:
-    """The input columns and auto_score, reasoning, confidence, category."""
-    write_csv(scored.select(*inputs, F.col("score").alias("auto_score"), "reasoning", "confidence", "category"), path, mode)
+    With `one_line`, a row is a line: line ends within cells are written as \\n and \\r, and a backslash as two.
+    """
+    df = df.select(*(_escaped(col(c)).alias(c) if t == "string" else col(c) for c, t in df.dtypes)) if one_line else df
+    df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def _in_parts(df: DataFrame, path: str, head: Column, tail: str, mode: str) -> None:
+    """Text files that, one after the other by name, are one JSON document: `head`, the rows of `df` as objects in their order, `tail`.
+
+    The rows are written once as JSON lines, whose first one is known by its place, so that nothing gathers them.
+    """
+    spark, lines = df.sparkSession, folder(df.sparkSession)
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(lines)
+    placed, _ = in_files(spark.read.text(lines))
+    one = lambda c: spark.range(1, numPartitions=1).select(c.alias("value"))
+    first = placed.where("position = 0").select("value").coalesce(1)
+    rest = placed.where("position > 0").orderBy("position").select(F.concat(F.lit(","), "value"))
+    # the partitions of a union follow each other
+    one(head).union(first).union(rest).union(one(F.lit(tail))).write.mode(mode).text(path)
+    remove(spark, lines)
+
+
+def write_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The rows as one JSON array of any size, in parts that follow each other by name; `read_json` reads them in many tasks."""
+    _in_parts(df, path, F.lit("["), "]", mode)
+
+
+def write_nested(summary: DataFrame, samples: DataFrame, name: str, path: str, mode: str = "errorifexists") -> None:
+    """The one row of `summary` as a JSON document whose last field `name` is the array of all `samples`, in parts that follow each other by name."""
+    [row] = summary.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).collect()
+    head = row.value[:-1] + ("," if len(row.value) > 2 else "") + json.dumps(name) + ":["
+    _in_parts(samples, path, F.lit(head), "]}", mode)
+
+
+def join_parts(spark: SparkSession, path: str, to: str) -> None:
+    """Copy the parts of a document into one file, a buffer at a time."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source = hadoop.fs.Path(path)
+    fs, target = source.getFileSystem(conf), hadoop.fs.Path(to)
+    out = target.getFileSystem(conf).create(target)
+    try:
+        for part in sorted(f.getPath().toString() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-")):
+            into = fs.open(hadoop.fs.Path(part))
+            try:
+                hadoop.io.IOUtils.copyBytes(into, out, 1 << 20, False)
+            finally:
+                into.close()
+    finally:
+        out.close()
+
+
 def write_document(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One row as one nested JSON document."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode(mode).text(path)

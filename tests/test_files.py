@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from parlance import cli
+from parlance.operators import position
 from parlance.sources import files
 from parlance.streaming import scoring
 
@@ -20,7 +21,7 @@ def read(folder):
 def test_score_and_validate(spark, tmp_path):
     (tmp_path / "in.csv").write_text(CSV)
     out = cli.main(["score", "--input-csv", str(tmp_path / "in.csv"), "--output-csv", str(tmp_path / "out"), "--use-ensemble"], spark)
-    assert sorted(r.score for r in out.collect()) == [0, 6, 6]
+    assert sorted(r.auto_score for r in out.collect()) == [0, 6, 6]
     back = files.read_csv(spark, str(tmp_path / "out"))
     assert back.columns == ["hypothesis", "reference", "auto_score", "reasoning", "confidence", "category"] and back.count() == 3
     (tmp_path / "s.csv").write_text("auto_score,human_score\n" + "".join(f"{i % 7},{i % 7}\n" for i in range(45)))
@@ -41,7 +42,7 @@ def test_compare_evaluate_batch(spark, tmp_path):
     assert read(tmp_path / "e")[0] == {"wer": 0.5, "agreement": 0.5, "samples": 2, "goal_wer": 0.1, "meets_target": False}
     (tmp_path / "b.json").write_text(json.dumps([{"hypothesis": "a"}, {"hypothesis": "a", "reference": "a"}]))
     cli.main(["score-batch", "--sentences-json", str(tmp_path / "b.json"), "--output-json", str(tmp_path / "s")], spark)
-    assert sorted(r["score"] for r in read(tmp_path / "s")) == [1, 6]
+    assert [r["score"] for r in document(tmp_path / "s")] == [1, 6]
     (tmp_path / "empty.json").write_text("[]")
     cli.main(["score-batch", "--sentences-json", str(tmp_path / "empty.json"), "--output-json", str(tmp_path / "s0")], spark)
     with pytest.raises(ValueError, match="reference"):
@@ -101,3 +102,82 @@ def test_round_trips(spark, tmp_path):
     assert [r.hypothesis for r in files.read_json(spark, str(tmp_path / "object")).collect()] == ["a"]
     (tmp_path / "none").write_text("")
     assert files.read_json(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_one_line_rows(spark, tmp_path):
+    """Line ends and backslashes within cells, in files that are read in splits."""
+    texts = [(1, "a\nb"), (2, "a\\nb"), (3, "\r\n"), (4, "\\"), (5, "\\\\n\n"), (6, None), (7, ""), (8, ' "q", '), (9, "\0 0\x001"), (10, "\\r\r\\")]
+    files.write_csv(spark.createDataFrame(texts, "i int, t string"), str(tmp_path / "csv"), one_line=True)
+    lines = [x for p in (tmp_path / "csv").glob("part-*") for x in p.read_bytes().split(b"\n") if x]
+    assert sum(x != b"i,t" for x in lines) == len(texts)
+    df = files.read_csv(spark, str(tmp_path / "csv"), "i int, t string", one_line=True)
+    assert sorted(map(tuple, df.collect())) == texts
+
+
+@pytest.mark.parametrize("splits", ["128m", "300"])
+def test_positions_in_files(spark, tmp_path, splits):
+    """Positions by file and line, however the files are split and dealt to tasks."""
+    said = [f"word {i} " * (i % 5) for i in range(400)]
+    bounds = [0, 1, 1, 57, 230, 400]
+    (tmp_path / "in").mkdir()
+    for k, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        (tmp_path / "in" / f"part-{k}.csv").write_text("i,t\n" + "".join(f"{i},{said[i]}\n" for i in range(a, z)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", splits)
+    try:
+        df = files.read_csv(spark, str(tmp_path / "in"), "i long, t string", one_line=True)
+        out, n = position.in_files(df)
+        assert n == 400 and df.rdd.getNumPartitions() > (10 if splits == "300" else 0)
+        assert sorted((r.position, r.i) for r in out.collect()) == [(i, i) for i in range(400)]
+        assert out.columns == ["i", "t", "position"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    none, n = position.in_files(files.read_csv(spark, str(tmp_path / "in" / "part-1.csv"), "i long, t string"))
+    assert n == 0 and none.count() == 0
+
+
+def document(folder):
+    return json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+
+
+def test_compare_transcripts(spark, tmp_path):
+    one = ["hola mundo", "", "a\nb", 'dos "tres"']
+    two = ["hola", "x", "a\nb", "dos"]
+    for name, texts, parts in (("a", one, 3), ("b", two, 1)):
+        rows = spark.createDataFrame([(i, t, "else") for i, t in enumerate(texts)], "i int, transcription string, hypothesis string")
+        files.write_csv(rows.repartitionByRange(parts, "i").sortWithinPartitions("i"), str(tmp_path / name))
+    out = cli.main(["compare-transcripts", "--baseline-csv", str(tmp_path / "a"), "--test-csv", str(tmp_path / "b"), "--output-json", str(tmp_path / "out")], spark)
+    got = document(tmp_path / "out")
+    assert [s["audio_file"] for s in got["samples"]] == ["sample_000", "sample_001", "sample_002", "sample_003"]
+    assert [s["reference"] for s in got["samples"]] == ["hola mundo", "else", "a\nb", 'dos "tres"'] and [s["hypothesis"] for s in got["samples"]] == two
+    assert [s["wer"] for s in got["samples"]] == [0.5, 1.0, 0.0, 0.5]
+    assert got["n_samples"] == 4 and got["avg_wer"] == 0.5 and got["target_wer"] == 0.1 and out.first().avg_wer == 0.5
+    files.join_parts(spark, str(tmp_path / "out"), str(tmp_path / "one.json"))
+    assert json.loads((tmp_path / "one.json").read_text()) == got
+    files.write_csv(spark.createDataFrame([("x",)], "transcription string"), str(tmp_path / "few"))
+    with pytest.raises(ValueError, match="same number of rows: 4 and 1"):
+        cli.main(["compare-transcripts", "--baseline-csv", str(tmp_path / "a"), "--test-csv", str(tmp_path / "few"), "--output-json", str(tmp_path / "no")], spark)
+
+
+def test_validate_of_many_files(spark, tmp_path):
+    """The same protocols, whether the ratings are in one file or in many."""
+    rows = spark.range(95).selectExpr("id", "CAST(id * 5 % 7 AS INT) AS auto_score", "CAST(least(6, id * 5 % 7 + (id % 3)) AS INT) AS human_score")
+    reports = []
+    for parts in (1, 4):
+        at = str(tmp_path / f"in{parts}")
+        files.write_csv(rows.repartitionByRange(parts, "id").sortWithinPartitions("id").drop("id"), at)
+        cli.main(["validate", "--scored-csv", at, "--output-json", str(tmp_path / f"v{parts}")], spark)
+        reports += read(tmp_path / f"v{parts}")
+    assert reports[0] == reports[1] and reports[0]["protocol_level"]["n_protocols"] == 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 500])
+def test_documents_in_parts(spark, tmp_path, n):
+    rows = spark.range(n).selectExpr("CAST(id AS INT) AS i", "concat('t\"\\n,', id) AS hypothesis", "CASE WHEN id % 2 = 0 THEN 'r' END AS reference").repartitionByRange(7, "i").sortWithinPartitions("i")
+    files.write_array(rows, str(tmp_path / "array"))
+    wanted = [{"i": i, "hypothesis": f't"\n,{i}', "reference": None if i % 2 else "r"} for i in range(n)]
+    assert document(tmp_path / "array") == wanted
+    back = files.read_json(spark, str(tmp_path / "array"), "i int, hypothesis string, reference string").orderBy("i")
+    assert [r.asDict() for r in back.collect()] == [{**w, "reference": w["reference"] or ""} for w in wanted]
+    files.write_nested(spark.createDataFrame([(n, None)], "n int, x string"), rows, "all", str(tmp_path / "nested"))
+    assert document(tmp_path / "nested") == {"n": n, "x": None, "all": wanted}

@@ -64,7 +64,6 @@ def test_evaluation(spark):
     none = evaluation.evaluate(df.limit(0)).first()
     assert (none.n_samples, none.avg_wer, none.meets_target) == (0, 0.0, False)
     assert evaluation.word_error_rate(df).first().wer == pytest.approx((0 + 1 + 1 + 2) / 4)
-    assert '"samples":[' in evaluation.evaluation_json(df, "audio").first().value
 
 
 def test_compare(spark):
@@ -229,9 +228,9 @@ def test_sql_functions(spark):
 
 
 def test_edit_distance_words_once(spark):
-    """The different tokens of a row are a lambda's argument, not computed again inside it."""
+    """The shared tokens of a row are a lambda's argument, not computed again inside it."""
     plan = spark.createDataFrame([(["a"], ["b"])], "h array<string>, r array<string>").select(align.token_edit_distance(F.col("h"), F.col("r")).alias("d"))
-    assert plan._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
 
 
 def test_report_text(spark, capsys):
