@@ -7,9 +7,9 @@ line of `BLOCK` words is a run by itself). A document overlaps with the first
 document, the one with the smallest id, that has one of its runs, and is aligned
 with it: patience diff over the runs that both share, that is, those that are
 unique on both sides in their longest increasing order, then the gaps between them
-in the same way. Moved and repeated runs, which no order holds, are aligned with
-their first occurrence. Aligned runs that follow each other on both sides are
-common blocks, and go from the later document.
+in the same way. Moved and repeated runs, which no order holds, are left for another
+alignment with the same document, until nothing is left. Aligned runs that follow each other on both sides are
+common blocks, and go from the later document; nothing else goes.
 
 Every block of consecutive lines with `BLOCK` words together that a document shares
 with any earlier one consists of such runs, and each run has a first document. So
@@ -29,7 +29,7 @@ empty table gives an empty table; other columns stay as they are, but for `n_lin
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,8 +43,8 @@ from parlance.llm import common
 from parlance.llm.common import cut, drop, prepare
 
 BLOCK = 8
-#: Places of a run in an earlier document that an alignment gets; one that occurs more often is aligned with its first place.
-PLACES = 16
+#: Alignments in order with one earlier document; few documents need a third one.
+PASSES = 16
 Line = tuple[int, int]  # place, run
 
 
@@ -115,7 +115,7 @@ def _increasing(values: list[int]) -> list[int]:
 
 
 def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
-    """Aligned places of two documents' common runs, both ascending."""
+    """Aligned places of two documents' runs, both ascending; at least one pair if they have a run in common."""
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -128,28 +128,56 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
             found.append((a[a1][0], b[b1][0]))
         if a0 == a1 or b0 == b1:
             continue
-        once_a, once_b = Counter(h for _, h in a[a0:a1]), Counter(h for _, h in b[b0:b1])
-        in_b = {b[j][1]: j for j in range(b0, b1)}
-        both = [(i, in_b[a[i][1]]) for i in range(a0, a1) if once_a[a[i][1]] == 1 == once_b[a[i][1]]]
-        anchors = [both[k] for k in _increasing([j for _, j in both])]
-        i0, j0 = a0, b0
-        for i, j in anchors:
-            found.append((a[i][0], b[j][0]))
-            todo.append((i0, i, j0, j))
-            i0, j0 = i + 1, j + 1
-        if anchors:
+        in_a, in_b = _places(a, a0, a1), _places(b, b0, b1)
+        once = sorted((x[0], in_b[h][0]) for h, x in in_a.items() if len(x) == 1 == len(in_b.get(h, ())))
+        if once:
+            anchors = [once[k] for k in _increasing([j for _, j in once])]
+            i0, j0 = a0, b0
+            for i, j in anchors:
+                found.append((a[i][0], b[j][0]))
+                todo.append((i0, i, j0, j))
+                i0, j0 = i + 1, j + 1
             todo.append((i0, a1, j0, b1))
+        else:
+            # nothing is unique: the n-th place of a run goes with its n-th one there, as far as the order holds
+            both = sorted((i, j) for h, x in in_a.items() for i, j in zip(x, in_b.get(h, ()), strict=False))
+            found += [(a[i][0], b[j][0]) for i, j in (both[k] for k in _increasing([j for _, j in both]))]
     return sorted(found)
 
 
+def _places(lines: list[Line], first: int, end: int) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i in range(first, end):
+        out.setdefault(lines[i][1], []).append(i)
+    return out
+
+
+def alignments(here: list[Line], there: list[Line]) -> dict[int, int]:
+    """The place there of every place here that an alignment reaches.
+
+    Blocks that were moved or repeated break the order, so that what an alignment leaves here is aligned again with
+    the earlier document, until nothing is left. What `PASSES` alignments have left, as of lines in reverse, has its n-th place of a
+    run aligned with the n-th one there, from the first one again after the last.
+    """
+    out: dict[int, int] = {}
+    for _ in range(PASSES):
+        out.update(found := patience(here, there))
+        here = [x for x in here if x[0] not in out]
+        if not here or not found:
+            return out
+    at = {h: [there[j][0] for j in x] for h, x in _places(there, 0, len(there)).items()}
+    for h, x in _places(here, 0, len(here)).items():
+        out.update((here[i][0], at[h][k % len(at[h])]) for k, i in enumerate(x))
+    return out
+
+
 def aligned(shared: list[tuple[list[int], list[int]]]) -> list[tuple[int, int, int]]:
-    """Common blocks (first line, last line, first line there) with one earlier document, from the places of each shared run here and there."""
+    """Common blocks (first line, last line, first line there) with one earlier document, from the places of each shared run here and there: the aligned ones, and no others."""
     here = sorted((i, k) for k, (at, _) in enumerate(shared) for i in at)
     there = sorted((j, k) for k, (_, at) in enumerate(shared) for j in at)
-    with_ = dict(patience(here, there))
     out: list[tuple[int, int, int]] = []
-    for i, k in here:
-        first, last, j = i >> 32, i & 0xFFFFFFFF, with_.get(i, shared[k][1][0]) >> 32
+    for i, j in sorted(alignments(here, there).items()):
+        first, last, j = i >> 32, i & 0xFFFFFFFF, j >> 32
         if out and first - out[-1][0] == j - out[-1][2] and first <= out[-1][1] + 1:
             out[-1] = (out[-1][0], max(last, out[-1][1]), out[-1][2])
         else:
@@ -163,9 +191,11 @@ def duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     lines = cut(keyed.mapInArrow(partial(_lines, block=block), "doc_id long, key long, h long, at array<long>"))
     # a run's first document comes from partial minima, and is written: so both sides of the join are plain, and a hot run can be split
     held = lines.groupBy("h").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    held = cut(held.select("h", F.col("first.doc_id").alias("holder"), F.slice("first.at", 1, PLACES).alias("there")))
+    held = cut(held.select("h", F.col("first.doc_id").alias("holder"), F.col("first.at").alias("there")))
     # joins are shuffled at every size: neither side has a bound that would let it be broadcast
-    shared = lines.join(held.hint("merge"), "h").where("doc_id > holder").select("doc_id", "key", "holder", "at", "there")
+    shared = lines.join(held.hint("merge"), "h").where("doc_id > holder")
+    # as many places there as here, and one more, which tells whether the run is unique there: a document's rows stay as long as itself
+    shared = shared.select("doc_id", "key", "holder", "at", F.slice("there", F.lit(1), F.size("at") + 1).alias("there"))
 
     def align(table: pa.Table) -> pa.Table:
         by = defaultdict(list)

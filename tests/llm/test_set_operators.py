@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -287,6 +288,59 @@ def test_patience_pairs_are_common_and_ascending():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
 
 
+def test_alignment_alone_deletes(monkeypatch):
+    """What no alignment reaches stays: without patience diff nothing goes."""
+    shared = [([0 << 32, 9 << 32 | 9], [3 << 32 | 3]), ([1 << 32 | 1], [4 << 32 | 4])]
+    assert line_dedup.aligned(shared) == [(0, 1, 3), (9, 9, 3)]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.aligned(shared) == []
+
+
+def test_alignments_leave_nothing():
+    """Moved, repeated and reversed runs: every place whose run is there gets a place of the same run."""
+    r = random.Random(9)
+    for n in range(400):
+        kinds = r.choice((2, 5, 40))
+        b = [(i, r.randrange(kinds)) for i in range(r.randint(1, 40))]
+        have = {h for _, h in b}
+        a = [(i, h) for i, h in ((i, r.randrange(kinds)) for i in range(r.randint(0, 60))) if h in have]
+        if n % 5 == 0:
+            b = list(enumerate(dict.fromkeys(h for _, h in b)))
+            a = [(i, h) for i, (_, h) in enumerate(reversed(b))]
+        got = line_dedup.alignments(a, b)
+        assert set(got) == {i for i, _ in a} and all(dict(a)[i] == dict(b)[j] for i, j in got.items())
+        assert a == [] or line_dedup.patience(a, b)
+
+
+@pytest.mark.parametrize("kind", ["reversed", "one line", "two lines", "shuffled"])
+def test_alignments_of_long_documents(kind):
+    """Thousands of lines in any order take time in proportion, as far as a factor of the passes."""
+    n = 20_000
+    b = list(enumerate({"one line": [0] * n, "two lines": [0, 1] * (n // 2)}.get(kind, range(n))))
+    runs = [h for _, h in b]
+    if kind == "reversed":
+        runs.reverse()
+    elif kind == "shuffled":
+        random.Random(1).shuffle(runs)
+    began = time.time()
+    assert len(line_dedup.alignments(list(enumerate(runs))[1:] + [(n, runs[0])], b)) == n
+    assert time.time() - began < 20
+
+
+def test_line_dedup_repeated_and_long(spark):
+    """A block that the earlier document has once and the later one a thousand times, and the other way round; 5,000 varied lines, moved."""
+    r = random.Random(10)
+    line = lambda: " ".join("".join(r.choices("abcdefg", k=4)) for _ in range(9))
+    block, many = [line() for _ in range(3)], [line() for _ in range(5000)]
+    docs = {1: [*block, "own 1"], 2: ["own 2", *block * 1000], 3: [*many, "own 3"], 4: ["own 4", *many[3000:], *many[:3000]], 5: [*reversed(many[:500]), "own 5"]}
+    got = {x.doc_id: x for x in line_dedup.report(spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id long, text string").repartition(3)).collect()}
+    assert {d: x.text for d, x in got.items()} == {1: "\n".join(docs[1]), 2: "own 2", 3: "\n".join(docs[3]), 4: "own 4", 5: "own 5"}
+    for x in got.values():
+        for b in filter(None, x.found.split(",")):
+            first, last, holder, there = map(int, re.split("[-=:]", b))
+            assert docs[x.doc_id][first : last + 1] == docs[holder][there : there + last - first + 1]
+
+
 def test_packing(spark, sf_dir, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
