@@ -1,7 +1,7 @@
 """Commands over files: transcribe, evaluate, train, create-manifest, score, validate, compare-raters, compare-transcripts, score-batch.
 
 `transcribe` and `train` need a recogniser, which the library doesn't have:
-`transcribe` takes one as MODULE:FUNCTION, a pandas UDF of (waveform, sample_rate);
+`transcribe` takes one as MODULE:FUNCTION, which loads it (see `operators/transcripts.py`);
 `train` only checks its manifests and says so.
 """
 
@@ -22,14 +22,18 @@ def transcribe(spark: SparkSession, a) -> DataFrame:
     if not a.recogniser:
         raise SystemExit("transcribe needs --recogniser MODULE:FUNCTION")
     module, name = a.recogniser.split(":")
-    sound = files.read_wav(spark, a.audio_dir)
-    parts = transcripts.transcribe(audio.preprocess(sound).where("error IS NULL"), getattr(importlib.import_module(module), name))
-    parts = transcripts.postprocess(parts).withColumn("confidence", F.lit(None).cast("double"))
-    out = transcripts.merge_segments(parts, ["file"], "start_time", "transcription", "confidence", sound)
-    files.write_csv(out.select("file", "transcription", "confidence").orderBy("file"), a.output_csv)
+    out = transcribed(files.read_wav(spark, a.audio_dir), getattr(importlib.import_module(module), name))
+    files.write_csv(out.orderBy("file"), a.output_csv)
     return out
 
 
+def transcribed(sound: DataFrame, load) -> DataFrame:
+    """`file, transcription, confidence` of decoded files. A file that couldn't be decoded, or of which no segment could be recognised, has no confidence."""
+    parts = transcripts.transcribe(audio.preprocess(sound).where("error IS NULL"), load)
+    out = transcripts.merge_segments(transcripts.postprocess(parts), ["file"], "start_time", "transcription", "confidence", sound.where("error IS NULL"))
+    return out.unionByName(sound.where("error IS NOT NULL").select("file", F.lit("").alias("transcription"), F.lit(None).cast("double").alias("confidence")))
+
+
 def evaluate(spark: SparkSession, a) -> DataFrame:
     df = files.read_csv(spark, a.results_csv, required=("transcription", "reference"), one_line=a.one_line)
     wer = evaluation.word_error_rate(df, "transcription").select("wer")

@@ -6,8 +6,10 @@ The array operators are built-in higher-order functions of one row; a frame is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -141,16 +143,45 @@ def frame_segments(frames: DataFrame, by: list[str], order: str, speech: Column,
     return ends.select(*by, "start_frame", F.when(tail, F.col("_n")).otherwise(F.col("_last") + (0 if short_end else 1)).cast("bigint").alias("end_frame"), tail.alias("tail"))
 
 
+#: Fixed values of the resampler: zero crossings of the kernel on each side, and its cutoff as a share of the lower Nyquist frequency.
+CROSSINGS, ROLLOFF = 6, 0.99
+#: Outputs of one matrix product.
+OUTPUTS = 1 << 16
+
+
+@lru_cache(maxsize=64)
+def filter_bank(rate: int, to: int) -> tuple[np.ndarray, int]:
+    """(weights, samples before the first one): column p has the weights of the samples around an output of phase p.
+
+    Rates are in lowest terms: of `to` outputs, each has its own place between the samples, and the next `to` have the same
+    places, `rate` samples later. The kernel is a sinc in a squared cosine (Hann) window.
+    """
+    base = min(rate, to) * ROLLOFF
+    width = math.ceil(CROSSINGS * rate / base)
+    at = np.arange(-width, width + rate)[:, None] / rate - np.arange(to) / to
+    t = np.clip(at * base, -CROSSINGS, CROSSINGS)
+    return np.sinc(t) * np.cos(np.pi * t / CROSSINGS / 2) ** 2 * (base / rate), width
+
+
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Band-limited resampling by the Fourier transform of the whole signal."""
+    """Band-limited resampling by a bank of windowed sinc filters, one for each phase, as products of blocks of the signal.
+
+    Each output needs the 2 * CROSSINGS / ROLLOFF samples (of the lower rate) around it, so that any piece of a signal can be
+    resampled with as many samples on its sides. Beyond its ends, the signal is zero.
+    """
     if rate == to or not len(x):
         return x
-    n = max(1, round(len(x) * to / rate))
-    f = np.fft.rfft(x)
-    g = np.zeros(n // 2 + 1, complex)
-    k = min(len(f), len(g))
-    g[:k] = f[:k]
-    return np.fft.irfft(g, n) * (n / len(x))
+    g = math.gcd(rate, to)
+    rate, to = rate // g, to // g
+    bank, width = filter_bank(rate, to)
+    n = -(-len(x) * to // rate)
+    steps = -(-n // to)
+    padded = np.zeros((steps - 1) * rate + len(bank))
+    inner = x[: len(padded) - width]
+    padded[width : width + len(inner)] = inner
+    windows = np.lib.stride_tricks.sliding_window_view(padded, len(bank))[::rate]
+    block = max(1, OUTPUTS // to)
+    return np.concatenate([(windows[i : i + block] @ bank).ravel() for i in range(0, steps, block)])[:n]
 
 
 def spectral_gate(x: np.ndarray, audio: Audio = Audio(), size: int = 512, hop: int = 128) -> np.ndarray:

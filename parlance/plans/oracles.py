@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parlance.functions import lexicon
+from parlance.plans import spoken
 from parlance.plans.derive import PAIRS_SQL, RATINGS_SQL
 
 
@@ -221,12 +222,18 @@ ORACLES |= {
       SELECT round(e.wer, 6) AS wer, round(k.agreement, 6) AS agreement, k.kappa_ratio, round(avg(d), 6) AS mean_diff, round(sqrt(avg(d * d)), 6) AS rmse, max(d)::DOUBLE AS max_diff, round(avg((d <= 10)::INT), 6) AS within_10 FROM protocol, k, e GROUP BY ALL""",
     "q_in_memory": "SELECT * FROM (VALUES ('yo fui', 'yo fui ayer', 3::BIGINT), ('nada', '', 0), ('', 'la casa', 2), ('a b', 'a b c', 3)) v(hypothesis, reference, n_words)",
     "q_word_count": f"SELECT doc_id, len({_words("coalesce(text, '')")})::BIGINT AS n_words FROM documents",
-    # the band-limited signal between the samples, by its closed form
-    "q_resampled": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, len(embedding) AS m, round(len(embedding) * 1.5)::BIGINT AS n FROM embeddings),
+    # the convolution itself: each sample weighed by a windowed sinc of its distance to the output, in a band of 0.99 of the lower rate's
+    "q_resampled": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, len(embedding) AS m, (len(embedding) * 3 + 1) // 2 AS n FROM embeddings),
       s AS (SELECT DISTINCT m, n FROM v),
-      k AS (SELECT m, n, t, list(c ORDER BY j) AS c FROM (
-        SELECT m, n, t, j, (1 + 2 * (SELECT coalesce(sum(cos(2 * pi() * f * (t::DOUBLE / n - j::DOUBLE / m))), 0) FROM range(1, m // 2 + 1) g(f))) / m AS c FROM s, unnest(range(n)) a(t), unnest(range(m)) b(j)) GROUP BY m, n, t),
+      d AS (SELECT m, n, t, j, (j / 2.0::DOUBLE - t / 3.0::DOUBLE) * 1.98 AS x FROM s, unnest(range(n)) a(t), unnest(range(m)) b(j)),
+      k AS (SELECT m, n, t, list(CASE WHEN abs(x) >= 6 THEN 0 WHEN x = 0 THEN 0.99 ELSE 0.99 * sin(pi() * x) / (pi() * x) * cos(pi() * x / 12) ** 2 END ORDER BY j) AS c FROM d GROUP BY m, n, t),
       y AS (SELECT vec_id, v.n, list_dot_product(e, c) AS y FROM v JOIN k USING (m, n))
       SELECT vec_id, any_value(n) AS samples, round(sqrt(avg(y * y)), 4) AS rms, 24000::BIGINT AS sample_rate FROM y GROUP BY vec_id""",
     "q_truncated": "SELECT vec_id, least(len(embedding), 20) AS samples, round(sqrt(list_sum(list_transform(embedding[:20], lambda x: x::DOUBLE * x::DOUBLE)) / least(len(embedding), 20)), 5) AS rms FROM embeddings",
 }
+ORACLES |= {
+    "q_transcribe_files": spoken.ORACLE,
+    "q_compare_files": f"""{_PAIR_WER} SELECT row_number() OVER (ORDER BY pair_id) - 1 AS position, printf('sample_%03d', row_number() OVER (ORDER BY pair_id) - 1) AS audio_file, round(wer, 6) AS wer, exact_match, {_shared('h', 'r')}::BIGINT AS matched FROM m""",
+    "q_score_own_columns": f"SELECT conv_id, turn, c.category, 'human ' || ((conv_id * 64 + turn) % 7) AS score, conv_id * 64 + turn AS errors, auto_score, confidence FROM ({ORACLES['q_score_command']}) c",
+    "q_evaluation_document": f"{_PAIR_WER} SELECT pair_id AS sample, round(wer, 6) AS wer, exact_match FROM m",
+}

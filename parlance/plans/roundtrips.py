@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance import cli
 from parlance.functions import text
 from parlance.operators import audio, evaluation, transcripts
+from parlance.plans import spoken
 from parlance.plans.derive import pairs, ratings
 from parlance.session import folder
 from parlance.sources import files
@@ -142,4 +143,43 @@ def truncated(spark, sf_dir):
     return waves.select("vec_id", F.size("w").cast("bigint").alias("samples"), F.round(audio.rms(F.col("w")), 5).alias("rms"))
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (csv_texts, score_command, score_batch_command, evaluate_command, validate_command, compare_raters_command, manifest_join, transcription_csv, evaluation_files, report_row, in_memory, word_count, resampled, truncated)}
+def transcribe_files(spark, sf_dir):
+    """WAV files of every vector, kept as bytes, decoded, cut into segments, recognised by a stand-in and merged; through CSV."""
+    path = folder(spark)
+    spoken.contents(spark, sf_dir).write.parquet(path)
+    heard = cli.transcribed(files.decoded(spark.read.parquet(path)), spoken.load)
+    back = files.read_csv(spark, _csv(heard), "file string, transcription string, confidence double")
+    return back.select("file", "transcription", _six("confidence").alias("confidence"))
+
+
+def compare_files(spark, sf_dir):
+    """Two transcripts of all turns, in folders of seven and of three CSV files, compared row by row."""
+    p = pairs(spark, sf_dir)
+    one, two = (p.repartitionByRange(n, "pair_id").sortWithinPartitions("pair_id").select(F.col(c).alias("transcription")) for n, c in ((7, "reference"), (3, "hypothesis")))
+    paths = [folder(spark), folder(spark)]
+    for df, path in zip((one, two), paths, strict=True):
+        files.write_csv(df, path, one_line=True)
+    both = evaluation.compare_by_position(*(files.read_csv(spark, path, "transcription string", one_line=True) for path in paths))
+    return evaluation.pairs(both).select(F.col("position").cast("bigint").alias("position"), "audio_file", _six("wer").alias("wer"), "exact_match", F.col("errors.matched").cast("bigint").alias("matched"))
+
+
+def score_own_columns(spark, sf_dir):
+    """The command on a table that has columns named like results: `category` is replaced, a caller's `score` and `errors` stay."""
+    p = pairs(spark, sf_dir).select(*KEY, F.concat(F.lit("note "), "role").alias("category"), "hypothesis", "reference", F.concat(F.lit("human "), F.col("pair_id") % 7).alias("score"), F.col("pair_id").alias("errors"))
+    out = _command(spark, "score", f"--input-csv={_csv(p)}", "--output-csv")
+    schema = "conv_id long, turn long, category string, hypothesis string, reference string, score string, errors long, auto_score int, reasoning string, confidence double"
+    return files.read_csv(spark, out, schema).select(*KEY, "category", "score", "errors", "auto_score", _six("confidence").alias("confidence"))
+
+
+def evaluation_document(spark, sf_dir):
+    """An evaluation of all pairs as one JSON document in parts, whose samples are read again."""
+    p = evaluation.pairs(pairs(spark, sf_dir))
+    path = folder(spark)
+    files.write_nested(evaluation.evaluate(p), p.select(F.col("pair_id").alias("sample"), "wer", "exact_match"), "samples", path)
+    # the head is the first part; each line between is a sample
+    lines = spark.read.text(path).where(F.col("value").rlike('^,?[{]"sample"'))
+    back = lines.select(F.from_json(F.regexp_replace("value", "^,", ""), "sample long, wer double, exact_match boolean").alias("x")).select("x.*")
+    return back.select("sample", _six("wer").alias("wer"), "exact_match")
+
+
+QUERIES = {f"q_{f.__name__}": f for f in (csv_texts, score_command, score_batch_command, evaluate_command, validate_command, compare_raters_command, manifest_join, transcription_csv, evaluation_files, report_row, in_memory, word_count, resampled, truncated, transcribe_files, compare_files, score_own_columns, evaluation_document)}

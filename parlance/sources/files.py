@@ -28,6 +28,10 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+#: A null in a file whose rows are lines; texts have two backslashes there.
+NULL = "\\N"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: tuple[str, ...] = (), one_line: bool = False) -> DataFrame:
     """CSV with a header; quotes are doubled inside quoted cells, which may span lines. With `schema`, nothing is inferred.
 
@@ -37,7 +41,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, required
     An empty cell is null, and a quoted empty one the empty text.
     """
     # a null mark that no text has: the default one would also take quoted empty cells
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": not one_line, "enforceSchema": False, "nullValue": "\0"}
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": not one_line, "enforceSchema": False, "nullValue": NULL if one_line else "\0"}
     reader = spark.read.options(**options)
     df = (reader.schema(schema) if schema else reader).csv(path)
     if one_line:
@@ -47,14 +51,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, required
 
 
 def _escaped(c: Column) -> Column:
-    """Line ends, and the backslashes that mark them, as two letters."""
-    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    """Line ends, and the backslashes that mark them, as two letters; a mark before a blank cell, as a blank line counts as none."""
+    c = F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.when(c.rlike(r"^[\x00-\x20]+$"), F.concat(F.lit("\\e"), c)).otherwise(c)
 
 
 def _unescaped(c: Column) -> Column:
     # two backslashes are put aside as a letter that no text has, or that stays as it is behind a mark of its own
     aside = F.replace(F.replace(c, F.lit("\0"), F.lit("\0" + "0")), F.lit("\\\\"), F.lit("\0" + "1"))
-    lines = F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    lines = F.replace(F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\\e"), F.lit(""))
     return F.replace(F.replace(lines, F.lit("\0" + "1"), F.lit("\\")), F.lit("\0" + "0"), F.lit("\0"))
 
 
@@ -93,6 +98,18 @@ def list_audio(spark: SparkSession, folder: str, pattern: str = AUDIO) -> DataFr
     return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "path").orderBy("file")
 
 
+def encode_wav(x: np.ndarray, rate: int) -> bytes:
+    """Samples between -1 and 1 (of one channel, or samples by channels) as a 16-bit PCM WAV file."""
+    x = np.asarray(x, float)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(x.shape[1] if x.ndim > 1 else 1)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(np.clip(np.rint(x * 32767), -32768, 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     """(samples by channels, rate) of a PCM WAV file."""
     with wave.open(io.BytesIO(content)) as f:
@@ -117,8 +134,13 @@ def read_audio(spark: SparkSession, folder: str, decoders: dict[str, Callable[[b
     `decoders` gives, by lower-case suffix without the dot, functions of a file's bytes to (samples by channels,
     rate), for the formats that the caller has a library for; PCM WAV is built in.
     """
-    known = {"wav": decode_wav} | (decoders or {})
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
+    return decoded(raw, decoders)
+
+
+def decoded(contents: DataFrame, decoders: dict[str, Callable[[bytes], tuple[np.ndarray, int]]] | None = None) -> DataFrame:
+    """As `read_audio`, of a table `file, content`."""
+    known = {"wav": decode_wav} | (decoders or {})
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -135,7 +157,7 @@ def read_audio(spark: SparkSession, folder: str, decoders: dict[str, Callable[[b
             out = pd.DataFrame(rows, columns=["file", "waveform", "sample_rate", "error"])
             yield out.astype({"sample_rate": "Int32"})
 
-    return raw.mapInPandas(decode, "file string, waveform array<float>, sample_rate int, error string")
+    return contents.select("file", "content").mapInPandas(decode, "file string, waveform array<float>, sample_rate int, error string")
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -145,10 +167,11 @@ def manifest(files: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", one_line: bool = False) -> None:
     """CSV that `read_csv` reads back as it was: spaces at the ends of a text stay, and null isn't the empty text.
 
-    With `one_line`, a row is a line: line ends within cells are written as \\n and \\r, and a backslash as two.
+    With `one_line`, a row is a line: line ends within cells are written as \\n and \\r, a backslash as two, and null as \\N.
     """
     df = df.select(*(_escaped(col(c)).alias(c) if t == "string" else col(c) for c, t in df.dtypes)) if one_line else df
-    df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    options = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options, **({"nullValue": NULL} if one_line else {})).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

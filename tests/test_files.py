@@ -112,6 +112,11 @@ def test_one_line_rows(spark, tmp_path):
     assert sum(x != b"i,t" for x in lines) == len(texts)
     df = files.read_csv(spark, str(tmp_path / "csv"), "i int, t string", one_line=True)
     assert sorted(map(tuple, df.collect())) == texts
+    # one column, in which blank lines would be none
+    blank = [("",), (" ",), (" \t ",), (None,), ("\n",), ("\\N",), ("\\e",)]
+    files.write_csv(spark.createDataFrame(blank, "t string"), str(tmp_path / "blank"), one_line=True)
+    back = files.read_csv(spark, str(tmp_path / "blank"), "t string", one_line=True)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(blank, key=repr)
 
 
 @pytest.mark.parametrize("splits", ["128m", "300"])
