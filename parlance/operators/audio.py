@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.text import let
+from parlance.operators.naming import but, fresh
+
 
 @dataclass(frozen=True)
 class Audio:
@@ -57,9 +60,8 @@ def mono(left: Column, right: Column) -> Column:
 
 def normalized(w: Column, target: float = Audio.target_rms) -> Column:
     """Scaled to the target RMS where there is any signal, and held within -1 and 1."""
-    loud = rms(w)
-    gain = F.when(loud > 1e-8, target / F.greatest(loud, F.lit(1e-8))).otherwise(1.0)
-    return F.transform(F.arrays_zip(w.alias("x"), F.array_repeat(gain, F.size(w)).alias("g")), lambda p: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), p["x"] * p["g"])))
+    gain = lambda loud: F.when(loud > 1e-8, target / F.greatest(loud, F.lit(1e-8))).otherwise(1.0)
+    return let(gain(rms(w)), lambda g: F.transform(w, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * g))))
 
 
 def frame_energies(w: Column, frame: int) -> Column:
@@ -116,6 +118,34 @@ def trimmed(df: DataFrame, waveform: str = "waveform", start_time: str = "start_
     return step.withColumn(waveform, F.when(F.col("_some"), F.slice(w, F.col("_a") + 1, F.col("_b") - F.col("_a"))).otherwise(w)).drop("_speech", "_some", "_a", "_b", "_t")
 
 
+def usable_segments(df: DataFrame, waveform: str = "waveform", audio: Audio = Audio(), short_end: bool = True) -> DataFrame:
+    """`usable(trimmed(segments(df)))` in one pass over the samples.
+
+    Segments begin at whole frames, so that the frames of speech are found once for the recording, and segments, what
+    is trimmed of them and their length follow from those; samples are only copied for the segments that stay.
+    """
+    w, frame, rate = F.col(waveform), audio.frame, float(audio.sample_rate)
+    frames = F.floor(F.size(w) / frame).cast("int")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(True).alias("tail")))
+
+    def span(speech: Column, x: Column, k: Column) -> Column:
+        begin, end = x["start"] * frame, F.when(x["tail"], F.size(w)).otherwise(x["end"] * frame)
+        # whole frames of the segment alone count
+        spoken = F.filter(speech, lambda i: (i >= x["start"]) & ((i + 1) * frame <= end))
+        return let(F.array_max(spoken), lambda last: F.struct(k.alias("segment"), begin.alias("begin"), F.when(last.isNull(), F.greatest(end, begin)).otherwise((last + 1) * frame).alias("end")))
+
+    def spans(speech: Column) -> Column:
+        runs = F.when(F.size(speech) > 0, islands(speech, frames, audio.silence_frames, short_end)).otherwise(whole)
+        return F.transform(runs, lambda x, k: span(speech, x, k))
+
+    timed = F.transform(let(speech_frames(w, frame, audio.threshold), spans), lambda x: F.struct(x["segment"], x["begin"], x["end"], (x["begin"] / rate).alias("start_time"), (x["begin"] / rate + (x["end"] - x["begin"]) / rate).alias("end_time")))
+    kept = F.filter(timed, lambda x: (x["end_time"] - x["start_time"]).between(audio.shortest, audio.longest))
+    [part] = fresh(df.columns, "_part")
+    found = df.select("*", F.explode(kept).alias(part))
+    x = F.col(part)
+    return found.select(*but(df, (waveform, "segment", "start_time", "end_time")), x["segment"].alias("segment"), x["start_time"].alias("start_time"), x["end_time"].alias("end_time"), F.slice(w, x["begin"] + 1, x["end"] - x["begin"]).alias(waveform))
+
+
 def duration(start: str = "start_time", end: str = "end_time") -> Column:
     return F.col(end) - F.col(start)
 
@@ -234,4 +264,4 @@ def spectral(df: DataFrame, waveform: str = "waveform", sample_rate: str = "samp
 def preprocess(df: DataFrame, audio: Audio = Audio(), gate: bool = True) -> DataFrame:
     """waveform, sample_rate -> resampled, gated, normalised, segmented, trimmed segments of usable length."""
     clean = spectral(df, gate=gate, audio=audio).withColumn("waveform", normalized(F.col("waveform"), audio.target_rms))
-    return usable(trimmed(segments(clean, audio=audio), audio=audio), audio)
+    return usable_segments(clean, audio=audio)

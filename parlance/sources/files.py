@@ -151,7 +151,8 @@ def decoded(contents: DataFrame, decoders: dict[str, Callable[[bytes], tuple[np.
                     if suffix not in known:
                         raise ValueError(f"no decoder for .{suffix}")
                     x, rate = known[suffix](content)
-                    rows.append((name, np.asarray(x, np.float32).reshape(len(x), -1).mean(1).astype(np.float32), rate, None))
+                    x = np.asarray(x, np.float32)
+                    rows.append((name, x if x.ndim == 1 else x.mean(1).astype(np.float32), rate, None))
                 except Exception as e:  # noqa: BLE001  one file's failure is its own
                     rows.append((name, np.zeros(0, np.float32), None, str(e) or type(e).__name__))
             out = pd.DataFrame(rows, columns=["file", "waveform", "sample_rate", "error"])
