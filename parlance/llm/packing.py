@@ -1,17 +1,16 @@
 """Packing by cutting-stock column generation.
 
 Documents become token ids and are cut into pieces of `SIZE` tokens and one
-shorter rest. Short rests of a task are put together into bundles of at most
-`BUNDLE` tokens, so that rounding costs them little. Rests and bundles are counted
-by length class (the length in units of `UNIT` tokens, rounded up); the histogram,
-of bounded size, goes to the driver. There a
-linear program over packing patterns is solved by column generation: the master's
-dual prices give each class a value, and a knapsack by dynamic programming finds
-the pattern that the master lacks most. The rounded patterns, and first-fit
-patterns for what rounding leaves, are numbered sequences with slots for each
-class. Pieces are ranked within their class from their task's counts, and the
+shorter rest. Rests are counted by length class: each length up to `FINE` is a class
+of its own, and longer ones are rounded up by less than a thirty-second part (`class_of`). The histogram, of
+bounded size, goes to the driver. There a linear program over packing patterns is
+solved by column generation: the master's dual prices give each class a value, and a
+knapsack by dynamic programming finds the patterns that the master lacks most. The rounded
+patterns, and first-fit patterns for what rounding leaves, are numbered sequences with slots for
+each class. Rests are ranked within their class from their task's counts, and the
 rank names the slot. Offsets follow from the true lengths, so sequences have no
-gaps; what a sequence lacks to `SIZE` is padding at its end.
+gaps; what a sequence lacks to `SIZE` is padding at its end. Full pieces are sequences by
+themselves.
 
 Edge cases: null or empty text is the end id alone; a document of any length is
 cut; equal lengths, repeated rows and rows without id get different slots; an empty
@@ -34,10 +33,12 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import cut, prepare
 
-SIZE, UNIT, END = 4096, 16, 2
-CAPACITY = SIZE // UNIT
-#: Tokens up to which a rest is short, and those of a bundle of short rests.
-SHORT, BUNDLE = 256, 512
+SIZE, END = 4096, 2
+CAPACITY = SIZE
+#: Lengths up to which each is a class; from there on, each doubling has so many classes at most.
+FINE, CLASSES = 64, 64
+#: Patterns that one pricing finds at most, and patterns that are kept for later prices.
+FOUND, POOL = 24, 600
 #: Words that are known at most, and that stay known after a task, as a worker lives on.
 CACHE_WORDS, LASTING_WORDS = 600_000, 100_000
 #: Words of plain Latin letters that are tokenised as one text.
@@ -117,21 +118,22 @@ class WordTokens:
 _TOKENIZERS: dict[str, WordTokens] = {}
 
 
+def class_of(length: int) -> int:
+    """The length rounded up to its class, which is named by its largest length."""
+    if length <= FINE:
+        return length
+    step = max(1, 1 << (length - 1).bit_length() - 1 >> CLASSES.bit_length() - 1)
+    return min(SIZE, -(-length // step) * step)
+
+
 def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Pieces of each `doc_id, text`, with their class and their place among the task's items of the class; the pieces of a bundle share both."""
+    """Pieces of each `doc_id, text`, with their class (SIZE for full ones) and their place among the task's pieces of the class."""
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, WordTokens(tokenizer))
         part, counts = TaskContext.get().partitionId(), defaultdict(int)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "place"]
-        bundle, filled = [], 0
-
-        def bundled() -> list[tuple]:
-            kind = -(-filled // UNIT)
-            counts[kind] += 1
-            return [(*r, kind, part, counts[kind] - 1) for r in bundle]
-
         for b in batches:
             for i in range(0, len(b), 256):
                 rows = []
@@ -140,52 +142,81 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                     n = len(ids) // 4
                     for at in range(0, n, SIZE):
                         size = min(SIZE, n - at)
-                        if size <= SHORT:
-                            if filled + size > BUNDLE:
-                                rows += bundled()
-                                bundle, filled = [], 0
-                            bundle.append((doc, at, size, zlib.crc32(ids[4 * at :]), n))
-                            filled += size
-                            continue
-                        # full pieces are sequences by themselves: class 0
-                        kind = 0 if size == SIZE else -(-size // UNIT)
+                        kind = class_of(size)
                         rows.append((doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, kind, part, counts[kind]))
                         counts[kind] += 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
-        if bundle:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*bundled(), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
         if len(t.data) > LASTING_WORDS:
             t.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind long, part long, place long")
 
 
-def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of items within the capacity, by dynamic programming: its value, and how often each item is in it."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], -1
-        fits = size <= c
-        if fits.any():
-            gain = np.where(fits, best[np.maximum(c - size, 0)] + value, -np.inf)
-            k = int(gain.argmax())
-            if gain[k] > best[c] + 1e-12:
-                best[c], last[c] = gain[k], k
-    taken, c = np.zeros(len(size), np.int64), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            taken[last[c]] += 1
-            c -= size[last[c]]
-    return float(best[capacity]), taken
-
+def knapsack(value: np.ndarray, size: np.ndarray, capacity: int, most: int = 1) -> tuple[float, list[np.ndarray]]:
+    """The most valuable multiset of items within the capacity, by dynamic programming: its value, and how often each item is in it.
 
-def solve(size: np.ndarray, demand: np.ndarray, capacity: int, most: int = 2000) -> list[tuple[np.ndarray, float]]:
+    With `most`, also the best ones that hold some item, for up to that many multisets in all, the most valuable first.
+    """
+    m = len(size)
+    # best[k]: the value of each capacity with the first k items; any number of an item at once, by running maxima in steps of its size
+    best = np.zeros((m + 1, capacity + 1))
+    for k in range(m):
+        s, v = int(size[k]), float(value[k])
+        rows = -(-(capacity + 1) // s)
+        chain = np.full(rows * s, -np.inf)
+        chain[: capacity + 1] = best[k]
+        worth = np.arange(rows)[:, None] * v
+        best[k + 1] = (np.maximum.accumulate(chain.reshape(rows, s) - worth, axis=0) + worth).ravel()[: capacity + 1]
+
+    def taken(c: int) -> np.ndarray:
+        out = np.zeros(m, np.int64)
+        for k in range(m - 1, -1, -1):
+            if best[k + 1, c] > best[k, c] + 1e-12:
+                n = np.arange(c // int(size[k]) + 1)
+                out[k] = int((best[k, c - n * int(size[k])] + n * value[k]).argmax())
+                c -= int(out[k] * size[k])
+        return out
+
+    total = float(best[m, capacity])
+    found = [taken(capacity)]
+    if most > 1:
+        with_ = value + best[m, capacity - size]
+        for k in np.argsort(-with_)[: most - 1].tolist():
+            if not any(p[k] for p in found):
+                p = taken(capacity - int(size[k]))
+                p[k] += 1
+                found.append(p)
+    return total, found
+
+
+def greedy(size: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis to begin with, and how often each of its patterns is used: longest first, each pattern until one of its classes is used up.
+
+    A pattern has no class that an earlier one used up, so that the patterns are independent.
+    """
+    m = len(size)
+    left, basis, x = demand.astype(float), np.zeros((m, m)), np.zeros(m)
+    open_ = np.ones(m, bool)
+    for t in range(m):
+        room, pattern = capacity, np.zeros(m)
+        for k in np.flatnonzero(open_)[::-1].tolist():
+            if size[k] <= room:
+                pattern[k] = min(room // size[k], max(1, int(left[k])))
+                room -= int(pattern[k] * size[k])
+        used = np.flatnonzero(pattern)
+        k = int(used[(left[used] / pattern[used]).argmin()])
+        x[t] = left[k] / pattern[k]
+        left = np.maximum(left - x[t] * pattern, 0)
+        left[k], open_[k] = 0, False
+        basis[:, t] = pattern
+    return basis, x
+
+
+def solve(size: np.ndarray, demand: np.ndarray, capacity: int, most: int = 4000) -> list[tuple[np.ndarray, float]]:
     """(pattern, how often), the basis of the linear program min sum x, patterns * x >= demand.
 
-    The revised simplex method; columns are priced by the knapsack. It ends when
+    The revised simplex method; columns are priced by the knapsack, which finds several at once: those that a later
+    price makes worth it enter without another knapsack. It ends when
     the lower bound (of the material, or of the prices) shows that no plan can save
     half a sequence or a ten-thousandth, or with the feasible solution after `most`
     pivots. Rounding errors of the inverse can only make a plan longer: what the
@@ -194,10 +225,10 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int, most: int = 2000)
     m = len(size)
     if not m:
         return []
-    fit = capacity // size
-    basis = np.diag(fit).astype(float)
-    inverse, x, cost = np.diag(1.0 / fit), demand / fit, np.ones(m)
+    basis, x = greedy(size, demand, capacity)
+    inverse, cost = np.linalg.inv(basis), np.ones(m)
     material = float(size @ demand) / capacity
+    pool = np.zeros((0, m))
     for _ in range(most):
         total = float(cost @ x)
         near = max(0.5, 1e-4 * total)
@@ -208,10 +239,16 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int, most: int = 2000)
         if price[surplus] < -1e-9:
             column, c = -np.eye(m)[surplus], 0.0
         else:
-            value, taken = knapsack(np.maximum(price, 0), size, capacity)
-            if value <= 1 + 1e-7 or total - total / value <= near:
-                break
-            column, c = taken.astype(float), 1.0
+            worth = pool @ price
+            if not len(pool) or worth.max() <= 1 + 1e-7:
+                value, found = knapsack(np.maximum(price, 0), size, capacity, FOUND)
+                if value <= 1 + 1e-7 or total - total / value <= near:
+                    break
+                pool = np.concatenate([pool[np.argsort(-worth)[:POOL]], np.array(found, float)])
+                worth = pool @ price
+                if worth.max() <= 1 + 1e-7:
+                    break
+            column, c = pool[int(worth.argmax())], 1.0
         d = inverse @ column
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
@@ -259,9 +296,9 @@ def plan(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[in
 
 
 def slots(patterns: list[tuple[dict[int, int], int]], full: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each class, patterns in order: first rank, pieces in a sequence, first sequence."""
+    """For each class, patterns in order: first rank, pieces in a sequence, first sequence. Full pieces come first."""
     base, rank = full, defaultdict(int)
-    table: dict[int, list[tuple[int, int, int]]] = defaultdict(list, {0: [(0, 1, 0)]})
+    table: dict[int, list[tuple[int, int, int]]] = defaultdict(list, {SIZE: [(0, 1, 0)]})
     for pattern, n in patterns:
         for k, a in pattern.items():
             table[k].append((rank[k], a, base))
@@ -278,7 +315,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     before = F.sum("count").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = cut(counts.withColumn("before", F.coalesce(before, F.lit(0))))
     demand = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("count").alias("n")).collect()}
-    full = demand.pop(0, 0)
+    full = demand.pop(SIZE, 0)
     held = docs.sparkSession.sparkContext.broadcast(slots(plan(demand), full))
     ranked = cutted.join(counts.select("kind", "part", "before"), ["kind", "part"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "part")
 

@@ -392,14 +392,14 @@ def test_column_generation():
     r = random.Random(2)
     for _ in range(5):
         demand = {r.randint(1, 256): r.randint(1, 3000) for _ in range(r.randint(1, 40))}
-        plan = packing.plan(demand)
+        plan = packing.plan(demand, 256)
         held = collections.Counter()
         for pattern, n in plan:
-            assert sum(k * a for k, a in pattern.items()) <= packing.CAPACITY
+            assert sum(k * a for k, a in pattern.items()) <= 256
             held.update({k: a * n for k, a in pattern.items()})
         assert all(held[k] >= n for k, n in demand.items())
         used = sum(n for _, n in plan)
-        assert used >= sum(k * n for k, n in demand.items()) / packing.CAPACITY
+        assert used >= sum(k * n for k, n in demand.items()) / 256
         table = packing.slots(plan, 0)
         for k, n in demand.items():
             first, a, base = table[k]
@@ -407,9 +407,49 @@ def test_column_generation():
             seats = collections.Counter((base[p] + (np.arange(n) - first[p]) // a[p]).tolist())
             assert max(seats.values()) <= max(x.get(k, 0) for x, _ in plan)
     # a known optimum: 3 of 100 and 3 of 156 fit three sequences, 256 units each
-    assert sum(n for _, n in packing.plan({100: 3, 156: 3})) == 3
+    assert sum(n for _, n in packing.plan({100: 3, 156: 3}, 256)) == 3
     value, taken = packing.knapsack(np.array([6.0, 10.0, 12.0]), np.array([1, 2, 3]), 5)
-    assert value == 30.0 and taken.tolist() == [5, 0, 0]
+    assert value == 30.0 and taken[0].tolist() == [5, 0, 0]
+
+
+def test_knapsack_against_a_plain_table():
+    r = random.Random(3)
+    for _ in range(60):
+        m, capacity = r.randint(1, 7), r.randint(1, 60)
+        size = np.array(r.sample(range(1, 61), m))
+        size = np.sort(size[size <= capacity]) if (size <= capacity).any() else np.array([1])
+        value = np.array([r.choice((0.0, r.random())) for _ in size])
+        best = [0.0] * (capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = max([best[c - 1], *(best[c - s] + v for s, v in zip(size.tolist(), value.tolist(), strict=True) if s <= c)])
+        total, found = packing.knapsack(value, size, capacity, 5)
+        assert abs(total - best[capacity]) < 1e-9 and abs(found[0] @ value - total) < 1e-9
+        assert len(found) <= 5 and all((p >= 0).all() and p @ size <= capacity for p in found)
+
+
+def test_classes():
+    """Lengths up to 64 are their own class; others are rounded up by less than a thirty-second part; a few hundred classes in all."""
+    classes = [packing.class_of(n) for n in range(1, packing.SIZE + 1)]
+    assert classes[:64] == list(range(1, 65)) and classes[-1] == packing.SIZE and classes == sorted(classes)
+    assert all(n <= c < n * 33 / 32 for n, c in enumerate(classes, 1)) and len(set(classes)) < 450
+    assert all(packing.class_of(c) == c for c in set(classes))
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "halves"])
+def test_plans_near_the_bound(kind):
+    """No plan of the classes needs fewer sequences than their tokens fill; column generation comes within one in a hundred, or the known best."""
+    r = random.Random(7)
+    lengths = [r.randint(1, 4095) if kind == "even" else int(r.paretovariate(1.2) * 3) % 300 + 1 if kind == "short" else r.choice((2049, 1366)) for _ in range(60_000)]
+    demand = collections.Counter(map(packing.class_of, lengths))
+    plan = packing.plan(demand)
+    used = sum(n for _, n in plan)
+    need = sum(k * n for k, n in demand.items()) / packing.SIZE
+    if kind == "halves":
+        # two of the longer class don't fit, three of the shorter do not either: one of each, then two
+        a, b = (packing.class_of(x) for x in (2049, 1366))
+        assert used <= demand[a] + max(0, demand[b] - demand[a]) / (packing.SIZE // b) + 1
+    else:
+        assert used <= need * 1.01 + 1
 
 
 def test_top_k(spark, sf_dir):
