@@ -86,14 +86,18 @@ def _absolute(url: Column, to: Column) -> Column:
     )
 
 
+#: A comment, a script or a link or meta tag; each alternative ends at its end or the page's, so that no byte is searched twice.
+_PIECES = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*+>|\z)|<(?:link|meta)\b[^>]*+(?:>|\z)"
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """`a, b`: nodes that a canonical link or a meta refresh of a page joins."""
-    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    found = pages.where("lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%'").select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\srel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'[^']*'|[^\s>\"']+)", 0))
-    canonical = F.regexp_replace(canonical, r"(?is)^\shref\s*=\s*|[\"']", "")
-    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*\shttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)[;,\s\"']url\s*=\s*[\"']?([^\"'>\s]+)", 1))
+    """`a, b`: nodes that a canonical link or a meta refresh of a page joins. What a comment or script has is none, and one that isn't closed goes on to the page's end."""
+    found = pages.where("lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%'")
+    tags = F.filter(F.regexp_extract_all("html", F.lit(_PIECES), F.lit(0)), lambda t: t.rlike("(?i)^<[lm]") & t.endswith(">"))
+    found = found.select("url", F.explode(tags).alias("tag"))
+    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\srel\s*+=\s*+[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\shref\s*+=\s*+(?:\"([^\"]*)\"|'[^']*'|[^\s>\"']+)", 0))
+    canonical = F.regexp_replace(canonical, r"(?is)^\shref\s*+=\s*+|[\"']", "")
+    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*\shttp-equiv\s*+=\s*+[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)[;,\s\"']url\s*+=\s*+[\"']?([^\"'>\s]+)", 1))
     to = F.regexp_replace(F.coalesce(canonical, refresh), r"(?i)&#(?:47|x2f);|&sol;", "/")
     to = F.trim(F.regexp_replace(F.regexp_replace(to, r"(?i)&#(?:58|x3a);|&colon;", ":"), r"(?i)&(?:amp|#38|#x26);", "&"))
     return found.select(node_of(F.col("url")).alias("a"), _let(_let(to, lambda t: _absolute(F.col("url"), t)), node_of).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()

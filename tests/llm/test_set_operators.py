@@ -592,3 +592,31 @@ def test_near_duplicates_without_ids(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+#: What opens something that never ends, and pages of nothing else.
+OPENERS = ("<!--", "<script", "<link ", "<meta ", '<link rel="', "<script></script", "<!-- --><", "<link rel=canonical href='", "<", "</script ")
+
+
+def test_links_of_long_pages(spark):
+    """Time in proportion to the page: pages of things that don't end, with a link before them."""
+    link = '<link rel="canonical" href="http://b.org/x">'
+    seconds = {}
+    for size in (250_000, 1_000_000):
+        rows = [(i, f"http://a{i}.org/", link + o * (size // len(o))) for i, o in enumerate(OPENERS)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1).cache()
+        df.count()
+        assert url_filter.links(df).count() == len(OPENERS)
+        began = time.time()
+        got = {r.a for r in url_filter.links(df).collect()}
+        seconds[size] = time.time() - began
+        assert got == {f"http://a{i}.org/" for i in range(len(OPENERS))}
+    assert seconds[1_000_000] < 5 * seconds[250_000] + 2 and seconds[1_000_000] < 10
+
+
+def test_links_in_comments_and_scripts(spark):
+    to = lambda n: f'<link rel="canonical" href="http://to{n}.org/">'
+    html = ["<!-- a -->" + to(0), f"<!-- {to(1)} -->", f"<!-- {to(2)}", f"<SCRIPT x>{to(3)}</Script\n>", f"<script>{to(4)}", f"<script>'<!--'</script>{to(5)}", f"<scripts>{to(6)}", to(7)[:-1], f"<!--{to(8)}--{to(8)}", "<link\nREL = canonical\nHREF = http://to9.org/ >", "<!-- <script> -->" + to(10)]
+    df = spark.createDataFrame([(i, f"http://from{i}.org/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {(r.a, r.b) for r in url_filter.links(df).collect()}
+    assert got == {(f"http://from{i}.org/", f"http://to{i}.org/") for i in (0, 5, 6, 9, 10)}
