@@ -8,7 +8,7 @@ Cauchy-Schwarz bound of both residuals prunes vectors, and only those that are
 left get the exact integer product. Queries start with the k-th best score among
 the `SEED` longest vectors, so that even the first block is pruned.
 
-Queries are held by the executors in chunks of about `CHUNK`; the chunks' results
+Queries are held by the executors in chunks of about `CHUNK`, fewer where `CHUNK_BYTES` of long vectors are; the chunks' results
 are written one after another, so that no more than a chunk is ever
 broadcast.
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from parlance.llm.common import cut, drop, prepare
 
 K, EVERY, SCALE = 5, 50, 256.0
-#: Longest vectors that the first bounds come from, and queries held at a time.
-SEED, CHUNK = 1024, 1 << 14
+#: Longest vectors that the first bounds come from, and queries held at a time, in number and bytes.
+SEED, CHUNK, CHUNK_BYTES = 1024, 1 << 14, 64 << 20
 BLOCK = 512
 #: Share of the coordinates in the partial sum.
 PART = 0.25
@@ -201,7 +201,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     seed_ids, seed_x = seed["vec_id"].to_numpy(), matrix(seed["v"], d)
     # an id asks once; copies meet before the shuffle
     asked = cut(steps.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
-    chunks = max(1, -(-asked.count() // CHUNK))
+    at_once = max(1, min(CHUNK, CHUNK_BYTES // (8 * d)))
+    chunks = max(1, -(-asked.count() // at_once))
     parts = []
     for c in range(chunks):
         q = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).select("vec_id", "v").toArrow()

@@ -473,9 +473,10 @@ def brute_top(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 14, 3])
-def test_top_k_odd_rows(spark, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "size"), [(1 << 14, 64 << 20), (3, 64 << 20), (1 << 14, 100)])
+def test_top_k_odd_rows(spark, chunk, size, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", chunk)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", size)
     monkeypatch.setattr(topk, "SEED", 8)
     r = np.random.default_rng(3)
     rows = [(i, (r.normal(size=r.integers(1, 6)) * r.choice([0.01, 1, 30])).tolist()) for i in range(400)]
