@@ -220,7 +220,9 @@ ORACLES |= {
       k AS (SELECT avg((auto = human)::INT) AS agreement, {_kappas('auto', 'human', 6)} FROM z),
       e AS (SELECT sum(d.distance) / greatest(sum(len(s.r)), 1) AS wer FROM dist d JOIN src s USING (pair_id))
       SELECT round(e.wer, 6) AS wer, round(k.agreement, 6) AS agreement, k.kappa_ratio, round(avg(d), 6) AS mean_diff, round(sqrt(avg(d * d)), 6) AS rmse, max(d)::DOUBLE AS max_diff, round(avg((d <= 10)::INT), 6) AS within_10 FROM protocol, k, e GROUP BY ALL""",
-    "q_in_memory": "SELECT * FROM (VALUES ('yo fui', 'yo fui ayer', 3::BIGINT), ('nada', '', 0), ('', 'la casa', 2), ('a b', 'a b c', 3)) v(hypothesis, reference, n_words)",
+    "q_in_memory": f"""WITH {PAIRS_SQL}, x AS (SELECT role, arg_min(hypothesis, pair_id) AS h, arg_min(reference, pair_id) AS r FROM pairs GROUP BY role),
+      v AS (SELECT h AS hypothesis, r AS reference FROM x UNION ALL SELECT r, '' FROM x UNION ALL SELECT role, h FROM x)
+      SELECT *, len({_words('reference')})::BIGINT AS n_words FROM v""",
     "q_word_count": f"SELECT doc_id, len({_words("coalesce(text, '')")})::BIGINT AS n_words FROM documents",
     # the convolution itself: each sample weighed by a windowed sinc of its distance to the output, in a band of 0.99 of the lower rate's
     "q_resampled": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, len(embedding) AS m, (len(embedding) * 3 + 1) // 2 AS n FROM embeddings),
@@ -233,6 +235,7 @@ ORACLES |= {
 }
 ORACLES |= {
     "q_transcribe_files": spoken.ORACLE,
+    "q_recording_segments": spoken.SEGMENTS,
     "q_compare_files": f"""{_PAIR_WER} SELECT row_number() OVER (ORDER BY pair_id) - 1 AS position, printf('sample_%03d', row_number() OVER (ORDER BY pair_id) - 1) AS audio_file, round(wer, 6) AS wer, exact_match, {_shared('h', 'r')}::BIGINT AS matched FROM m""",
     "q_score_own_columns": f"SELECT conv_id, turn, c.category, 'human ' || ((conv_id * 64 + turn) % 7) AS score, conv_id * 64 + turn AS errors, auto_score, confidence FROM ({ORACLES['q_score_command']}) c",
     "q_evaluation_document": f"{_PAIR_WER} SELECT pair_id AS sample, round(wer, 6) AS wer, exact_match FROM m",

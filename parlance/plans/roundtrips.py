@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from parlance import cli
 from parlance.functions import text
-from parlance.operators import audio, evaluation, transcripts
+from parlance.operators import audio, evaluation, recordings, transcripts
 from parlance.plans import spoken
 from parlance.plans.derive import pairs, ratings
 from parlance.session import folder
-from parlance.sources import files
+from parlance.sources import files, wav
 
 KEY = ("conv_id", "turn")
 
-#: Rows that a caller has in memory.
-ROWS = [{"hypothesis": "yo fui", "reference": "yo fui ayer"}, {"hypothesis": "nada"}, {"hypothesis": "", "reference": "la casa"}]
-
 
 def _six(c) -> F.Column:
     return F.round(c, 6)
@@ -119,9 +116,11 @@ def report_row(spark, sf_dir):
 
 
 def in_memory(spark, sf_dir):
-    """Pairs of a caller's rows and of a caller's columns."""
-    columns = {"hypothesis": ["a b"], "reference": ["a b c"]}
-    both = files.from_rows(spark, ROWS).union(files.from_columns(spark, columns))
+    """A caller's rows and a caller's columns: one pair of each role, and its reference alone, brought to the driver from all pairs."""
+    found = pairs(spark, sf_dir).groupBy("role").agg(F.min_by("hypothesis", "pair_id").alias("h"), F.min_by("reference", "pair_id").alias("r")).collect()
+    rows = [{"hypothesis": x.h, "reference": x.r} for x in found] + [{"hypothesis": x.r} for x in found]
+    columns = {"hypothesis": [x.role for x in found], "reference": [x.h for x in found]}
+    both = files.from_rows(spark, rows).union(files.from_columns(spark, columns))
     return both.select("hypothesis", "reference", text.word_count(F.col("reference")).cast("bigint").alias("n_words"))
 
 
@@ -152,6 +151,14 @@ def transcribe_files(spark, sf_dir):
     return back.select("file", "transcription", _six("confidence").alias("confidence"))
 
 
+def recording_segments(spark, sf_dir):
+    """The same sounds as blocks of a second that are rows, and the segments that are found across them."""
+    path = folder(spark)
+    wav.blocks_of(spoken.contents(spark, sf_dir), seconds=1).write.parquet(path)
+    found = recordings.segments(spark.read.parquet(path))
+    return found.select("file", F.col("segment").cast("bigint").alias("segment"), _six("start_time").alias("start_time"), _six("end_time").alias("end_time"), F.expr(f"size(waveform) DIV {spoken.FRAME}").alias("frames"))
+
+
 def compare_files(spark, sf_dir):
     """Two transcripts of all turns, in folders of seven and of three CSV files, compared row by row."""
     p = pairs(spark, sf_dir)
@@ -182,4 +189,4 @@ def evaluation_document(spark, sf_dir):
     return back.select("sample", _six("wer").alias("wer"), "exact_match")
 
 
-QUERIES = {f"q_{f.__name__}": f for f in (csv_texts, score_command, score_batch_command, evaluate_command, validate_command, compare_raters_command, manifest_join, transcription_csv, evaluation_files, report_row, in_memory, word_count, resampled, truncated, transcribe_files, compare_files, score_own_columns, evaluation_document)}
+QUERIES = {f"q_{f.__name__}": f for f in (csv_texts, score_command, score_batch_command, evaluate_command, validate_command, compare_raters_command, manifest_join, transcription_csv, evaluation_files, report_row, in_memory, word_count, resampled, truncated, transcribe_files, recording_segments, compare_files, score_own_columns, evaluation_document)}

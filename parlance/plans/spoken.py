@@ -65,3 +65,12 @@ c AS (SELECT *, CASE WHEN n % 4 = 0 THEN -1::DOUBLE ELSE -(n % 7) / 8.0::DOUBLE
 SELECT printf('%06d.wav', vec_id) AS file, coalesce(string_agg('tramo ' || n, ' ' ORDER BY k) FILTER (n <> {BAD}), '') AS transcription, round(avg(c) FILTER (n <> {BAD}), 6) AS confidence
 FROM c GROUP BY vec_id
 """
+
+#: DuckDB SQL of the segments themselves: places in frames.
+SEGMENTS = f"""
+WITH s AS (
+  SELECT vec_id, unnest(CASE vec_id % 3 WHEN 1 THEN [0, 1] ELSE [0] END) AS segment, 30 + vec_id % 5 AS long FROM embeddings WHERE len(embedding) > 0),
+p AS (
+  SELECT vec_id, segment, CASE segment WHEN 0 THEN 0 ELSE long + {SILENCE} END AS a, CASE WHEN segment = 1 THEN 30 + vec_id % 4 WHEN vec_id % 3 = 0 THEN long ELSE long - 1 END AS n FROM s)
+SELECT printf('%06d.wav', vec_id) AS file, segment, round(a / 50.0::DOUBLE, 6) AS start_time, round((a + n) / 50.0::DOUBLE, 6) AS end_time, n AS frames FROM p
+"""

@@ -16,6 +16,7 @@ from parlance.functions import lexicon
 from parlance.operators.naming import col
 from parlance.operators.position import in_files
 from parlance.session import folder, remove
+from parlance.sources import wav
 
 PAIRS = "hypothesis string, reference string"
 MANIFEST = "audio string, reference string"
@@ -115,13 +116,7 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     with wave.open(io.BytesIO(content)) as f:
         width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
         data = f.readframes(f.getnframes())
-    if width == 1:
-        x = np.frombuffer(data, np.uint8).astype(np.float32) / 128 - 1
-    elif width == 3:
-        x = (np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1 << 8, 1 << 16, 1 << 24], np.int32)).astype(np.float32) / 2**31
-    else:
-        x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / 2 ** (8 * width - 1)
-    return x.reshape(-1, channels), rate
+    return wav.samples(data, width, channels), rate
 
 
 def read_wav(spark: SparkSession, folder: str) -> DataFrame:
