@@ -6,6 +6,8 @@ groups. Rows where a score is null take no part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,21 +106,52 @@ def score_difference_stats(df: DataFrame, auto: str, human: str, key: str, items
     )
 
 
-def confusion_matrix(df: DataFrame, predicted: str, actual: str, labels: list[int] | None = None) -> DataFrame:
+#: Different labels that a matrix of found labels may have: its grid has the square of that many rows.
+LABELS = 1000
+
+
+def confusion_matrix(df: DataFrame, predicted: str, actual: str, labels: list[int] | None = None, most: int = LABELS) -> DataFrame:
     """Long form: a count for each actual and predicted label, zeros included; other labels are dropped.
 
-    Without `labels`, the labels that occur. The label grid is labels x labels, of a size that the labels fix.
+    Without `labels`, the labels that occur: more than `most` of them are an error, for which `frequent_labels` names those that
+    matter. The label grid is labels x labels, of a size that the labels fix.
     """
     spark = df.sparkSession
     pairs = df.groupBy(F.col(actual).cast("int").alias("actual"), F.col(predicted).cast("int").alias("predicted")).count()
     if labels is None:
         values = pairs.select(F.col("actual").alias("x")).union(pairs.select("predicted")).where("x IS NOT NULL").distinct()
+        if values.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} different labels: name them, or take frequent_labels")
     else:
         values = spark.createDataFrame([(int(x),) for x in labels], "x int").distinct()
     grid = values.select(F.col("x").alias("actual")).crossJoin(values.select(F.col("x").alias("predicted")))
     return grid.join(pairs, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("n"))
 
 
+def frequent_labels(df: DataFrame, *columns: str, share: float = 0.01) -> DataFrame:
+    """`label, n` of the values that at least this share of all values of the columns has, with their exact counts; nulls aren't counted.
+
+    One pass keeps at most 1 / share candidates for each task (Misra and Gries' summary, which merges and misses no frequent
+    value); a second one counts those alone. Neither shuffles the labels.
+    """
+    values = reduce(DataFrame.unionAll, (df.select(F.col(c).alias("label")) for c in columns)).where("label IS NOT NULL")
+    # at half the share, as the summary's own share is rounded
+    [found] = values.freqItems(["label"], max(1e-4, share / 2)).first()
+    counted = values.agg(F.count("*").alias("n"), *(F.count_if(F.col("label") == F.lit(x)).alias(f"n{i}") for i, x in enumerate(found or []))).first()
+    rows = [(x, counted[f"n{i}"]) for i, x in enumerate(found or []) if counted[f"n{i}"] >= share * counted["n"]]
+    return df.sparkSession.createDataFrame(rows, f"label {values.dtypes[0][1]}, n long")
+
+
+def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[str] | None = None, error: float = 0.001) -> DataFrame:
+    """`probability, value` of each group, from summaries that merge: the share of values below is within `error` of the probability.
+
+    `describe` has the exact median, for which a group's values meet in one task; this needs some 1 / error numbers a task and group.
+    """
+    values = F.percentile_approx(column, list(probabilities), round(1 / error))
+    step = df.groupBy(*by or []).agg(F.arrays_zip(F.array(*map(F.lit, probabilities)).alias("probability"), values.alias("value")).alias("_q"))
+    return step.select(*by or [], F.explode("_q").alias("_q")).select(*by or [], F.col("_q.probability").alias("probability"), F.col("_q.value").alias("value"))
+
+
 def confusion_table(df: DataFrame, predicted: str, actual: str, labels: list[int]) -> DataFrame:
     """Dense form: a row for each actual label, a column for each predicted one."""
     return confusion_matrix(df, predicted, actual, labels).groupBy("actual").pivot("predicted", labels).agg(F.sum("n")).orderBy("actual")

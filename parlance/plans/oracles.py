@@ -240,3 +240,7 @@ ORACLES |= {
     "q_score_own_columns": f"SELECT conv_id, turn, c.category, 'human ' || ((conv_id * 64 + turn) % 7) AS score, conv_id * 64 + turn AS errors, auto_score, confidence FROM ({ORACLES['q_score_command']}) c",
     "q_evaluation_document": f"{_PAIR_WER} SELECT pair_id AS sample, round(wer, 6) AS wer, exact_match FROM m",
 }
+ORACLES |= {
+    "q_frequent_labels": "WITH v AS (SELECT user_id AS label FROM events UNION ALL SELECT user_id % 40 FROM events) SELECT label, count(*) AS n FROM v WHERE label IS NOT NULL GROUP BY label HAVING count(*) >= 0.01 * (SELECT count(label) FROM v)",
+    "q_value_quantiles": "SELECT event_type, probability, count(value) AS n, true AS within FROM events, (VALUES (0.1::DOUBLE), (0.25), (0.5), (0.75), (0.9)) p(probability) GROUP BY ALL",
+}

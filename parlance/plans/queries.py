@@ -256,6 +256,25 @@ def sample_ids(spark, sf_dir):
     return position.numbered(ratings(spark, sf_dir).select("event_id"), "event_id").select("event_id", text.sample_id(F.col("position")).alias("sample_id"))
 
 
+@query
+def frequent_labels(spark, sf_dir):
+    """Users that have at least one in a hundred of all events and labels of users, from a summary and one count."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", (F.col("user_id") % 40).alias("group"))
+    return agreement.frequent_labels(events, "user_id", "group", share=0.01).select("label", "n")
+
+
+@query
+def value_quantiles(spark, sf_dir):
+    """Quantiles of the values of each type of event, from summaries, held against the exact ranks: the error is within its bound."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value")
+    found = agreement.quantiles(events, "value", [0.1, 0.25, 0.5, 0.75, 0.9], ["event_type"], error=0.01)
+    rank = events.where("value IS NOT NULL").join(found.withColumnRenamed("value", "q"), "event_type")
+    shares = rank.groupBy("event_type", "probability").agg(F.count("*").alias("n"), F.avg((F.col("value") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("q")).cast("double")).alias("up_to"))
+    # of few values, the nearest ones lie further apart than the bound
+    slack = 0.01 + 1 / F.col("n")
+    return shares.select("event_type", "probability", "n", ((F.col("below") <= F.col("probability") + slack) & (F.col("up_to") >= F.col("probability") - slack)).alias("within"))
+
+
 @query
 def event_segments(spark, sf_dir):
     """Runs of each user's events with a value above 50, split by three quieter ones."""

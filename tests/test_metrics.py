@@ -238,3 +238,37 @@ def test_report_text(spark, capsys):
     said = evaluation.print_report(df, "a", "h", "k")
     assert capsys.readouterr().out == said + "\n" and "25.0%" in said and "100.0%" in said
     assert "-" in evaluation.print_report(df.limit(0), "a", "h", "k")
+
+
+def test_many_labels(spark):
+    df = spark.range(3000).selectExpr("id AS a", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS b")
+    with pytest.raises(ValueError, match="more than 1000"):
+        agreement.confusion_matrix(df, "a", "b")
+    few = spark.createDataFrame([(1, 2), (2, 2), (3, 1)], "a int, b int")
+    assert agreement.confusion_matrix(few, "a", "b", most=3).count() == 9
+    got = {r.label: r.n for r in agreement.frequent_labels(df, "a", "b", share=0.1).collect()}
+    assert got == {7: 1002}
+    assert agreement.frequent_labels(df.limit(0), "a").count() == 0
+
+
+def test_frequent_labels_miss_none(spark):
+    """Frequent ones among many rare ones, in any order and number of tasks; nulls don't count."""
+    rows = [(f"rare {i}",) for i in range(5000)] + [("often",)] * 300 + [("just",)] * 112 + [("less",)] * 107 + [(None,)] * 4000
+    random.Random(4).shuffle(rows)
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "t string").repartition(parts)
+        total = 5000 + 300 + 112 + 107
+        got = {r.label: r.n for r in agreement.frequent_labels(df, "t", share=0.02).collect()}
+        assert got == {k: n for k, n in (("often", 300), ("just", 112), ("less", 107)) if n >= 0.02 * total}
+
+
+def test_quantiles(spark):
+    """Ranks within the error of the summary, in groups of any size."""
+    r = random.Random(3)
+    rows = [(g, r.gauss(0, 1)) for g in range(4) for _ in range((1, 10, 3000, 20_000)[g])] + [(0, None)]
+    got = agreement.quantiles(spark.createDataFrame(rows, "g int, x double").repartition(5), "x", [0.0, 0.5, 0.99], ["g"], error=0.01).collect()
+    assert len(got) == 12
+    for q in got:
+        values = [x for g, x in rows if g == q.g and x is not None]
+        slack = 0.01 + 1 / len(values)
+        assert sum(x < q.value for x in values) / len(values) <= q.probability + slack and sum(x <= q.value for x in values) / len(values) >= q.probability - slack
