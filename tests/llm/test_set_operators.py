@@ -591,8 +591,32 @@ def test_near_duplicates_without_ids(spark, sf_dir):
     assert collections.Counter(got) == collections.Counter(expected)
 
 
-def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+def test_run(spark, sf_dir, rows):
+    """Rows of the whole pipeline, from the stages in plain form: verdicts, the SQL of line dedup, all pairs, masked texts, the tokenizer itself."""
+    from parlance.llm import pii
+
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    good = {r.doc_id for r in queries.op8_quality_classifier(spark, sf_dir).collect() if r.predicted}
+    docs = {r[0]: r[1] for r in rows if r[0] in good}
+    assert 0 < len(docs) < len(rows)
+    reduced = {r[0]: r[4] for r in sql_dedup(pa.table({"doc_id": pa.array(docs, pa.int64()), "text": list(docs.values())})) if not r[2] or WORD.search(r[4])}
+    assert any(reduced.get(i) != t for i, t in docs.items())
+    groups = brute_groups(reduced)
+    final = {i: pii.mask(reduced[i]) for i, (n, c) in groups.items() if i == c}
+    assert len(final) < len(reduced) and any(final[i] != reduced[i] for i in final)
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = []
+    for i, t in final.items():
+        ids = [*lib.encode(t, add_special_tokens=False).ids, 2]
+        expected += [(i, at, len(part := ids[at : at + packing.SIZE]), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)) for at in range(0, len(ids), packing.SIZE)]
+    pieces = got.collect()
+    assert sorted(tuple(r)[:5] for r in pieces) == sorted(expected)
+    ends = collections.defaultdict(int)
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= packing.SIZE
 
 
 #: What opens something that never ends, and pages of nothing else.

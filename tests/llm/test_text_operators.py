@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -12,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from parlance.llm import common, html_extract, piece_codec, pii, quality_classifier, quality_rules, queries
 
@@ -306,3 +308,52 @@ def test_pii_sql_on_made_texts():
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     got = dict(con.sql(f"SELECT doc_id, spans FROM ({pii.ORACLE})").fetchall())
     assert got == {i: pii.joined(pii.find(t), pii.KINDS) for i, t in docs}
+
+
+def plain_features(text, n_chars):
+    """{feature: value} of one text, by the documented definitions; the hash of a word is the library's."""
+    t = text or ""
+    words = WORD.findall(t)
+    low = [w.encode().lower() for w in words]
+    b, out = plain_base(t), {}
+    count = collections.Counter()
+    for w in low:
+        h = common.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        count[int(h) >> 64 - quality_classifier.BITS] += 1
+    norm = math.sqrt(sum(math.log1p(c) ** 2 for c in count.values()))
+    out.update({f: math.log1p(c) / norm for f, c in count.items()})
+    n, per = max(b[0], 1), max(len(words), 1)
+    raw = t.encode()
+    stats = [1, math.log1p(b[0]) / 8, b[1] / n / 8, b[2] / n, b[3] / 10, b[4] / n, *(sum(x in range(lo, hi) for x in raw) / per for lo, hi in ((65, 91), (33, 34), (48, 58), (10, 11)))]
+    stats += [len(count) / per, math.log1p(max(n_chars or 0, 0)) / 10, b[0] < 10, sum(x == y for x, y in zip(low, low[1:], strict=False)) / per]
+    out.update({(1 << quality_classifier.BITS) + i: min(x, 4) for i, x in enumerate(stats)})
+    return out
+
+
+def test_classifier_against_plain_scores(spark, sf_dir):
+    """Scores of the whole table, by the pairs of features of each text instead of the sum-of-squares identity."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality_classifier.train(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op8_quality_classifier(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text", "n_chars").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = plain_features(r.text, r.n_chars)
+        f, v = np.array(list(x)), np.array(list(x.values()), float)
+        vx = m.v[f] * v[:, None]
+        # each feature with all before it: every pair once
+        pairs = (vx * (np.cumsum(vx, 0) - vx)).sum()
+        raw = (m.w[f] * v).sum() + pairs
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, raw)))), abs=1e-9)
+
+
+def test_classifier_sees_no_held_out_label(spark, sf_dir):
+    """Other labels of held-out rows, languages, sources and ids' names change no score; other labels of the rest do."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    held = quality_classifier.held_out(F.col("doc_id"))
+    scores = lambda d, l: {r.doc_id: r.score for r in quality_classifier.classify(d, l).collect()}  # noqa: E731, E741
+    plain = scores(docs, labels)
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", 1 - F.col("toxic"))
+    other = docs.withColumn("lang", F.lit("zz")).withColumn("source", F.concat(F.lit("s"), "doc_id"))
+    assert scores(other, flipped) == plain
+    assert scores(docs, labels.withColumn("quality", F.when(~held, 1 - F.col("quality")).otherwise(F.col("quality")))) != plain
