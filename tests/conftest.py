@@ -1,6 +1,10 @@
 import os
 import sys
 
+# as in the driver's entry: threaded BLAS was seen to hang beside the JVM
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
