@@ -154,7 +154,7 @@ def test_postprocess_cases(spark):
 def test_merge_and_join(spark):
     parts = spark.createDataFrame([("a", 1.0, "dos", 0.5), ("a", 0.0, "uno", 1.0), ("a", 2.0, "", 0.0), ("b", 0.0, None, None)], "file string, start double, text string, conf double")
     rows = {r.file: r for r in transcripts.merge_segments(parts, ["file"], "start", "text", "conf").collect()}
-    assert rows["a"].transcription == "uno dos" and rows["a"].confidence == 0.5 and rows["b"].transcription == "" and rows["b"].confidence == 0
+    assert rows["a"].transcription == "uno dos" and rows["a"].confidence == 0.5 and rows["b"].transcription == "" and rows["b"].confidence is None
     every = spark.createDataFrame([("a",), ("b",), ("silent",)], "file string")
     rows = {r.file: r for r in transcripts.merge_segments(parts, ["file"], "start", "text", "conf", every).collect()}
     assert (rows["silent"].transcription, rows["silent"].confidence) == ("", 0.0) and rows["a"].transcription == "uno dos" and len(rows) == 3
