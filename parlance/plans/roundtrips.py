@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance import cli
 from parlance.functions import text
-from parlance.operators import audio, evaluation, recordings, transcripts
+from parlance.operators import audio, batches, evaluation, recordings, transcripts
 from parlance.plans import spoken
 from parlance.plans.derive import pairs, ratings
 from parlance.session import folder
@@ -154,7 +154,7 @@ def transcribe_files(spark, sf_dir):
 def recording_segments(spark, sf_dir):
     """The same sounds as blocks of a second that are rows, and the segments that are found across them."""
     path = folder(spark)
-    wav.blocks_of(spoken.contents(spark, sf_dir), seconds=1).write.parquet(path)
+    batches.write_large(wav.blocks_of(spoken.contents(spark, sf_dir), seconds=1), path)
     found = recordings.segments(spark.read.parquet(path))
     return found.select("file", F.col("segment").cast("bigint").alias("segment"), _six("start_time").alias("start_time"), _six("end_time").alias("end_time"), F.expr(f"size(waveform) DIV {spoken.FRAME}").alias("frames"))
 
