@@ -13,7 +13,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import agreement, audio, ensemble, evaluation, position, transcripts
+from parlance.operators import agreement, audio, batches, ensemble, evaluation, position, transcripts
 from parlance.session import ship
 from parlance.sources import files
 
@@ -22,16 +22,18 @@ def transcribe(spark: SparkSession, a) -> DataFrame:
     if not a.recogniser:
         raise SystemExit("transcribe needs --recogniser MODULE:FUNCTION")
     module, name = a.recogniser.split(":")
-    out = transcribed(files.read_wav(spark, a.audio_dir), getattr(importlib.import_module(module), name))
+    out = transcribed(files.audio_contents(spark, a.audio_dir, "*.wav"), getattr(importlib.import_module(module), name))
     files.write_csv(out.orderBy("file"), a.output_csv)
     return out
 
 
-def transcribed(sound: DataFrame, load) -> DataFrame:
-    """`file, transcription, confidence` of decoded files. A file that couldn't be decoded, or of which no segment could be recognised, has no confidence."""
-    parts = transcripts.transcribe(audio.preprocess(sound).where("error IS NULL"), load)
-    out = transcripts.merge_segments(transcripts.postprocess(parts), ["file"], "start_time", "transcription", "confidence", sound.where("error IS NULL"))
-    return out.unionByName(sound.where("error IS NOT NULL").select("file", F.lit("").alias("transcription"), F.lit(None).cast("double").alias("confidence")))
+def transcribed(contents: DataFrame, load) -> DataFrame:
+    """`file, transcription, confidence` of files (`file, content`). A file that couldn't be decoded, or of which no segment could be recognised, has no confidence."""
+    # decoded, gated and cut in one worker, so that no batch of whole files comes back from it
+    parts = transcripts.transcribe(files.decoded(contents, then=audio.segment_frames, schema=audio.SEGMENTS), load)
+    all_files = batches.kept(files.decoding_errors(contents), 1 << 16)
+    out = transcripts.merge_segments(transcripts.postprocess(parts), ["file"], "start_time", "transcription", "confidence", all_files.where("error IS NULL"))
+    return out.unionByName(all_files.where("error IS NOT NULL").select("file", F.lit("").alias("transcription"), F.lit(None).cast("double").alias("confidence")))
 
 
 def evaluate(spark: SparkSession, a) -> DataFrame:

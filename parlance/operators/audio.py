@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import let
+from parlance.operators.batches import BYTES, batched
 from parlance.operators.naming import but, fresh
+from parlance.session import bounded
 
 
 @dataclass(frozen=True)
@@ -237,28 +239,69 @@ def spectral(df: DataFrame, waveform: str = "waveform", sample_rate: str = "samp
     Where `df` has a column `error`, a row that fails gets its message there and no samples, and other rows go
     on; so does one that has an error already.
     """
-    isolated = "error" in df.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out, errors = [], list(b["error"]) if isolated else [None] * len(b)
-            for i, (w, rate) in enumerate(zip(b[waveform], b[sample_rate], strict=True)):
-                x = np.zeros(0)
-                try:
-                    if errors[i] is None:
-                        x = resample(np.asarray(w, float), int(rate), audio.sample_rate)
-                        x = spectral_gate(x, audio) if gate else x
-                except Exception as e:  # noqa: BLE001  one file's failure is its own
-                    if not isolated:
-                        raise
-                    errors[i] = str(e) or type(e).__name__
-                out.append(x.astype(np.float32))
-            b[waveform], b[sample_rate] = out, audio.sample_rate
-            if isolated:
-                b["error"] = errors
-            yield b
-
-    return df.mapInPandas(run, df.schema)
+    bounded(df.sparkSession)
+    return df.mapInPandas(partial(spectral_frames, waveform=waveform, sample_rate=sample_rate, gate=gate, audio=audio), df.schema)
+
+
+def spectral_frames(batches: Iterator[pd.DataFrame], waveform: str = "waveform", sample_rate: str = "sample_rate", gate: bool = True, audio: Audio = Audio()) -> Iterator[pd.DataFrame]:
+    """As `spectral`, of pandas frames, which it yields in bounded bytes."""
+    for b in batches:
+        isolated = "error" in b.columns
+        errors = list(b["error"]) if isolated else [None] * len(b)
+        out, begin, size = [], 0, 0
+        for i, (w, rate) in enumerate(zip(b[waveform], b[sample_rate], strict=True)):
+            x = np.zeros(0)
+            try:
+                if errors[i] is None:
+                    x = resample(np.asarray(w, float), int(rate), audio.sample_rate)
+                    x = spectral_gate(x, audio) if gate else x
+            except Exception as e:  # noqa: BLE001  one file's failure is its own
+                if not isolated:
+                    raise
+                errors[i] = str(e) or type(e).__name__
+            out.append(x.astype(np.float32))
+            size += out[-1].nbytes
+            if size >= BYTES or i + 1 == len(b):
+                yield b.iloc[begin : i + 1].assign(**{waveform: out, sample_rate: audio.sample_rate} | ({"error": errors[begin : i + 1]} if isolated else {}))
+                out, begin, size = [], i + 1, 0
+
+
+def _spans(x: np.ndarray, audio: Audio, short_end: bool = True) -> list[tuple[int, int]]:
+    """(begin, end) of the trimmed segments of a scaled signal, as `usable_segments` has them before their length is judged."""
+    frame, n = audio.frame, len(x) // audio.frame
+    whole = x[: n * frame].reshape(n, frame)
+    speech = np.flatnonzero(np.sqrt((whole * whole).mean(1)) > audio.threshold) if n else np.zeros(0, int)
+    if not len(speech):
+        return [(0, len(x))]
+    out = []
+    for run in np.split(speech, np.flatnonzero(np.diff(speech) > audio.silence_frames) + 1):
+        start, last = int(run[0]), int(run[-1])
+        end = len(x) if n - 1 - last < audio.silence_frames else (last + (not short_end)) * frame
+        spoken = run[(run + 1) * frame <= end]
+        out.append((start * frame, (int(spoken[-1]) + 1) * frame if len(spoken) else max(end, start * frame)))
+    return out
+
+
+#: Rows of `segment_frames` of decoded files.
+SEGMENTS = "file string, sample_rate int, segment int, start_time double, end_time double, waveform array<float>"
+
+
+def segment_frames(batches: Iterator[pd.DataFrame], audio: Audio = Audio(), gate: bool = True) -> Iterator[pd.DataFrame]:
+    """SEGMENTS of decoded files (`file, waveform, sample_rate, error`), as `preprocess` has them, in one worker: only segments leave it."""
+    rate = float(audio.sample_rate)
+
+    def rows(b: pd.DataFrame) -> Iterator[tuple]:
+        for file, x, error in zip(b["file"], b["waveform"], b["error"], strict=True):
+            x = np.asarray(x, float)
+            loud = math.sqrt((x * x).sum() / max(len(x), 1))
+            x = np.clip(x * (audio.target_rms / loud if loud > 1e-8 else 1.0), -1, 1)
+            for k, (begin, end) in enumerate(_spans(x, audio) if error is None else []):
+                start, stop = begin / rate, begin / rate + (end - begin) / rate
+                if audio.shortest <= stop - start <= audio.longest:
+                    yield file, audio.sample_rate, k, start, stop, x[begin:end].astype(np.float32)
+
+    for b in spectral_frames(batches, gate=gate, audio=audio):
+        yield from batched(rows(b), SEGMENTS)
 
 
 def preprocess(df: DataFrame, audio: Audio = Audio(), gate: bool = True) -> DataFrame:

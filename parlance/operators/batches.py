@@ -1,6 +1,6 @@
 """Tables whose rows are large: bounded bytes in the batches that functions yield, and few rows in a Parquet row group.
 
-Batches that go to Python are bounded by Spark (`spark.sql.execution.arrow.maxBytesPerBatch`, 64 MB); those that come back, and those of
+Batches that go to Python are bounded by Spark (`session.bounded`); those that come back, and those of
 Parquet's readers (4096 rows, but never of two row groups), are as large as they were made.
 """
 

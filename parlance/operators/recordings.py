@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators.audio import Audio, filter_bank
 from parlance.operators.batches import batched, kept
+from parlance.session import bounded
 
 SIZE, HOP = 512, 128
 _WINDOW = np.hanning(SIZE + 1)[:-1]
@@ -213,6 +214,7 @@ def segments(blocks: DataFrame, audio: Audio = Audio(), gate: bool = True, short
     folder, from which the segments follow; the samples of those are made by a second one, and meet only where a segment lies in two blocks or more.
     """
     rate = float(audio.sample_rate)
+    bounded(blocks.sparkSession)
     numbers = measured(blocks, audio, gate)
     scale = kept(gains(numbers, audio), 1 << 16)
     found = kept(spans(speech(blocks, numbers, scale, audio, gate), scale.select("path", "n"), audio, short_end), 1 << 16)

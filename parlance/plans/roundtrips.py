@@ -145,8 +145,8 @@ def truncated(spark, sf_dir):
 def transcribe_files(spark, sf_dir):
     """WAV files of every vector, kept as bytes, decoded, cut into segments, recognised by a stand-in and merged; through CSV."""
     path = folder(spark)
-    spoken.contents(spark, sf_dir).write.parquet(path)
-    heard = cli.transcribed(files.decoded(spark.read.parquet(path)), spoken.load)
+    batches.write_large(spoken.contents(spark, sf_dir), path)
+    heard = cli.transcribed(spark.read.parquet(path), spoken.load)
     back = files.read_csv(spark, _csv(heard), "file string, transcription string, confidence double")
     return back.select("file", "transcription", _six("confidence").alias("confidence"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators.batches import batched
-from parlance.session import ship
+from parlance.session import bounded
 from parlance.sources import files
 
 FRAME, RATE, SILENCE, SHORT = 320, 16000, 25, 15
@@ -38,7 +38,7 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = ((f"{i:06d}.wav", files.encode_wav(sound(i, np.asarray(v, float)), RATE)) for i, v in zip(b["vec_id"], b["embedding"], strict=True))
             yield from batched(rows, "file, content")
 
-    vectors = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").where(F.size("embedding") > 0)
+    vectors = bounded(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").where(F.size("embedding") > 0)
     return vectors.mapInPandas(run, "file string, content binary")
 
 

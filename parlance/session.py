@@ -17,9 +17,20 @@ def ship(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    # freed Arrow and numpy buffers go back to the system: workers outlive their tasks
+    env.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "33554432"})
     return spark
 
 
+def bounded(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
+    """As `ship`, and no more bytes in the Arrow batches that workers get, where the session has a higher bound (Spark's is 64 MB)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+    return ship(spark)
+
+
 def scratch(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables: spark.checkpoint.dir; where it is unset, one in the warehouse, if all executors see that."""
     if path := spark.conf.get("spark.checkpoint.dir", None):

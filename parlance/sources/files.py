@@ -6,6 +6,7 @@ import io
 import json
 import wave
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import lexicon
+from parlance.operators.batches import batched
 from parlance.operators.naming import col
 from parlance.operators.position import in_files
-from parlance.session import folder, remove
+from parlance.session import bounded, folder, remove
 from parlance.sources import wav
 
 PAIRS = "hypothesis string, reference string"
@@ -129,31 +131,51 @@ def read_audio(spark: SparkSession, folder: str, decoders: dict[str, Callable[[b
     `decoders` gives, by lower-case suffix without the dot, functions of a file's bytes to (samples by channels,
     rate), for the formats that the caller has a library for; PCM WAV is built in.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
-    return decoded(raw, decoders)
+    return decoded(audio_contents(spark, folder, pattern), decoders)
 
 
-def decoded(contents: DataFrame, decoders: dict[str, Callable[[bytes], tuple[np.ndarray, int]]] | None = None) -> DataFrame:
-    """As `read_audio`, of a table `file, content`."""
+def audio_contents(spark: SparkSession, folder: str, pattern: str = AUDIO) -> DataFrame:
+    """`file, content` of the matching files."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return raw.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content")
+
+
+SOUND = "file string, waveform array<float>, sample_rate int, error string"
+Frames = Iterator[pd.DataFrame]
+
+
+def decoded(contents: DataFrame, decoders: dict[str, Callable[[bytes], tuple[np.ndarray, int]]] | None = None, then: Callable[[Frames], Frames] | None = None, schema: str = SOUND) -> DataFrame:
+    """As `read_audio`, of a table `file, content`. `then` goes on with the decoded rows in the same worker; it yields rows of `schema`."""
     known = {"wav": decode_wav} | (decoders or {})
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for name, content in zip(b["file"], b["content"], strict=True):
-                suffix = name.rpartition(".")[2].lower()
-                try:
-                    if suffix not in known:
-                        raise ValueError(f"no decoder for .{suffix}")
-                    x, rate = known[suffix](content)
-                    x = np.asarray(x, np.float32)
-                    rows.append((name, x if x.ndim == 1 else x.mean(1).astype(np.float32), rate, None))
-                except Exception as e:  # noqa: BLE001  one file's failure is its own
-                    rows.append((name, np.zeros(0, np.float32), None, str(e) or type(e).__name__))
-            out = pd.DataFrame(rows, columns=["file", "waveform", "sample_rate", "error"])
-            yield out.astype({"sample_rate": "Int32"})
+    def run(batches: Frames) -> Frames:
+        rows = _decode(batches, known)
+        return then(rows) if then else rows
+
+    bounded(contents.sparkSession)
+    return contents.select("file", "content").mapInPandas(run, schema)
 
-    return contents.select("file", "content").mapInPandas(decode, "file string, waveform array<float>, sample_rate int, error string")
+
+def decoding_errors(contents: DataFrame, decoders: dict[str, Callable[[bytes], tuple[np.ndarray, int]]] | None = None) -> DataFrame:
+    """`file, error` of each file: why it can't be decoded, or null. Samples stay in the worker."""
+    return decoded(contents, decoders, lambda rows: (b[["file", "error"]] for b in rows), "file string, error string")
+
+
+def _decode(batches: Iterator[pd.DataFrame], known: dict) -> Iterator[pd.DataFrame]:
+    def row(name: str, content: bytes) -> tuple:
+        suffix = name.rpartition(".")[2].lower()
+        try:
+            if suffix not in known:
+                raise ValueError(f"no decoder for .{suffix}")
+            x, rate = known[suffix](content)
+            x = np.asarray(x, np.float32)
+            return name, x if x.ndim == 1 else x.mean(1).astype(np.float32), rate, None
+        except Exception as e:  # noqa: BLE001  one file's failure is its own
+            return name, np.zeros(0, np.float32), None, str(e) or type(e).__name__
+
+    for b in batches:
+        for out in batched(map(row, b["file"], b["content"]), "file, waveform, sample_rate, error"):
+            yield out.astype({"sample_rate": "Int32"})
 
 
 def manifest(files: DataFrame) -> DataFrame:
