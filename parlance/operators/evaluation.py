@@ -42,8 +42,13 @@ def word_error_rate(df: DataFrame, hypothesis: str = "hypothesis", reference: st
 
 def evaluate(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", target: float = TARGET, by: list[str] | None = None) -> DataFrame:
     """Mean rates of the pairs, exact-match rate and whether the target is met; zeros and false without rows."""
+    return averages(pairs(df, hypothesis, reference), target, by)
+
+
+def averages(measured: DataFrame, target: float = TARGET, by: list[str] | None = None) -> DataFrame:
+    """`evaluate` of pairs that have `wer, cer, exact_match` already."""
     zero = F.lit(0.0)
-    got = pairs(df, hypothesis, reference).groupBy(*by or []).agg(
+    got = measured.groupBy(*by or []).agg(
         F.count("*").alias("n_samples"),
         F.coalesce(F.avg("wer"), zero).alias("avg_wer"),
         F.coalesce(F.avg("cer"), zero).alias("avg_cer"),

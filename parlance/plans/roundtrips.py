@@ -180,9 +180,10 @@ def score_own_columns(spark, sf_dir):
 
 def evaluation_document(spark, sf_dir):
     """An evaluation of all pairs as one JSON document in parts, whose samples are read again."""
-    p = evaluation.pairs(pairs(spark, sf_dir))
+    # compared once, for the summary and the samples
+    p = batches.kept(evaluation.pairs(pairs(spark, sf_dir)).select("pair_id", "wer", "cer", "exact_match"), 1 << 20)
     path = folder(spark)
-    files.write_nested(evaluation.evaluate(p), p.select(F.col("pair_id").alias("sample"), "wer", "exact_match"), "samples", path)
+    files.write_nested(evaluation.averages(p), p.select(F.col("pair_id").alias("sample"), "wer", "exact_match"), "samples", path)
     # the head is the first part; each line between is a sample
     lines = spark.read.text(path).where(F.col("value").rlike('^,?[{]"sample"'))
     back = lines.select(F.from_json(F.regexp_replace("value", "^,", ""), "sample long, wer double, exact_match boolean").alias("x")).select("x.*")
